@@ -6,9 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuelake.llm import simhash
+from cuelake.llm import mixing, packing, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
+    "op8_poisson_mixing": mixing.op8_poisson_mixing,
+    "op9_best_fit_packing": packing.op9_best_fit_packing,
+}
+ORACLES: dict[str, str] = {
+    "op8_poisson_mixing": mixing.OP8_SQL,
 }
-ORACLES: dict[str, str] = {}
