@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuelake.llm import mixing, packing, simhash
+from cuelake.llm import mixing, packing, secret_crf, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
+    "op3_secret_crf": secret_crf.op3_secret_crf,
     "op8_poisson_mixing": mixing.op8_poisson_mixing,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
 }
