@@ -33,9 +33,9 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, total: int |
     else:
         pairs = docs.sparkSession.createDataFrame([*weights.items()], "s string, w double")
         weighted = counts.join(pairs, counts.source.eqNullSafe(pairs.s), "left").select("source", "n", F.coalesce("w", F.lit(0.0)).alias("w"))
-    sums = weighted.agg(F.sum("w").alias("all_w"), F.sum("n").alias("all_n"))
-    wanted = F.lit(total).cast("double") if total is not None else F.col("all_n").cast("double")
-    rate = F.when(F.col("all_w") > 0, wanted * F.col("w") / F.col("all_w") / F.col("n")).otherwise(F.lit(0.0))
+    all_w, all_n = weighted.agg(F.coalesce(F.sum("w"), F.lit(0.0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    wanted = float(all_n if total is None else total)
+    rate = F.lit(wanted) * F.col("w") / F.lit(float(all_w)) / F.col("n") if all_w else F.lit(0.0)
     top = F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 30).cast("int")
     # ln p(k) = ln p(k - 1) + ln(rate / k), so no rate under- or overflows.
     step = lambda acc, k: F.struct(
@@ -43,7 +43,7 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, total: int |
     )
     start = F.struct((-F.col("rate")).alias("log"), F.exp(-F.col("rate")).alias("sum"), F.array(F.exp(-F.col("rate"))).alias("cdf"))
     cdf = F.when(F.col("rate") > 0, F.aggregate(F.sequence(F.lit(1), top), start, step, lambda acc: acc["cdf"])).otherwise(F.array(F.lit(1.0)))
-    return weighted.crossJoin(F.broadcast(sums)).select("source", rate.alias("rate")).select("source", "rate", cdf.alias("cdf"))
+    return weighted.select("source", rate.alias("rate")).select("source", "rate", cdf.alias("cdf"))
 
 
 def replicate(docs: DataFrame, weights: dict[str, float] | None = None, total: int | None = None, seed: int = SEED, power: float = POWER) -> DataFrame:
