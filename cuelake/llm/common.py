@@ -23,7 +23,7 @@ def let(value: Column, body) -> Column:
 
 def words(text: Column) -> Column:
     """Maximal runs of non-space characters, null text as none."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), rf"[{SPACE}]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), rf"[{SPACE}]+"), "")
 
 
 def kth_largest(df: DataFrame, key: str, k: int, bins: int = 1024) -> float | None:
