@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuelake.llm import mixing, packing, quality_rules, secret_crf, simhash
+from cuelake.llm import additive_ann, mixing, packing, quality_rules, secret_crf, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality_divergence": quality_rules.op6_quality_divergence,
     "op8_poisson_mixing": mixing.op8_poisson_mixing,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
+    "op10_additive_ann": additive_ann.op10_additive_ann,
 }
 ORACLES: dict[str, str] = {
     "op8_poisson_mixing": mixing.OP8_SQL,
