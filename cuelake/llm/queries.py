@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuelake.llm import additive_ann, mixing, packing, quality_rules, secret_crf, simhash
+from cuelake.llm import additive_ann, license_notices, mixing, packing, quality_rules, secret_crf, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
     "op3_secret_crf": secret_crf.op3_secret_crf,
+    "op4_license_notices": license_notices.op4_license_notices,
     "op6_quality_divergence": quality_rules.op6_quality_divergence,
     "op8_poisson_mixing": mixing.op8_poisson_mixing,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
