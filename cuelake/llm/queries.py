@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuelake.llm import additive_ann, license_notices, mixing, packing, quality_rules, secret_crf, simhash
+from cuelake.llm import additive_ann, license_notices, mixing, packing, quality_rules, resampling, secret_crf, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_importance_resampling": resampling.op1_importance_resampling,
     "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
     "op3_secret_crf": secret_crf.op3_secret_crf,
     "op4_license_notices": license_notices.op4_license_notices,
