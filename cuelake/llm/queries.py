@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuelake.llm import additive_ann, license_notices, mixing, packing, quality_rules, resampling, secret_crf, simhash
+from cuelake.llm import additive_ann, license_notices, mixing, packing, pii_bootstrap, quality_rules, resampling, secret_crf, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_importance_resampling": resampling.op1_importance_resampling,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secret_crf": secret_crf.op3_secret_crf,
     "op4_license_notices": license_notices.op4_license_notices,
     "op6_quality_divergence": quality_rules.op6_quality_divergence,
+    "op7_pii_bootstrap": pii_bootstrap.op7_pii_bootstrap,
     "op8_poisson_mixing": mixing.op8_poisson_mixing,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_additive_ann": additive_ann.op10_additive_ann,
