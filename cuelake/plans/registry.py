@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from cuelake.plans import text_queries, timeline_queries
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = text_queries.QUERIES | timeline_queries.QUERIES
+ORACLES: dict[str, str] = text_queries.ORACLES | timeline_queries.ORACLES
