@@ -60,3 +60,20 @@ def output_name(names: DataFrame, existing: DataFrame) -> DataFrame:
 def newest(logs: DataFrame, keep: int = C.KEEP_LOGS) -> DataFrame:
     """TOP-4: logs (job_id, name, mtime) without those beyond the newest ``keep`` of each job."""
     return logs.withColumn("_r", F.row_number().over(Window.partitionBy("job_id").orderBy(F.desc("mtime"), F.desc("name")))).where(F.col("_r") <= keep).drop("_r")
+
+
+def log_tail(lines: DataFrame, n: int) -> DataFrame:
+    """TOP-5: the last n lines of a log (line_no, line), in order."""
+    return lines.orderBy(F.desc("line_no")).limit(n).orderBy("line_no")
+
+
+def listing(files: DataFrame) -> DataFrame:
+    """TOP-8: names in case-insensitive order, ties by the name itself."""
+    return files.orderBy(F.lower("name"), "name")
+
+
+def shift_timeline(packets: DataFrame) -> DataFrame:
+    """SNK-5: packets (video_id, pts, dts, start_time) moved so that the earlier of the stream's start and
+    its first decoding time is 0."""
+    first = packets.groupBy("video_id").agg(F.least(F.min("start_time"), F.min("dts")).alias("_zero"))
+    return packets.join(first, "video_id").withColumn("pts", F.col("pts") - F.col("_zero")).drop("_zero")
