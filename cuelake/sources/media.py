@@ -44,6 +44,13 @@ def pick_track(tracks: DataFrame, wanted: DataFrame) -> DataFrame:
     return t.withColumn("_r", best).where("_r = 1").select(*tracks.columns)
 
 
+def describe(tracks: DataFrame) -> DataFrame:
+    """STR-16: one line about each track: language, title, codec, channels and rate, default."""
+    hz = F.concat(F.col("sample_rate").cast("string"), F.lit(" Hz"))
+    parts = [F.nullif("language", F.lit("")), F.nullif("title", F.lit("")), F.col("codec"), F.concat(F.col("channels").cast("string"), F.lit(" ch")), hz, F.when(F.col("default"), "default")]
+    return tracks.withColumn("description", F.concat_ws(" · ", *parts))
+
+
 def yield_ok(produced: Column, duration: Column) -> Column:
     """SRC-3: decoding gave at least 1 % of the duration."""
     return produced >= duration * C.MIN_YIELD_RATIO

@@ -40,6 +40,11 @@ def test_glossary_stream(spark, tmp_path):
     assert {tuple(x) for x in got} == {(x["batch_id"], x["source"], x["target"]) for x in want}
 
 
+def test_describe(spark):
+    t = spark.createDataFrame([("jpn", "", "aac", 2, 48000, True), ("", "Comment", "ac3", 6, 44100, False)], "language string, title string, codec string, channels int, sample_rate int, default boolean")
+    assert [r["description"] for r in media.describe(t).collect()] == ["jpn · aac · 2 ch · 48000 Hz · default", "Comment · ac3 · 6 ch · 44100 Hz"]
+
+
 def test_lists(spark):
     lines = spark.createDataFrame([(k, f"l{k}") for k in range(9)], "line_no long, line string")
     assert [r["line_no"] for r in media.log_tail(lines, 2).collect()] == [7, 8]
