@@ -29,7 +29,7 @@ CODEBOOKS, WORDS, BEAM = 16, 256, 4
 SAMPLE = 4096
 QUERY_BLOCK, ROW_BLOCK = 512, 4096
 #: A row is reranked if its score is within so many deviations of the score that it needs.
-DEVIATIONS = 4.0
+DEVIATIONS = 3.0
 #: Rows scored at a time within a block.
 SLICE = 1024
 
@@ -103,9 +103,14 @@ def search(q: np.ndarray, q_id: np.ndarray, x: np.ndarray, x_id: np.ndarray, cod
     sure = exact(first.ravel(), np.repeat(np.arange(len(q)), start)).reshape(len(q), start)
     sure[~np.isfinite(score[first, np.arange(len(q))[:, None]])] = -np.inf
     need = -np.partition(-sure, min(top, start) - 1, axis=1)[:, min(top, start) - 1]
-    rows, qi = np.nonzero(score + doubt[:, None] * size[None, :] >= need[None, :].astype(np.float32))
-    alive = np.isfinite(score[rows, qi])
-    rows, qi = rows[alive], qi[alive]
+    doubt, size, need = (a.astype(np.float32) for a in (doubt, size, need))
+    found = []
+    for at in range(0, len(x), SLICE):
+        part = score[at : at + SLICE]
+        r, k = np.nonzero(part + doubt[at : at + SLICE, None] * size >= need)
+        alive = np.isfinite(part[r, k])
+        found.append((r[alive] + at, k[alive]))
+    rows, qi = map(np.concatenate, zip(*found))
     value = np.concatenate([exact(rows[i : i + 65536], qi[i : i + 65536]) for i in range(0, len(rows), 65536)] or [np.empty(0)])
     order = np.lexsort((x_id[rows], -value, qi))
     rows, qi, value = rows[order], qi[order], value[order]
@@ -115,14 +120,25 @@ def search(q: np.ndarray, q_id: np.ndarray, x: np.ndarray, x_id: np.ndarray, cod
     return qi[best], rows[best], value[best]
 
 
+def _packed(part: pa.RecordBatch) -> tuple[np.ndarray, pa.Array]:
+    """The vectors of a batch as a matrix and, for the way to the blocks, each as its bytes."""
+    x = np.asarray(part.column(1).flatten(), dtype=np.float32).reshape(part.num_rows, -1)
+    return x, pa.array([v.tobytes() for v in x], pa.binary())
+
+
+def _pack_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column(0), _packed(b)[1]], names=["vec_id", "vector"])
+
+
 def _encode_rows(books):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                flat = np.asarray(part.column(1).flatten(), dtype=np.float32)
-                codes, rest = encode(flat.reshape(part.num_rows, -1), books.value)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(rest.astype(np.float32))], names=["vec_id", "embedding", "codes", "rest"])
+                x, packed = _packed(part)
+                codes, rest = encode(x, books.value)
+                yield pa.RecordBatch.from_arrays([part.column(0), packed, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(rest.astype(np.float32))], names=["vec_id", "vector", "codes", "rest"])
 
     return rows
 
@@ -131,7 +147,7 @@ def _search_blocks(books, top: int):
     def block(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(rows):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        q, x = (np.stack(t["embedding"].to_numpy()).astype(np.float64) for t in (queries, rows))
+        q, x = (np.frombuffer(b"".join(t["vector"]), dtype=np.float32).reshape(len(t), -1).astype(np.float64) for t in (queries, rows))
         codes = np.frombuffer(b"".join(rows["codes"]), dtype=np.uint8).reshape(len(x), -1)
         q_id, x_id = queries["vec_id"].to_numpy(), rows["vec_id"].to_numpy()
         qi, ri, score = search(q, q_id, x, x_id, codes, rows["rest"].to_numpy(), books.value, top)
@@ -161,12 +177,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = TOP, sample: int
     size = max(sorted(set(lengths)), key=lengths.count)
     vectors, queries = (t.where(F.size("embedding") == size) for t in (vectors, queries))
     books = spark.sparkContext.broadcast(fit_codebooks(np.array([r["embedding"] for r in drawn if len(r["embedding"]) == size])))
-    coded = cut(vectors.mapInArrow(_encode_rows(books), "vec_id long, embedding array<float>, codes binary, rest float"))
-    n_rows, n_queries = coded.count(), queries.count()
+    coded = cut(vectors.mapInArrow(_encode_rows(books), "vec_id long, vector binary, codes binary, rest float"))
+    asked = cut(queries.mapInArrow(_pack_rows, "vec_id long, vector binary"))
+    n_rows, n_queries = coded.count(), asked.count()
     row_blocks, query_blocks = -(-n_rows // ROW_BLOCK), max(1, -(-n_queries // QUERY_BLOCK))
-    number = lambda blocks: F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(blocks)).cast("int")
+    number = lambda blocks: F.pmod(F.xxhash64("vec_id", "vector"), F.lit(blocks)).cast("int")
     every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = queries.withColumn("qb", number(query_blocks)).withColumn("rb", every(row_blocks))
+    left = asked.withColumn("qb", number(query_blocks)).withColumn("rb", every(row_blocks))
     right = coded.withColumn("rb", number(row_blocks)).withColumn("qb", every(query_blocks))
     found = left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInPandas(_search_blocks(books, top), "query_id long, vec_id long, score double")
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
