@@ -18,8 +18,12 @@ CLOSERS = r"""\"'\x{300D}\x{300F}\x{FF09})"""
 BREAKS = " ,.!?;:，。、！？；："
 
 
+#: The same characters one by one.
+SPACES = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(c, f"^{WS}+", ""), rf"{WS}+\z", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def count_in(c: Column, chars: str) -> Column:
@@ -131,15 +135,20 @@ def wrap(c: Column, limit: int = C.MAX_CHARS_PER_LINE) -> Column:
     """STR-11: at most two display lines, cut at the break nearest the middle, where both halves fit if
     any break does; without breaks only an unspaced run is cut, in the middle."""
 
+    def bind(value: Column, body) -> Column:  # a computed column that is used more than once
+        return F.transform(F.array(value), body)[0]
+
     def cut(s: Column) -> Column:
         n = F.length(s)
-        places = F.filter(F.sequence(F.lit(1), n - 2), lambda i: F.contains(F.lit(BREAKS), F.substring(s, i + 1, F.lit(1))))
-        after = F.transform(places, lambda i: F.when(F.substring(s, i + 1, F.lit(1)) == " ", i).otherwise(i + 1))
+        places = lambda chars: F.filter(F.sequence(F.lit(1), n - 2), lambda i: F.contains(F.lit(BREAKS), F.get(chars, i)))
+        after = lambda chars: F.transform(places(chars), lambda i: F.when(F.get(chars, i) == " ", i).otherwise(i + 1))
         half = lambda a, b: strip(F.substring(s, a, b))
-        wide = lambda k: F.greatest(F.length(half(F.lit(1), k)), F.length(half(k + 1, n))) > limit
-        ranked = F.transform(after, lambda k: F.struct(wide(k).alias("wide"), F.abs(k - n / 2).alias("off"), k.alias("k")))
-        at = F.coalesce(F.array_min(ranked)["k"], F.when(is_unspaced_run(s), F.floor(n / 2).cast("int")))
-        halves = F.transform(F.array(at), lambda k: F.when(k.isNull(), F.array(s)).otherwise(F.array(half(F.lit(1), k), half(k + 1, n))))[0]
+        # Both halves together are at least as long as the text with single blanks, but for one.
+        never = F.length(F.regexp_replace(s, f"{WS}{{2,}}", " ")) - 1 > 2 * limit
+        wide = lambda k, none: F.when(none, True).otherwise(F.greatest(F.length(half(F.lit(1), k)), F.length(half(k + 1, n))) > limit)
+        ranked = bind(never, lambda none: bind(F.split(s, ""), lambda chars: F.array_min(F.transform(after(chars), lambda k: F.struct(wide(k, none).alias("wide"), F.abs(k - n / 2).alias("off"), k.alias("k"))))))
+        at = F.coalesce(ranked["k"], F.when(is_unspaced_run(s), F.floor(n / 2).cast("int")))
+        halves = bind(at, lambda k: F.when(k.isNull(), F.array(s)).otherwise(F.array(half(F.lit(1), k), half(k + 1, n))))
         return F.when((n <= limit) | (F.lit(limit) <= 0) | (n < 3), F.array(s)).otherwise(halves)
 
     return F.transform(F.array(strip(c)), cut)[0]
