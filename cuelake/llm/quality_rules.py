@@ -105,7 +105,8 @@ def features(docs: DataFrame, tops: DataFrame) -> DataFrame:
             let(marks, per_word).alias("common"),
         )
 
-    return keyed.withColumn("_f", let(words(F.col("text")), measured)).drop("_common")
+    # A generated column is worked out once a row; a projected one again in each filter or column that uses it.
+    return keyed.withColumn("_f", F.explode(F.array(let(words(F.col("text")), measured)))).drop("_common")
 
 
 def references(measured: DataFrame) -> DataFrame:
