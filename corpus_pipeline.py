@@ -7,12 +7,12 @@ packing plan are among them), so ORACLE_SQL is None and tests hold run() against
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from cuelake.llm import mixing, packing, quality_rules, secret_crf, simhash
+from cuelake.llm.common import shared_folder
 from cuelake.session import read_table
 
 
@@ -55,11 +55,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents. What a stage returns is written as Parquet to the shared folder of
     spark.checkpoint.dir and read again as the next one's docs."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = tempfile.mkdtemp(prefix="corpus-pipeline-")
+    shared = shared_folder(spark)
     docs = read_table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES[:-1]):
         path = f"{shared}/pipeline-{uuid.uuid4().hex}-{k}"

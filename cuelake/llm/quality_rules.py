@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from cuelake.llm.common import SPACE, let, words
+from cuelake.llm.common import SPACE, let, stored, words
 from cuelake.session import broadcast_if_small, cut, read_table
 
 WINDOW = 5
@@ -156,12 +156,11 @@ def quality(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs that quality() keeps, with their columns. The histograms are taken twice rather
-    than moving the texts."""
-    tops = cut(common_words(docs))
+    """The rows of docs that quality() keeps, with their columns. Texts and histograms are written once:
+    taking the histograms a second time costs more than writing and reading the texts."""
     own = docs.select(*(F.col(c) for c in docs.columns))
-    refs = cut(references(features(own, tops)))
-    return judge(features(own, tops), refs).where("kept").select(*docs.columns)
+    measured = stored(features(own, cut(common_words(docs))))
+    return judge(measured, cut(references(measured))).where("kept").select(*docs.columns)
 
 
 def op6_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
