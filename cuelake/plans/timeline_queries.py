@@ -243,7 +243,7 @@ def fold_sample(spark, sf_dir):
 
 def _cut_lines(spark, sf_dir):
     """Pieces of at most 40 characters of the lines, closer together, so that there is something to merge."""
-    x = lines(spark, sf_dir).where("index <= 12")
+    x = lines(spark, sf_dir)
     n = F.ceil(F.length("text") / 40).cast("int")
     each = x.select("video_id", "index", "start", F.explode(F.sequence(F.lit(0), n - 1)).alias("k"), "text").withColumn("text", T.strip(F.substring("text", F.col("k") * 40 + 1, F.lit(40)))).where("text <> ''")
     return each.select("video_id", (F.col("index") * 1000 + F.col("k")).alias("index"), (F.col("start") + F.col("k") * 3).alias("start"), (F.col("start") + F.col("k") * 3 + 2.5).alias("end"), "text")
@@ -277,7 +277,7 @@ def fold_split_text(spark, sf_dir):
 @query("segment_cues")
 def segment_cues(spark, sf_dir):
     w = words(spark, sf_dir, "click").select("video_id", F.floor(F.col("word_no") / 500).alias("seg_no"), "word_no", (F.col("word_no") * 0.7).alias("start"), (F.col("word_no") * 0.7 + 0.5).alias("end"), F.concat(F.lit(" "), "text").alias("text"))
-    return cues.segment(w, lines(spark, sf_dir).where("index <= 5").withColumn("seg_no", F.col("index").cast("long")).select("video_id", "seg_no", "start", "end", "text"))
+    return cues.segment(w, lines(spark, sf_dir).withColumn("seg_no", F.col("index").cast("long")).select("video_id", "seg_no", "start", "end", "text"))
 
 
 @query("fold_give_up", """WITH c AS (SELECT user_id AS video_id, event_id AS chunk_id, value < 250 AS failed FROM events), r AS (SELECT *, sum((NOT failed)::INT) OVER (PARTITION BY video_id ORDER BY chunk_id ROWS UNBOUNDED PRECEDING) AS run FROM c),
@@ -443,7 +443,7 @@ def top_newest_logs(spark, sf_dir):
 
 
 def _film(spark, sf_dir):
-    return lines(spark, sf_dir).where("index <= 20").withColumn("translation", F.when(F.col("index") % 4 == 0, "").otherwise(F.concat(F.lit("T: "), "text")))
+    return lines(spark, sf_dir).withColumn("translation", F.when(F.col("index") % 4 == 0, "").otherwise(F.concat(F.lit("T: "), "text")))
 
 
 _FILM = f"""{LINES}, film AS (SELECT video_id, index, start, "end", text, CASE WHEN index % 4 = 0 THEN text ELSE 'T: ' || text END AS tr FROM lines WHERE index <= 20)"""
