@@ -161,9 +161,7 @@ SELECT d.doc_id, d.item_id, coalesce(kept, 0) AS kept, len(bw) AS total, len(dw)
   len(bw) = 0 OR (coalesce(kept, 0) >= 0.6 * len(bw) AND len(dw) - coalesce(kept, 0) <= greatest(2, 0.25 * len(dw))) AS faithful FROM d LEFT JOIN k USING (doc_id, item_id)""")
 def ver_bag_overlap(spark, sf_dir):
     from cuelake.operators import verify
-    from cuelake.session import read_table
 
-    d = read_table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("candidate"))
-    b = read_table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("source"))
-    pairs = d.join(b, F.col("doc_id") % 40 == F.col("item_id") % 40)
-    return verify.faithful(pairs, "doc_id", "item_id").select("doc_id", "item_id", "kept", "total", "added", "faithful")
+    # Each user turn is the source of the answer to it: one pair per row.
+    pairs = turns(spark, sf_dir).select("video_id", "index", F.col("translation").alias("candidate"), F.col("text").alias("source"))
+    return verify.faithful(pairs, "video_id", "index").select("video_id", "index", "kept", "total", "added", "faithful")
