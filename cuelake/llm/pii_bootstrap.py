@@ -1,8 +1,8 @@
 """Personal data: fixed patterns, and a bootstrapped search for identifiers that no pattern knows.
 
 Seeds are the matches of the fixed patterns. Every word with a digit or an at-sign is an instance, and
-the two words before it are a lexical pattern; a seed pattern is one that introduces seeds. Patterns and
-instances form a graph, scored in rounds: a pattern is as trusted as the share of its distinct instances
+the two words before it are a lexical pattern; a pattern counts from a few distinct trusted instances on,
+seeds or found through other patterns. Patterns and instances form a graph, scored in rounds: a pattern is as trusted as the share of its distinct instances
 that are trusted, an instance is trusted unless all its patterns are wrong about it. Instances that only
 patterns vouch for, with high confidence, are reported as kind ctx.
 
@@ -34,7 +34,7 @@ ROUNDS = 3
 DOUBT = 2.0
 #: Confidence from which a pattern speaks for its instances, and from which an instance is reported.
 MIN_PATTERN, MIN_INSTANCE = 0.6, 0.6
-#: Distinct seeds that a pattern must introduce.
+#: Distinct trusted instances, seeds or found in an earlier round, that a pattern must introduce.
 MIN_SEEDS = 3
 _BLOCK = 256
 
@@ -134,10 +134,11 @@ def trusted_instances(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     # Patterns that introduce no seed cannot gain trust before an instance of theirs does; all stay.
     seeds = edges.groupBy("instance").agg(F.max("seed").alias("seed"))
     scores = cut(seeds.select("instance", "seed", F.col("seed").cast("double").alias("score")))
-    pairs = cut(edges.groupBy("pattern", "instance").agg(F.max("seed").alias("at_seed")))
+    pairs = cut(edges.select("pattern", "instance").distinct())
     for _ in range(rounds):
-        by = pairs.join(scores, "instance").groupBy("pattern").agg(F.sum("score").alias("s"), F.count(F.lit(1)).alias("n"), F.count_if("at_seed").alias("seeds"))
-        strong = by.where(F.col("seeds") >= MIN_SEEDS).select("pattern", (F.col("s") / (F.col("n") + DOUBT)).alias("conf")).where(F.col("conf") >= MIN_PATTERN)
+        trusted = F.count_if(F.col("score") >= MIN_INSTANCE)
+        by = pairs.join(scores, "instance").groupBy("pattern").agg(F.sum("score").alias("s"), F.count(F.lit(1)).alias("n"), trusted.alias("trusted"))
+        strong = by.where(F.col("trusted") >= MIN_SEEDS).select("pattern", (F.col("s") / (F.col("n") + DOUBT)).alias("conf")).where(F.col("conf") >= MIN_PATTERN)
         voted = pairs.join(strong, "pattern").groupBy("instance").agg((1 - F.exp(F.sum(F.log1p(-F.least("conf", F.lit(0.999)))))).alias("vote"))
         scores = cut(scores.join(voted, "instance", "left").select("instance", "seed", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("vote", F.lit(0.0))).alias("score")))
     return scores.where(~F.col("seed") & (F.col("score") >= MIN_INSTANCE)).select("instance", "score")
