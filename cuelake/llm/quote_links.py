@@ -2,19 +2,22 @@
 
 A line that starts with quote marks is quoted at as many levels as it has marks; lines such as
 "Ann wrote:" that lead to a quote go with it. Quoted and own lines are normalised (marks off, white space
-collapsed, lower case) and hashed. A quoted line is joined, within its conversation, to the first turn
-that has the line as its own; an earlier such turn is what the line quotes. A message replies to the turn
-that most of its least deeply quoted lines come from. Threads follow from the replies by pointer doubling.
-Only built-in functions and joins on (conversation, hash) and (conversation, turn) are used; both sides
-of a join are grouped first, so a line that everybody quotes is one row and its uses can be split.
+collapsed, lower case) and hashed, and so are passages: the paragraphs and runs of lines of one level with
+line breaks collapsed, so that a passage wrapped anew is still known. A quoted line may come from every
+earlier turn of its conversation that has the line, or the passage it stands in, as its own. A message
+replies to the turn that most of its least deeply quoted lines come from. Threads follow from the replies
+by pointer doubling. Only built-in functions and joins are used. Turns that have the same of the quoted
+hashes as their own are one group: only its latest turn before a quote can be the answer, so a line that
+everybody says and everybody quotes does not give all pairs of turns.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
-from cuelake.llm.common import SPACE
+from cuelake.llm.common import SPACE, let
 from cuelake.session import cut, read_table
 
 #: Quote marks at the start of a line: ">" with spaces before and between.
@@ -40,6 +43,37 @@ def parse(turns: DataFrame) -> DataFrame:
     return turns.withColumn("_lines", F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), line))
 
 
+def passages(lines: Column) -> Column:
+    """Array of (level, line, keys) of the lines that are not blank, from _lines: keys hash the line, if it is
+    not short, its paragraph and its run of lines of one level. Introductions have level -1."""
+    intro = lambda x, i: (x["level"] == 0) & (F.coalesce(F.get(lines, i + 1)["level"], F.lit(0)) > 0) & x["line"].rlike(INTRODUCTION)
+    kinds = F.transform(lines, lambda x, i: F.struct(F.when(intro(x, i), F.lit(-1)).otherwise(x["level"]).alias("level"), F.translate(normalise(x["line"]), "\x02\x03\x04", "").alias("plain")))
+
+    def marked(all_: Column) -> Column:  # runs begin with \x02, level and \x04, paragraphs with \x03, lines with a line break
+        def one(x: Column, i: Column) -> Column:
+            opens = (i == 0) | (F.get(all_, i - 1)["level"] != x["level"])
+            return F.concat(F.when(opens, F.concat(F.lit("\x02"), x["level"].cast("string"), F.lit("\x04"))).otherwise(""), F.when(x["plain"] == "", "\x03").otherwise(F.concat(F.lit("\n"), x["plain"])))
+
+        return F.array_join(F.transform(all_, one), "")
+
+    collapsed = lambda t: F.trim(F.regexp_replace(t, "[\x03\n]+", " "))
+
+    def of_run(run: Column) -> Column:
+        parts = F.split(run, "\x04")
+        level, whole = parts[0].cast("int"), F.xxhash64(collapsed(parts[1]))
+
+        def of_line(x: Column, paragraph: Column, whole: Column) -> Column:
+            own = F.when(F.length(x) >= MIN_LINE, F.xxhash64(x))
+            return F.struct(level.alias("level"), F.xxhash64(x).alias("line"), F.array_distinct(F.array_compact(F.array(own, paragraph, whole))).alias("keys"))
+
+        def of_paragraph(p: Column, whole: Column) -> Column:
+            return let(F.xxhash64(collapsed(p)), lambda h: F.transform(F.array_remove(F.split(p, "\n"), ""), lambda x: of_line(x, h, whole)))
+
+        return let(whole, lambda w: F.flatten(F.transform(F.split(parts[1], "\x03"), lambda p: of_paragraph(p, w))))
+
+    return F.flatten(F.transform(F.array_remove(F.split(let(kinds, marked), "\x02"), ""), of_run))
+
+
 def body(lines: Column) -> Column:
     """The own lines of a message: not quoted, not introducing a quote, without blank edges."""
     own = F.filter(lines, lambda x, i: (x["level"] == 0) & ~((F.coalesce(F.get(lines, i + 1)["level"], F.lit(0)) > 0) & x["line"].rlike(INTRODUCTION)))
@@ -77,16 +111,28 @@ def link_quotes(turns: DataFrame) -> DataFrame:
         F.array_max(F.transform("_lines", lambda x: x["level"])).cast("long").alias("max_level"),
     )
     quoting = own.where(F.exists("_lines", lambda x: x["level"] > 0))
-    quoted = quoting.select("conv_id", "turn", F.explode(F.filter("_lines", lambda x: (x["level"] > 0) & x["key"].isNotNull())).alias("x")).groupBy("conv_id", "turn", F.col("x.key").alias("key")).agg(F.min("x.level").alias("level"))
-    quoted = cut(quoted.where("turn is not null"))
-    # The first turn that has a line as its own.
-    said = own.where("turn is not null").select("conv_id", "turn", F.explode(F.filter("_lines", lambda x: (x["level"] == 0) & x["key"].isNotNull())).alias("x"))
+    quoted = quoting.where("turn is not null").select("conv_id", "turn", F.explode(F.filter(passages(F.col("_lines")), lambda x: x["level"] > 0)).alias("x"))
+    quoted = cut(quoted.select("conv_id", "turn", "x.line", "x.level", F.explode("x.keys").alias("key")).groupBy("conv_id", "turn", "line", "key").agg(F.min("level").alias("level")))
+    # What of the quoted each turn has as its own, and the groups of turns that have the same.
     wanted = quoted.select("conv_id", "key").distinct()
-    said = said.select(F.col("conv_id").alias("_c"), F.col("x.key").alias("_k"), "turn").groupBy("_c", "_k").agg(F.min("turn").alias("source"))
-    source = cut(wanted.join(said, wanted.conv_id.eqNullSafe(said._c) & (wanted.key == said._k)).select("_c", "_k", "source"))
-    linked = quoted.join(source, quoted.conv_id.eqNullSafe(source._c) & (quoted.key == source._k) & (source.source < quoted.turn)).select("conv_id", "turn", "level", "source")
-    by = linked.groupBy("conv_id", "turn", "source").agg(F.count(F.lit(1)).alias("n"), F.min("level").alias("level"))
-    best = cut(by.groupBy("conv_id", "turn").agg(F.sum("n").alias("n_linked"), F.max_by("source", F.struct(-F.col("level"), "n", "source")).alias("reply_to")))
+    plain = F.transform(F.filter("_lines", lambda x: (x["level"] == 0) & x["key"].isNotNull()), lambda x: x["key"])
+    of_own = F.flatten(F.transform(F.filter(passages(F.col("_lines")), lambda x: x["level"] == 0), lambda x: x["keys"]))
+    asked = quoted.select(F.col("conv_id").alias("_q")).distinct()
+    near = own.where("turn is not null").join(asked, own.conv_id.eqNullSafe(F.col("_q")), "left_semi")
+    said = near.select(F.col("conv_id").alias("_c"), F.col("turn").alias("_t"), F.explode(F.array_distinct(F.concat(plain, of_own))).alias("_k"))
+    said = said.join(wanted, wanted.conv_id.eqNullSafe(said._c) & (wanted.key == said._k)).groupBy("_c", "_t").agg(F.array_sort(F.collect_set("_k")).alias("keys"))
+    said = cut(said.withColumn("group", F.xxhash64("keys")))
+    groups = said.groupBy("_c", "group", "keys").agg(F.min("_t").alias("first")).select("_c", "group", "first", F.explode("keys").alias("_k"))
+    linked = cut(quoted.join(groups, quoted.conv_id.eqNullSafe(groups._c) & (quoted.key == groups._k) & (groups["first"] < quoted.turn)).groupBy("conv_id", "turn", "group", "line").agg(F.min("level").alias("level")))
+    n_linked = linked.groupBy("conv_id", "turn").agg(F.count_distinct("line").alias("n_linked"))
+    by = linked.groupBy("conv_id", "turn", "group").agg(F.count(F.lit(1)).alias("n"), F.min("level").alias("level"))
+    # The latest turn of each group before the quote: quotes come before what is said in the same turn.
+    events = by.withColumn("said", F.lit(None).cast("long")).unionByName(said.select(F.col("_c").alias("conv_id"), F.col("_t").alias("turn"), "group", F.col("_t").alias("said")), allowMissingColumns=True)
+    before = Window.partitionBy("conv_id", "group").orderBy("turn", F.col("said").isNotNull()).rowsBetween(Window.unboundedPreceding, -1)
+    by = events.withColumn("source", F.last("said", ignorenulls=True).over(before)).where("n is not null")
+    best = by.groupBy("conv_id", "turn").agg(F.max_by("source", F.struct(-F.col("level"), "n", "source")).alias("reply_to"))
+    total = n_linked.select(F.col("conv_id").alias("_nc"), F.col("turn").alias("_nt"), "n_linked")
+    best = cut(best.join(total, best.conv_id.eqNullSafe(total._nc) & (best.turn == total._nt)).select("conv_id", "turn", "n_linked", "reply_to"))
     found = best.join(threads(best).select(F.col("conv_id").alias("_c"), F.col("turn").alias("_t"), "root_turn", "depth"), best.conv_id.eqNullSafe(F.col("_c")) & (best.turn == F.col("_t")))
     found = found.select(F.col("_c").alias("_conv"), F.col("_t").alias("_turn"), "n_linked", "reply_to", "root_turn", "depth")
     out = facts.join(found, facts.conv_id.eqNullSafe(found._conv) & (facts.turn == found._turn), "left")

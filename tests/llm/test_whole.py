@@ -1,6 +1,6 @@
 """Corpus operators on what a bound or a filter would lose."""
 
-from cuelake.llm import pii_bootstrap
+from cuelake.llm import pii_bootstrap, quote_links
 
 
 def test_pii_second_step(spark):
@@ -10,3 +10,19 @@ def test_pii_second_step(spark):
     rows += [(3000, "the account holder member-9x9 paid for it"), (3001, "we sold item-9x9 last year again")]
     got = {r["doc_id"]: r["n_ctx"] for r in pii_bootstrap.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(got[k] == 1 for k in (1001, 2005, 3000)) and got[3001] == 0
+
+
+def replies(spark, rows):
+    df = spark.createDataFrame([(1, k, "u", t) for k, t in enumerate(rows, 1)], "conv_id long, turn long, role string, text string")
+    return {r["turn"]: (r["reply_to"], r["root_turn"], r["depth"], r["n_linked"]) for r in quote_links.link_quotes(df).collect()}
+
+
+def test_quotes_of_later_turns(spark):
+    """A line that several turns say goes to the one that says most of the quote, else to the latest before it."""
+    got = replies(spark, ["the same line", "one", "> one\nwell", "Hi all\nthe plan is good", "Hi all\nthe plan is bad", "Hi all\nwho knows", "the same line", "> the same line\nyes", "> Hi all\n> the plan is bad\nno", "the same line"])
+    assert got[8][0] == 7 and got[9] == (5, 5, 1, 2)
+
+
+def test_quotes_wrapped_anew(spark):
+    got = replies(spark, ["A long first paragraph that a client\nwill wrap\n\nno", "Ann wrote:\n> A long first\n> paragraph that a client will\n> wrap\nfine", "ok", "> ok\nthanks", "Ann wrote:\n> A long first paragraph\n> that a client will wrap\n>\n> no\nwhy"])
+    assert [got[k][0] for k in (2, 4, 5)] == [1, 3, 1] and got[5][3] == 3
