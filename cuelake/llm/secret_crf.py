@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuelake.llm.common import row_key
@@ -39,7 +39,7 @@ LEXICON = 400
 TOKEN = re.compile(r"[\w+/.=-]+|[^\s\w]")
 _HEX_RUN = re.compile(r"[0-9a-f]{32,}")
 _KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-#: For the sample only: what holds every text with a base match.
+#: For the sample only: what holds every text with a base match, before the patterns themselves are tried.
 _MAYBE = r"(?i)password|passwd|secret|token|api_?key|AKIA|[0-9a-f]{32}"
 OWN, BEFORE, BEFORE2, AFTER = range(4)
 O, B, I = range(3)
@@ -267,13 +267,20 @@ def fit_windows(rows: list[tuple[list[str], list[int], list[int]]], steps: int =
     return Field(symbols, w, f, trans)
 
 
+def has_base_match(text: Column) -> Column:
+    """Whether base_spans finds anything, in built-in functions."""
+    values = F.regexp_extract_all(text, F.lit("(?i)" + ASSIGN.pattern), F.lit(2))
+    sure = F.exists(values, lambda v: F.length(v) >= 8) | text.rlike("AKIA[A-Z0-9]{12}|[0-9a-f]{32}")
+    return F.coalesce(F.when(text.rlike(_MAYBE), sure), F.lit(False))
+
+
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Field | None:
     """A field fitted on at most ``sample`` documents with base matches and as many others, those whose
     hash is smallest, so that the same documents give the same field."""
     ship(docs.sparkSession)
     keyed = docs.select("text", F.xxhash64("doc_id", row_key()).alias("h"))
-    hashes = keyed.select("h", F.coalesce(F.col("text").rlike(_MAYBE), F.lit(False)).alias("maybe"))
-    chosen = {r["h"] for maybe in (True, False) for r in hashes.where(F.col("maybe") == maybe).select("h").distinct().orderBy("h").limit(sample).collect()}
+    hashes = keyed.select("h", has_base_match(F.col("text")).alias("base"))
+    chosen = {r["h"] for base in (True, False) for r in hashes.where(F.col("base") == base).select("h").distinct().orderBy("h").limit(sample).collect()}
     if not chosen:
         return None
     few = F.broadcast(docs.sparkSession.createDataFrame([(h,) for h in sorted(chosen)], "h long"))

@@ -1,6 +1,6 @@
 """Corpus operators on what a bound or a filter would lose."""
 
-from cuelake.llm import pii_bootstrap, quote_links
+from cuelake.llm import pii_bootstrap, quote_links, secret_crf
 
 
 def test_pii_second_step(spark):
@@ -26,3 +26,17 @@ def test_quotes_of_later_turns(spark):
 def test_quotes_wrapped_anew(spark):
     got = replies(spark, ["A long first paragraph that a client\nwill wrap\n\nno", "Ann wrote:\n> A long first\n> paragraph that a client will\n> wrap\nfine", "ok", "> ok\nthanks", "Ann wrote:\n> A long first paragraph\n> that a client will wrap\n>\n> no\nwhy"])
     assert [got[k][0] for k in (2, 4, 5)] == [1, 3, 1] and got[5][3] == 3
+
+
+def test_field_despite_prose_about_secrets(spark):
+    """Few real secrets among much prose that names tokens and secrets still give a field."""
+    key = "0123456789abcdef"
+    rows = [(k, f"the token of note {k} is no secret") for k in range(4000)] + [(5000 + k, f"config {k} password = Zq9{key}{k}") for k in range(3)]
+    assert secret_crf.fit(spark.createDataFrame(rows, "doc_id long, text string")) is not None
+
+
+def test_base_match_in_columns(spark, sf_dir):
+    cases = ["token:secret:abcdefgh", "password = 'abcdefgh", "api_key=abcdefg", "APIKEY: abcdefgh", "AKIA" + "A" * 11, "AKIA" + "A" * 12, "f" * 31, "f" * 32, "", None, "token==abcdefg", "ſecret=abcdefgh", "toKen=abcdefgh"]
+    df = spark.createDataFrame([(t,) for t in cases], "text string").union(spark.read.parquet(f"{sf_dir}/documents.parquet").select("text"))
+    got = df.select("text", secret_crf.has_base_match(df["text"]).alias("b")).collect()
+    assert all(r["b"] == bool(secret_crf.base_spans(r["text"] or "")) for r in got)
