@@ -66,7 +66,7 @@ def replicate(docs: DataFrame, weights: dict[str, float] | None = None, total: i
 
 
 def op8_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replicate(read_table(spark, sf_dir, "documents").select("doc_id", "source"))
+    return replicate(read_table(spark, sf_dir, "documents"))
 
 
 OP8_SQL = f"""

@@ -1,6 +1,7 @@
 """Corpus operators on what a bound or a filter would lose."""
 
-from cuelake.llm import pii_bootstrap, quote_links, secret_crf
+from cuelake.llm import mixing, pii_bootstrap, quote_links, secret_crf
+from tests.oracle import connect, differences
 
 
 def test_pii_second_step(spark):
@@ -40,3 +41,8 @@ def test_base_match_in_columns(spark, sf_dir):
     df = spark.createDataFrame([(t,) for t in cases], "text string").union(spark.read.parquet(f"{sf_dir}/documents.parquet").select("text"))
     got = df.select("text", secret_crf.has_base_match(df["text"]).alias("b")).collect()
     assert all(r["b"] == bool(secret_crf.base_spans(r["text"] or "")) for r in got)
+
+
+def test_mixing_returns_documents(spark, sf_dir):
+    sql = f"WITH m AS ({mixing.OP8_SQL}) SELECT d.*, m.copy, m.order_key FROM m JOIN documents d USING (doc_id)"
+    assert differences(mixing.op8_poisson_mixing(spark, sf_dir), connect(sf_dir), sql) == ""
