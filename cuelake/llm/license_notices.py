@@ -93,12 +93,15 @@ def find_notices(line: str, notices: tuple[tuple[str, str], ...] = NOTICES) -> l
                 merged[-1][1] = max(merged[-1][1], hi)
             else:
                 merged.append([lo, hi])
-        for at, hi in merged:
-            while m := patterns[n].search(line, at, hi):
-                if m.end() == m.start():
-                    break
-                found.append((n, m.start(), m.end(), sum(m.fuzzy_counts)))
-                at = m.end()
+        spans, todo = [], [(lo, hi) for lo, hi in merged]
+        # The best match of a part need not be its first: both sides of it are searched, too.
+        while todo:
+            lo, hi = todo.pop()
+            m = patterns[n].search(line, lo, hi) if lo < hi else None
+            if m and m.end() > m.start():
+                spans.append((n, m.start(), m.end(), sum(m.fuzzy_counts)))
+                todo += [(lo, m.start()), (m.end(), hi)]
+        found += sorted(spans)
     return found
 
 

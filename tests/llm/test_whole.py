@@ -1,6 +1,6 @@
 """Corpus operators on what a bound or a filter would lose."""
 
-from cuelake.llm import mixing, pii_bootstrap, quote_links, secret_crf
+from cuelake.llm import license_notices, mixing, pii_bootstrap, quote_links, secret_crf
 from tests.oracle import connect, differences
 
 
@@ -46,3 +46,8 @@ def test_base_match_in_columns(spark, sf_dir):
 def test_mixing_returns_documents(spark, sf_dir):
     sql = f"WITH m AS ({mixing.OP8_SQL}) SELECT d.*, m.copy, m.order_key FROM m JOIN documents d USING (doc_id)"
     assert differences(mixing.op8_poisson_mixing(spark, sf_dir), connect(sf_dir), sql) == ""
+
+
+def test_notice_before_a_cleaner_copy():
+    line = "relessed undr the mit license released under the mit license"
+    assert [(s, e) for _, s, e, _ in license_notices.find_notices(line)] == [(0, 29), (30, 60)]
