@@ -29,4 +29,5 @@ MAX_CHARS_PER_LINE, MAX_DURATION = 42, 6.0
 BATCH_SIZE, CONTEXT_LIMIT = 200, 100_000
 MIN_YIELD_RATIO = 0.01
 KEEP_LOGS = 20
-VIDEO_EXTENSIONS = ("mkv", "mp4", "avi", "mov", "wmv", "flv", "webm", "m4v", "ts", "mpg", "mpeg", "m2ts", "rmvb")
+STALL_SECONDS = 60.0
+VIDEO_EXTENSIONS = ("mp4", "mkv", "avi", "mov", "wmv", "flv", "webm", "ts", "m2ts", "mpg", "mpeg", "rmvb", "m4v")

@@ -14,6 +14,7 @@ UNSPACED = r"[\x{3040}-\x{30FF}\x{3400}-\x{9FFF}\x{AC00}-\x{D7AF}]"
 DENSE = r"[\x{2E80}-\x{9FFF}]"
 TIGHT = r"[\x{3000}-\x{9FFF}\x{FF00}-\x{FFEF}]"
 ENDERS = r".!?\x{3002}\x{FF01}\x{FF1F}\x{2026}"
+CLAUSES = r",;:\x{FF0C}\x{FF1B}\x{FF1A}\x{3001}"
 CLOSERS = r"""\"'\x{300D}\x{300F}\x{FF09})"""
 BREAKS = " ,.!?;:，。、！？；："
 

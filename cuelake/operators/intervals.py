@@ -100,11 +100,20 @@ def misses(speech: DataFrame, words: DataFrame, least: float = C.MIN_MISS) -> Da
     return inner.unionByName(tail).where(F.col("to") - F.col("from") >= least).select("video_id", F.col("from").alias("start"), F.col("to").alias("end"))
 
 
+def touched(lines: DataFrame, marked: DataFrame, tolerance: float = C.OVERLAP_TOLERANCE) -> DataFrame:
+    """JOIN-4: lines with touched: whether a marked span overlaps them by more than the tolerance."""
+    hit = overlap_pairs(lines, marked).where(F.least("end", "b_end") - F.greatest("start", "b_start") > tolerance).select("video_id", "index").distinct().withColumn("touched", F.lit(True))
+    return lines.join(hit, ["video_id", "index"], "left").withColumn("touched", F.coalesce("touched", F.lit(False)))
+
+
 def agreement(lines: DataFrame, marked: DataFrame, tolerance: float = C.OVERLAP_TOLERANCE) -> DataFrame:
     """JOIN-4/AGG-18: lines by is_lyric and whether a marked span touches them: video_id, is_lyric, touched, n."""
-    hit = overlap_pairs(lines, marked).where(F.least("end", "b_end") - F.greatest("start", "b_start") > tolerance).select("video_id", "index").distinct().withColumn("touched", F.lit(True))
-    both = lines.join(hit, ["video_id", "index"], "left").withColumn("touched", F.coalesce("touched", F.lit(False)))
-    return both.groupBy("video_id", "is_lyric", "touched").agg(F.count(F.lit(1)).alias("n"))
+    return touched(lines, marked, tolerance).groupBy("video_id", "is_lyric", "touched").agg(F.count(F.lit(1)).alias("n"))
+
+
+def disagreement(lines: DataFrame, marked: DataFrame, tolerance: float = C.OVERLAP_TOLERANCE) -> DataFrame:
+    """JOIN-4: the lines that only one side marks, with touched: false are ours alone, true theirs alone."""
+    return touched(lines, marked, tolerance).where(F.col("is_lyric") != F.col("touched"))
 
 
 def merge_segments(first_pass: DataFrame, recovered: DataFrame) -> DataFrame:

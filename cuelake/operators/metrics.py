@@ -8,6 +8,7 @@ from pyspark.sql import Window
 
 from cuelake import constants as C
 from cuelake.functions import text as T
+from cuelake.session import broadcast_if_small, cut
 
 
 def confident(segments: DataFrame) -> DataFrame:
@@ -23,27 +24,43 @@ def open_ended_ratio(text: str) -> Column:
 def percentiles(df: DataFrame, key: str, value: str, points: tuple[int, ...]) -> DataFrame:
     """AGG-5: key, p, value. The element at int(n * p / 100) of the sorted values, n - 1 at most.
 
-    Only the places that are asked for are kept: ranks come from a window sort, which spills, and no list
-    of all values of a key is built.
+    Equal values are counted first and dealt by range over (key, value), so that one key may hold all rows: each
+    range ranks its own values after the number of those in earlier ranges, of which there are few.
     """
-    ranked = df.where(F.col(value).isNotNull()).select(key, F.col(value).alias("value"), F.row_number().over(Window.partitionBy(key).orderBy(value)).alias("r"), F.count(F.lit(1)).over(Window.partitionBy(key)).alias("n"))
-    wanted = F.explode(F.filter(F.array(*map(F.lit, points)), lambda p: F.least(F.floor(F.col("n") * p / 100), F.col("n") - 1) + 1 == F.col("r")))
-    return ranked.select(key, wanted.alias("p"), "value")
-
-
-def length_correlation(lines: DataFrame, key: str) -> DataFrame:
-    """AGG-11: key, n, r: how text and translation lengths go together; null under 20 lines or without
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(key).alias("_key"), F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("c"))
+    dealt = cut(counts.repartitionByRange("_key", "value").withColumn("part", F.spark_partition_id()))
+    sizes = dealt.groupBy("_key", "part").agg(F.sum("c").alias("size"))
+    own = Window.partitionBy("_key").orderBy("part")
+    sizes = sizes.select("_key", "part", (F.sum("size").over(own) - F.col("size")).alias("before"), F.sum("size").over(Window.partitionBy("_key")).alias("n"))
+    within = F.sum("c").over(Window.partitionBy("_key", "part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    a, b = dealt.withColumn("upto", within).alias("a"), sizes.alias("b")
+    met = a.join(broadcast_if_small(b), F.col("a._key").eqNullSafe(F.col("b._key")) & (F.col("a.part") == F.col("b.part")))
+    last = F.col("before") + F.col("upto")
+    place = lambda p: F.least(F.floor(F.col("n") * p / 100), F.col("n") - 1) + 1
+    wanted = F.explode(F.filter(F.array(*map(F.lit, points)), lambda p: (place(p) <= last) & (place(p) > last - F.col("c"))))
+    return met.select(F.col("a._key").alias(key), wanted.alias("p"), "value")
+
+
+def length_correlation(lines: DataFrame, *keys: str) -> DataFrame:
+    """AGG-11: keys, n, r: how text and translation lengths go together; null under 20 lines or without
     variance. VER-8 compares r with 0.45."""
     a, b = F.length("text").cast("double"), F.length("translation").cast("double")
-    by = lines.where("translation <> ''").groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.covar_pop(a, b).alias("c"), (F.stddev_pop(a) * F.stddev_pop(b)).alias("s"))
-    return by.select(key, "n", F.when(F.col("n") >= C.ALIGNMENT_MIN_LINES, F.try_divide("c", "s")).alias("r"))
+    by = lines.where("translation <> ''").groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.covar_pop(a, b).alias("c"), (F.stddev_pop(a) * F.stddev_pop(b)).alias("s"))
+    return by.select(*keys, "n", F.when(F.col("n") >= C.ALIGNMENT_MIN_LINES, F.try_divide("c", "s")).alias("r"))
+
+
+def better_attempt(attempts: DataFrame, *keys: str) -> DataFrame:
+    """VER-8: of two attempts (keys, attempt, r) the second only if its r is strictly better; aligned says
+    whether the first needed no other. An r that can't be told is aligned and never better."""
+    by = attempts.groupBy(*keys).agg(F.max(F.when(F.col("attempt") == 1, F.col("r"))).alias("r1"), F.max(F.when(F.col("attempt") == 2, F.col("r"))).alias("r2"))
+    return by.select(*keys, F.when(F.coalesce(F.col("r2") > F.col("r1"), F.lit(False)), 2).otherwise(1).alias("attempt"), F.coalesce(F.col("r1") >= C.ALIGNMENT_MIN_CORRELATION, F.lit(True)).alias("aligned"))
 
 
-def better_attempt(attempts: DataFrame) -> DataFrame:
-    """VER-8: of two attempts (key, attempt, r) the second only if its r is strictly better; aligned says
-    whether the first needed another at all."""
-    by = attempts.groupBy("key").agg(F.max(F.when(F.col("attempt") == 1, F.col("r"))).alias("r1"), F.max(F.when(F.col("attempt") == 2, F.col("r"))).alias("r2"))
-    return by.select("key", F.when(F.coalesce(F.col("r2") > F.col("r1"), F.lit(False)), 2).otherwise(1).alias("attempt"), F.coalesce(F.col("r1") >= C.ALIGNMENT_MIN_CORRELATION, F.lit(True)).alias("aligned"))
+def usage_line(label: str) -> Column:
+    """STR-16: label, calls and tokens of a row of tally() as one line."""
+    n = lambda c: F.format_number(c, 0)
+    said = F.concat(F.lit(f"{label}: "), n("calls"), F.lit(" calls, "), n("prompt"), F.lit(" tokens in ("), n("cached"), F.lit(" cached), "), n("completion"), F.lit(" out"))
+    return F.when(F.col("calls") > 0, said).otherwise(F.lit(f"{label}: no usage reported"))
 
 
 def tally(calls: DataFrame, key: str) -> DataFrame:

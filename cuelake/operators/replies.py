@@ -38,7 +38,7 @@ def _entries(replies: DataFrame, pattern: str, body_group: int) -> DataFrame:
     run = Window.partitionBy("video_id", "chunk_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     numbered = reply_lines(replies).withColumn("entry", F.sum(hit.cast("int")).over(run)).where((F.col("entry") > 0) & (hit | (T.strip(F.col("line")) != "")))
     part = F.when(hit, T.strip(F.regexp_extract("line", pattern, body_group))).otherwise(T.strip(F.col("line")))
-    by = numbered.groupBy("video_id", "chunk_id", "entry").agg(F.array_sort(F.collect_list(F.struct("line_no", part.alias("part")))).alias("parts"), F.min_by("line", "line_no").alias("first_line"))
+    by = numbered.groupBy("video_id", "chunk_id", "entry").agg(F.sort_array(F.collect_list(F.struct("line_no", part.alias("part")))).alias("parts"), F.min_by("line", "line_no").alias("first_line"))
     return by.select("video_id", "chunk_id", "entry", "first_line", F.array_join(F.transform("parts", lambda p: p["part"]), " ").alias("body"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Window
 
 from cuelake import constants as C
 from cuelake.functions import text as T
+from cuelake.functions.columns import let
 from cuelake.operators import cues, replies
 
 
@@ -30,24 +31,40 @@ def same_keys(got: DataFrame, expected: DataFrame, key: str = "n") -> DataFrame:
     return both.groupBy("video_id", "chunk_id").agg((F.count_if(F.col("_got").isNull() | F.col("_want").isNull()) == 0).alias("covers"))
 
 
-def faithful(pairs: DataFrame, *keys: str) -> DataFrame:
-    """VER-2/VER-3/SET-4: pairs (keys, candidate, source) with kept, total, added and faithful.
+def bag_kept(a: Column, b: Column) -> Column:
+    """Size of the bag intersection of two word arrays of one row: both are sorted together, and each word of b
+    takes one of a's that is still left."""
+    side = lambda words, k: F.transform(words, lambda w: F.struct(w.alias("w"), F.lit(k).alias("side")))
 
-    The words of both sides are counted and joined on (keys, word), so a bag intersection is a sum of the
-    smaller counts.
-    """
-    bag = lambda c, n: pairs.select(*keys, F.explode(T.words(F.col(c))).alias("word")).groupBy(*keys, "word").agg(F.count(F.lit(1)).alias(n))
-    common = bag("candidate", "a").join(bag("source", "b"), [*keys, "word"]).groupBy(*keys).agg(F.sum(F.least("a", "b")).alias("kept"))
-    sized = pairs.select(*keys, F.size(T.words(F.col("candidate"))).cast("long").alias("size"), F.size(T.words(F.col("source"))).cast("long").alias("total"))
-    out = sized.join(common, [*keys], "left").withColumn("kept", F.coalesce("kept", F.lit(0))).withColumn("added", F.col("size") - F.col("kept"))
-    enough = (F.col("kept") >= C.MIN_KEPT * F.col("total")) & (F.col("added") <= F.greatest(F.lit(float(C.MAX_ADDED_FLOOR)), C.MAX_ADDED_RATIO * F.col("size")))
-    return out.withColumn("faithful", (F.col("total") == 0) | enough)
+    def step(acc: Column, x: Column) -> Column:
+        same = acc["w"] == x["w"]
+        left = F.when(same, acc["left"]).otherwise(0)
+        taken = (x["side"] == 1) & (left > 0)
+        return F.struct(x["w"].alias("w"), F.when(x["side"] == 0, left + 1).when(taken, left - 1).otherwise(left).alias("left"), (acc["kept"] + taken.cast("int")).alias("kept"))
 
+    start = F.struct(F.lit("").alias("w"), F.lit(0).alias("left"), F.lit(0).alias("kept"))
+    return F.aggregate(F.sort_array(F.concat(side(a, 0), side(b, 1))), start, step, lambda acc: acc["kept"])
 
-def bag_kept(a: Column, b: Column) -> Column:
-    """Size of the bag intersection of two word arrays of one row."""
-    count = lambda bag, w: F.size(F.filter(bag, lambda x: x == w))
-    return F.aggregate(F.array_distinct(a), F.lit(0), lambda s, w: s + F.least(count(a, w), count(b, w)))
+
+def _fidelity(candidate: Column, source: Column) -> Column:
+    """kept, total, added and faithful of a text and what it was made of, word by word."""
+
+    def measured(w: Column) -> Column:
+        def judged(kept: Column) -> Column:
+            size, total = F.size(w["a"]).cast("long"), F.size(w["b"]).cast("long")
+            added = size - kept
+            enough = (kept >= C.MIN_KEPT * total) & (added <= F.greatest(F.lit(float(C.MAX_ADDED_FLOOR)), C.MAX_ADDED_RATIO * size))
+            return F.struct(kept.alias("kept"), total.alias("total"), added.alias("added"), ((total == 0) | enough).alias("faithful"))
+
+        return let(bag_kept(w["a"], w["b"]).cast("long"), judged)
+
+    return let(F.struct(T.words(candidate).alias("a"), T.words(source).alias("b")), measured)
+
+
+def faithful(pairs: DataFrame, *keys: str) -> DataFrame:
+    """VER-2/VER-3/SET-4: keys, kept, total, added and faithful of pairs (keys, candidate, source). All of it is
+    on the row: nothing is shuffled."""
+    return pairs.withColumn("_f", F.explode(F.array(_fidelity(F.col("candidate"), F.col("source"))))).select(*keys, "_f.*")
 
 
 def snippet_matches(snippet: Column, line: Column) -> Column:
@@ -62,39 +79,79 @@ def apply_units(units: DataFrame, lines: DataFrame, limits: DataFrame, max_chars
 
     units: video_id, chunk_id, unit_no, first, last, text. limits: video_id, gap_limit.
     """
+    def row(first: Column, start: Column, end: Column, text: Column, ok: bool) -> Column:
+        return F.struct(first.alias("first"), start.alias("start"), end.alias("end"), text.alias("text"), F.lit(ok).alias("accepted"))
+
+    judged = judge_units(units, lines, limits, max_chars, max_duration)
+    merged = F.array(row(F.col("first"), F.bround("start", 3), F.bround("end", 3), F.col("text"), True))
+    kept = F.transform("src", lambda x: row(x["index"], x["start"], x["end"], x["line_text"], False))
+    return judged.select("video_id", F.inline(F.when(F.col("accepted"), merged).otherwise(kept)))
+
+
+def judge_units(units: DataFrame, lines: DataFrame, limits: DataFrame, max_chars: int = C.MAX_CHARS_PER_LINE, max_duration: float = C.MAX_DURATION) -> DataFrame:
+    """video_id, chunk_id, unit_no, first, last, text, start, end, src, corrected, reason, accepted of each unit.
+
+    src: its lines. reason: the first rule that it breaks (fidelity, pause, width, span), '' if it is accepted.
+    The lines are joined once by index; every rule is then worked out on the unit's own row.
+    """
     longest, budget = max(max_duration, C.MERGE_MAX_DURATION), max(max_chars * C.CUE_CHAR_BUDGET_RATIO, 1)
-    key = ["video_id", "chunk_id", "unit_no"]
-    sources = replies.lines_of(units, lines).join(limits, "video_id").withColumn("fragment", T.is_fragment(F.col("line_text")))
-    order = Window.partitionBy(*key).orderBy("index")
-    pause = F.col("start") - F.lag("end").over(order)
+    key = ["video_id", "chunk_id", "unit_no", "first", "last", "text"]
+    own = lines.select("video_id", "index", "start", "end", "text").withColumn("fragment", T.is_fragment(F.col("text")))
+    line = F.struct("index", "start", "end", "line_text", "fragment")
+    by = replies.lines_of(units, own).groupBy(*key).agg(F.sort_array(F.collect_list(line)).alias("src")).join(limits, "video_id")
+    src = F.col("src")
+    head, tail = src[0], F.element_at(src, -1)
     limit = F.when(T.is_single_sentence(F.col("text")), F.greatest("gap_limit", F.lit(max_duration))).otherwise(F.col("gap_limit"))
-    wide = (pause > limit) & ~F.col("fragment") & ~F.lag("fragment").over(order)
-    by = sources.withColumn("wide", F.coalesce(wide, F.lit(False))).groupBy(*key, "first", "last", "text").agg(
-        F.count(F.lit(1)).alias("n"), F.bool_or("wide").alias("wide"), F.bool_or("fragment").alias("any_fragment"),
-        F.array_sort(F.collect_list(F.struct("index", "start", "end", "line_text", "fragment"))).alias("src"),
-    )
-    joined = F.aggregate("src", F.lit(""), lambda s, x: T.join_text(s, x["line_text"]))
-    head, tail = F.col("src")[0], F.element_at("src", -1)
-    checked = by.withColumns({"source": joined, "s": head["start"], "e": tail["end"]})
-    verdict = faithful(checked.select(*key, F.col("text").alias("candidate"), "source"), *key).select(*key, "faithful")
-    width = F.when(F.col("any_fragment"), int(budget * C.FRAGMENT_BUDGET_RATIO)).otherwise(budget)
-    over = F.col("e") - F.col("s") > longest
-    merged_ok = ~F.col("wide") & (F.length("text") <= width) & ~(over & ~head["fragment"] & ~tail["fragment"])
-    ok = F.col("faithful") & ((F.col("n") == 1) | merged_ok)
-    trim = over & (F.col("n") > 1)
-    start = F.when(trim & head["fragment"], F.col("e") - longest).otherwise(F.col("s"))
-    end = F.when(trim & ~head["fragment"], F.col("s") + longest).otherwise(F.col("e"))
-    judged = checked.join(verdict, key).withColumn("accepted", ok)
-    accepted = judged.where("accepted").select("video_id", "first", F.bround(start, 3).alias("start"), F.bround(end, 3).alias("end"), "text", "accepted")
-    kept = judged.where(~F.col("accepted")).select("video_id", F.explode("src").alias("x")).select("video_id", F.col("x.index").alias("first"), "x.start", "x.end", F.col("x.line_text").alias("text"), F.lit(False).alias("accepted"))
-    return accepted.unionByName(kept)
-
-
-def refine_counters(units: DataFrame, applied: DataFrame) -> DataFrame:
-    """AGG-17: video_id, merged (lines saved by accepted units), rejected."""
-    ok = applied.where("accepted").select("video_id", "first")
-    marked = units.join(ok.withColumn("_ok", F.lit(True)), ["video_id", "first"], "left")
-    return marked.groupBy("video_id").agg(F.sum(F.when(F.col("_ok"), F.col("last") - F.col("first")).otherwise(0)).alias("merged"), F.count_if(F.col("_ok").isNull()).alias("rejected"))
+
+    def far(m: Column) -> Column:  # some neighbours are too far apart, and neither is a fragment
+        apart = lambda a, b: (b["start"] - a["end"] > m) & ~a["fragment"] & ~b["fragment"]
+        return F.exists(F.sequence(F.lit(0), F.size(src) - 2), lambda k: apart(F.get(src, k), F.get(src, k + 1)))
+
+    many = F.size(src) > 1
+    over = tail["end"] - head["start"] > longest
+    width = F.when(F.exists(src, lambda x: x["fragment"]), int(budget * C.FRAGMENT_BUDGET_RATIO)).otherwise(budget)
+    joined = F.aggregate(src, F.lit(""), lambda s, x: T.join_text(s, x["line_text"]))
+    checked = by.select(*by.columns, F.explode(F.array(joined)).alias("source"))
+    reason = (
+        F.when(~_fidelity(F.col("text"), F.col("source"))["faithful"], "fidelity")
+        .when(many & F.when(many, let(limit, far)).otherwise(False), "pause")
+        .when(many & (F.length("text") > width), "width")
+        .when(many & over & ~head["fragment"] & ~tail["fragment"], "span")
+        .otherwise("")
+    )
+    trim = over & many
+    start = F.when(trim & head["fragment"], tail["end"] - longest).otherwise(head["start"])
+    end = F.when(trim & ~head["fragment"], head["start"] + longest).otherwise(tail["end"])
+    verdict = F.struct(start.alias("start"), end.alias("end"), (F.col("text") != F.col("source")).alias("corrected"), reason.alias("reason"))
+    # A generated column is worked out once a row, however often it is used.
+    return checked.select(*key, "src", F.explode(F.array(verdict)).alias("v")).select(*key, "src", "v.*", (F.col("v.reason") == "").alias("accepted"))
+
+
+def refine_counters(judged: DataFrame) -> DataFrame:
+    """AGG-17: video_id, merged (lines saved by accepted units), corrected (accepted units whose text differs
+    from their lines), rejected, from judge_units."""
+    ok = F.col("accepted")
+    return judged.groupBy("video_id").agg(
+        F.sum(F.when(ok, F.size("src") - 1).otherwise(0)).alias("merged"), F.count_if(ok & F.col("corrected")).alias("corrected"), F.count_if(~ok).alias("rejected")
+    )
+
+
+def rejections(judged: DataFrame) -> DataFrame:
+    """AGG-17: video_id, first, last, reason, text of the units that were rejected."""
+    return judged.where(~F.col("accepted")).select("video_id", "first", "last", "reason", "text")
+
+
+def vetted(segments: DataFrame, verdicts: DataFrame, chunks: DataFrame) -> DataFrame:
+    """VER-6: segments (with number, recovered) without the recovered ones that do not hold.
+
+    chunks: video_id, chunk_id, n of every recovered segment. A chunk whose verdicts (video_id, chunk_id, n,
+    keep) are not exactly one for each of its numbers loses all of its recovered segments; segments of the
+    first pass always stay.
+    """
+    met = same_keys(verdicts, chunks).where("covers")
+    good = verdicts.join(met, ["video_id", "chunk_id"], "left_semi")
+    asked = chunks.select("video_id", "chunk_id", "n").distinct()  # a number is only asked for in its own chunk
+    return replies.apply_verdicts(segments, good.join(asked, ["video_id", "chunk_id", "n"], "left_semi"))
 
 
 def verify_ranges(ranges: DataFrame, lines: DataFrame) -> DataFrame:
@@ -118,7 +175,7 @@ def verify_ranges(ranges: DataFrame, lines: DataFrame) -> DataFrame:
 def accept_ranges(verified: DataFrame) -> DataFrame:
     """FOLD-11: verified ranges that start after the last accepted one of their chunk; rejected ones do not
     count. The state is one number per chunk, so the fold is a higher-order function."""
-    by = verified.where("reason = ''").groupBy("video_id", "chunk_id").agg(F.array_sort(F.collect_list(F.struct("range_no", "first", "last"))).alias("r"))
+    by = verified.where("reason = ''").groupBy("video_id", "chunk_id").agg(F.sort_array(F.collect_list(F.struct("range_no", "first", "last"))).alias("r"))
     kind = "array<struct<range_no:int,first:int,last:int>>"
     step = lambda acc, x: F.when(x["first"] > acc["last"], F.struct(x["last"].alias("last"), F.concat(acc["ok"], F.array(x)).alias("ok"))).otherwise(acc)
     rows = F.transform("r", lambda x: F.struct(x["range_no"].cast("int").alias("range_no"), x["first"].cast("int").alias("first"), x["last"].cast("int").alias("last")))

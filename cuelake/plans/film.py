@@ -9,12 +9,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Protocol
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from cuelake import constants as C
 from cuelake.functions import text as T
-from cuelake.operators import cues, replies, verify
+from cuelake.operators import cues, metrics, replies, verify
 from cuelake.session import cut
 from cuelake.sources import subtitles
 
@@ -37,40 +38,94 @@ class TableCompleter:
 
 @dataclass
 class Film:
-    """lines in their final form, the lines that no reply translated, and the files."""
+    """lines in their final form, the lines that no reply translated, the files, refine's counters and
+    rejections, and what each stage left, by name."""
 
     lines: DataFrame
     missing: DataFrame
     files: DataFrame
+    counters: DataFrame
+    rejected: DataFrame
+    stages: dict[str, DataFrame]
 
 
-def requests(lines: DataFrame, stage: str, attempt: int = 1) -> DataFrame:
-    """STR-13: the numbered lines of each chunk as one prompt; time stamps are not part of it."""
-    row = F.struct("index", F.concat(F.lit("["), F.col("index").cast("string"), F.lit("] "), "text").alias("line"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(row)), lambda x: x["line"]), "\n")
+def requests(lines: DataFrame, stage: str, attempt: int = 1, label: Column | None = None, order: str = "index") -> DataFrame:
+    """STR-13: the numbered lines of each chunk as one prompt; time stamps are not part of it. label: what stands
+    in front of a line, its number in brackets if not given."""
+    mark = F.concat(F.lit("["), F.col("index").cast("string"), F.lit("] ")) if label is None else label
+    row = F.struct(F.col(order).alias("at"), F.concat(mark, "text").alias("line"))
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(row)), lambda x: x["line"]), "\n")
     return lines.groupBy("video_id", "chunk_id").agg(joined.alias("prompt")).select("video_id", F.lit(stage).alias("stage"), "chunk_id", F.lit(attempt).alias("attempt"), "prompt")
 
 
-def refined(lines: DataFrame, model: Completer) -> DataFrame:
-    """Chunks that a reply does not cover exactly keep their lines."""
+def vet(segments: DataFrame, model: Completer, attempts: int = 2) -> DataFrame:
+    """VER-6/FOLD-13: segments (video_id, pos, start, end, text, recovered) without the recovered ones that do not
+    belong. A chunk is asked again if its verdicts are not one for each of its numbers; one that fails twice loses its
+    recovered segments, and so do all chunks after two failures in a row. Segments of the first pass always stay."""
+    budget = cues.token_budget(C.CONTEXT_LIMIT, C.REVIEW_FLOOR, C.REVIEW_CHUNK_TOKENS)
+    numbered = cues.review_numbers(segments).withColumn("index", F.col("pos").cast("int"))
+    chunked = cut(cues.chunks(numbered, budget, C.REVIEW_MARKER))
+    asked = chunked.where("recovered").select("video_id", "chunk_id", F.col("number").cast("int").alias("n"))
+    label = F.when(F.col("recovered"), F.concat(F.lit("*[R"), F.col("number").cast("string"), F.lit("] "))).otherwise(F.concat(F.lit("["), F.coalesce(F.col("number").cast("string"), F.lit("")), F.lit("] ")))
+    open_, verdicts = asked, None
+    for attempt in range(1, attempts + 1):
+        wanted = chunked.join(open_.select("video_id", "chunk_id").distinct(), ["video_id", "chunk_id"], "left_semi")
+        got = replies.parse_verdicts(model.complete(requests(wanted, "vet", attempt, label)))
+        met = cut(verify.same_keys(got, open_).where("covers"))
+        good = cut(got.join(met, ["video_id", "chunk_id"], "left_semi"))
+        verdicts = good if verdicts is None else verdicts.unionByName(good)
+        open_ = cut(open_.join(met, ["video_id", "chunk_id"], "left_anti"))
+    failed = asked.select("video_id", "chunk_id").distinct().join(open_.select("video_id", "chunk_id").distinct().withColumn("_f", F.lit(True)), ["video_id", "chunk_id"], "left")
+    skipped = verify.give_up(failed.select("video_id", "chunk_id", F.coalesce("_f", F.lit(False)).alias("failed")), C.REVIEW_GIVE_UP).where("skipped")
+    held = verdicts.join(skipped, ["video_id", "chunk_id"], "left_anti")
+    return verify.vetted(numbered, held, asked.join(skipped, ["video_id", "chunk_id"], "left_anti")).select(*segments.columns)
+
+
+def refined(lines: DataFrame, model: Completer, max_chars: int = C.MAX_CHARS_PER_LINE, max_duration: float = C.MAX_DURATION) -> tuple[DataFrame, DataFrame]:
+    """Refined lines, and the judged units. Chunks that a reply does not cover exactly keep their lines; after three
+    such chunks in a row, all further ones do."""
     budget = cues.token_budget(C.CONTEXT_LIMIT, C.REFINE_FLOOR, C.REFINE_CHUNK_TOKENS)
     chunked = cut(cues.chunks(lines, budget, C.REFINE_MARKER))
     bounds = chunked.groupBy("video_id", "chunk_id").agg(F.min("index").alias("first_index"), F.max("index").alias("last_index"))
-    units = replies.parse_units(model.complete(requests(chunked, "refine")))
-    return verify.refine(units, lines, bounds)
+    units = cut(replies.parse_units(model.complete(requests(chunked, "refine"))))
+    covered = cut(verify.covers_exactly(units, bounds))
+    skipped = verify.give_up(covered.select("video_id", "chunk_id", (~F.col("covers")).alias("failed")), C.REFINE_GIVE_UP).where("skipped")
+    held = units.join(skipped, ["video_id", "chunk_id"], "left_anti")
+    good = held.join(covered.where("covers"), ["video_id", "chunk_id"], "left_semi")
+    judged = verify.judge_units(good, lines, cues.gap_limit(lines), max_chars, max_duration)
+    return verify.refine(held, lines, bounds, max_chars, max_duration), judged
 
 
 def marked(lines: DataFrame, model: Completer) -> DataFrame:
-    """Lines in ranges that hold up to the text are marked as lyrics; a bad reply marks none."""
+    """Lines in ranges that hold up to the text are marked as lyrics; a bad reply marks none. After two chunks in a
+    row without a reply the others are left alone."""
     budget = cues.token_budget(C.CONTEXT_LIMIT, C.REVIEW_FLOOR, C.REVIEW_CHUNK_TOKENS)
     chunked = cut(cues.chunks(lines, budget, C.REVIEW_MARKER))
-    ranges = replies.parse_ranges(model.complete(requests(chunked, "lyrics")))
+    got = cut(model.complete(requests(chunked, "lyrics")))
+    said = got.select("video_id", "chunk_id").distinct().withColumn("_ok", F.lit(True))
+    failed = chunked.select("video_id", "chunk_id").distinct().join(said, ["video_id", "chunk_id"], "left").select("video_id", "chunk_id", F.col("_ok").isNull().alias("failed"))
+    skipped = verify.give_up(failed, C.REVIEW_GIVE_UP).where("skipped")
+    ranges = replies.parse_ranges(got.join(skipped, ["video_id", "chunk_id"], "left_anti"))
     flagged = verify.mark_lyrics(lines, verify.accept_ranges(verify.verify_ranges(ranges, lines)))
     return flagged.withColumn("text", T.apply_marks(F.col("text"), F.col("is_lyric")))
 
 
+def aligned(lines: DataFrame, model: Completer) -> DataFrame:
+    """VER-8: lines (with chunk_id, translation): a batch whose translations do not go along with its texts in length
+    is asked for once more, and what comes is taken only if it goes along better."""
+    first = metrics.length_correlation(lines, "video_id", "chunk_id").withColumn("attempt", F.lit(1))
+    odd = cut(metrics.better_attempt(first, "video_id", "chunk_id").where(~F.col("aligned")))
+    again = lines.join(odd, ["video_id", "chunk_id"], "left_semi")
+    got = replies.parse_translations(model.complete(requests(again, "align"))).select("video_id", "index", F.col("translation").alias("_new"))
+    tried = cut(again.join(got, ["video_id", "index"], "left").withColumn("translation", F.coalesce("_new", "translation")).drop("_new"))
+    second = metrics.length_correlation(tried, "video_id", "chunk_id").withColumn("attempt", F.lit(2))
+    better = metrics.better_attempt(first.unionByName(second), "video_id", "chunk_id").where("attempt = 2")
+    taken = tried.join(better, ["video_id", "chunk_id"], "left_semi").select("video_id", "index", F.col("translation").alias("_new"))
+    return lines.join(taken, ["video_id", "index"], "left").withColumn("translation", F.coalesce("_new", "translation")).drop("_new")
+
+
 def translated(lines: DataFrame, model: Completer, attempts: int = 3) -> DataFrame:
-    """Translations by batch; lines left out are asked for again."""
+    """Translations by batch; lines left out are asked for again, then batches that look shifted."""
     out = cues.batches(lines).withColumnRenamed("batch", "chunk_id").withColumn("translation", F.lit(""))
     for attempt in range(1, attempts + 1):
         out = cut(out)
@@ -79,14 +134,40 @@ def translated(lines: DataFrame, model: Completer, attempts: int = 3) -> DataFra
             break
         got = replies.parse_translations(model.complete(requests(open_, "translate", attempt))).select("video_id", "index", "translation")
         out = replies.apply_translations(out, got, first=attempt == 1)
+    out = aligned(cut(out), model)
     return out.drop("chunk_id").withColumn("translation", T.apply_marks(F.col("translation"), F.col("is_lyric")))
 
 
-def produce(words: DataFrame, bare: DataFrame, model: Completer, mode: str = "bilingual", layout: str = "original_top", max_chars: int = C.MAX_CHARS_PER_LINE, max_duration: float = C.MAX_DURATION) -> Film:
-    """Words and segments without words to SRT files. A film with missing translations is for the caller to
-    fail or to ship with its original lines, which is what the files hold."""
-    lines = cut(cues.segment(words, bare, max_chars, max_duration))
-    lines = cut(marked(cut(refined(lines, model)), model))
-    done = cut(translated(lines, model))
-    blocks = subtitles.srt_blocks(done, mode, layout, max_chars)
-    return Film(done, done.where("translation = ''").select("video_id", "index"), subtitles.files_of(blocks))
+def batch_tail(lines: DataFrame, n: int = C.TAIL_LINES) -> DataFrame:
+    """WIN-11: video_id, chunk_id, context: the last n lines of the batch before, as "[n] text → translation"."""
+    place = F.row_number().over(Window.partitionBy("video_id", "chunk_id").orderBy(F.desc("index")))
+    row = F.concat(F.lit("["), F.col("index").cast("string"), F.lit("] "), "text", F.lit(" → "), "translation")
+    last = lines.withColumn("_r", place).where(F.col("_r") <= n).groupBy("video_id", "chunk_id").agg(F.sort_array(F.collect_list(F.struct("index", row.alias("t")))).alias("l"))
+    return last.select("video_id", (F.col("chunk_id") + 1).alias("chunk_id"), F.array_join(F.transform("l", lambda x: x["t"]), "\n").alias("context"))
+
+
+def produce(
+    words: DataFrame, bare: DataFrame, model: Completer, mode: str = "bilingual", layout: str = "original_top", max_chars: int = C.MAX_CHARS_PER_LINE,
+    max_duration: float = C.MAX_DURATION, frames: DataFrame | None = None,
+) -> Film:
+    """Words and segments without words to SRT files. bare may have pos and recovered: its recovered segments are
+    vetted first, against the others. frames: replies about frames (video_id, start, duration, reply).
+
+    A film with missing translations is for the caller to fail or to ship with its original lines, which is
+    what the files hold."""
+    if "recovered" in bare.columns:
+        bare = cut(vet(bare, model))
+    transcript = cut(cues.segment(words, bare, max_chars, max_duration))
+    merged, judged = refined(transcript, model, max_chars, max_duration)
+    merged, judged = cut(merged), cut(judged)
+    done = cut(translated(cut(marked(merged, model)), model))
+    shown = subtitles.with_frames(done, subtitles.frame_cues(frames)) if frames is not None else done
+    files = subtitles.files_of(subtitles.srt_blocks(shown, mode, layout, max_chars))
+    missing = done.where("translation = ''").select("video_id", "index")
+    return Film(done, missing, files, verify.refine_counters(judged), verify.rejections(judged), {"transcript": transcript, "transcript_refined": merged, "translation": done})
+
+
+def write_stages(film: Film, path: str) -> None:
+    """SRC-10: what each stage left, as JSON rows in a folder of its own below path."""
+    for name, table in film.stages.items():
+        table.write.mode("overwrite").json(f"{path}/{name}")

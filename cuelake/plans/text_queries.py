@@ -66,10 +66,7 @@ def txt_single_sentence(spark, sf_dir):
     return lines(spark, sf_dir).select("video_id", "index", T.is_single_sentence(F.col("text")).alias("single"))
 
 
-_WRAP = f"""WITH {LINES}, c AS (SELECT video_id, index, text, length(text) AS n, list_transform(list_filter(range(1, length(text) - 1), lambda i: contains('{T.BREAKS}', substr(text, i + 1, 1))),
-  lambda i: CASE WHEN substr(text, i + 1, 1) = ' ' THEN i ELSE i + 1 END) AS cuts FROM lines),
-r AS (SELECT *, list_sort(list_transform(cuts, lambda k: {{'wide': greatest(length({D.strip('substr(text, 1, k)')}), length({D.strip('substr(text, k + 1)')})) > 42, 'off': abs(k - n / 2), 'k': k}}))[1].k AS k FROM c)
-SELECT video_id, index, CASE WHEN n <= 42 OR k IS NULL THEN text ELSE {D.strip('substr(text, 1, k)')} || chr(10) || {D.strip('substr(text, k + 1)')} END AS wrapped FROM r"""
+_WRAP = f"WITH {LINES} {D.wrap('lines', 'text')}"
 
 
 @query("txt_wrap", _WRAP)
@@ -154,11 +151,11 @@ def agg_token_tally(spark, sf_dir):
     return metrics.tally(x, "index").select("index", "calls", "prompt", "completion")
 
 
-@query("ver_bag_overlap", f"""WITH d AS (SELECT doc_id, b.item_id, {D.words('d.text')} AS dw, {D.words('b.text')} AS bw FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id % 40),
-dc AS (SELECT doc_id, item_id, w, count(*) AS n FROM (SELECT doc_id, item_id, unnest(dw) AS w FROM d) GROUP BY ALL), bc AS (SELECT doc_id, item_id, w, count(*) AS n FROM (SELECT doc_id, item_id, unnest(bw) AS w FROM d) GROUP BY ALL),
-k AS (SELECT doc_id, item_id, sum(least(dc.n, bc.n))::BIGINT AS kept FROM dc JOIN bc USING (doc_id, item_id, w) GROUP BY ALL)
-SELECT d.doc_id, d.item_id, coalesce(kept, 0) AS kept, len(bw) AS total, len(dw) - coalesce(kept, 0) AS added,
-  len(bw) = 0 OR (coalesce(kept, 0) >= 0.6 * len(bw) AND len(dw) - coalesce(kept, 0) <= greatest(2, 0.25 * len(dw))) AS faithful FROM d LEFT JOIN k USING (doc_id, item_id)""")
+@query("ver_bag_overlap", f"""WITH {TURNS}, w AS (SELECT video_id, index, {D.words('translation')} AS a, {D.words('text')} AS b FROM turns),
+a AS (SELECT video_id, index, w, count(*) AS n FROM (SELECT video_id, index, unnest(a) AS w FROM w) GROUP BY ALL), b AS (SELECT video_id, index, w, count(*) AS n FROM (SELECT video_id, index, unnest(b) AS w FROM w) GROUP BY ALL),
+k AS (SELECT video_id, index, sum(least(a.n, b.n))::BIGINT AS kept FROM a JOIN b USING (video_id, index, w) GROUP BY ALL)
+SELECT video_id, index, coalesce(kept, 0) AS kept, len(w.b) AS total, len(w.a) - coalesce(kept, 0) AS added,
+  len(w.b) = 0 OR (coalesce(kept, 0) >= 0.6 * len(w.b) AND len(w.a) - coalesce(kept, 0) <= greatest(2, 0.25 * len(w.a))) AS faithful FROM w LEFT JOIN k USING (video_id, index)""")
 def ver_bag_overlap(spark, sf_dir):
     from cuelake.operators import verify
 

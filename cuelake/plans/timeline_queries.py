@@ -162,7 +162,7 @@ def _levels(spark, sf_dir):
 
 
 _LEVELS = """levels AS (SELECT event_id % 10 AS video_id, (event_id // 10)::INT AS sec, -max(value) / 10 AS db FROM events GROUP BY ALL),
-iv AS (SELECT event_id % 10 AS video_id, (event_id % 700)::DOUBLE AS start, event_id % 700 + value / 20 AS "end" FROM events WHERE event_id % 50 < 10),
+iv AS (SELECT event_id % 10 AS video_id, (event_id % 700)::DOUBLE AS start, event_id % 700 + value / 20 AS "end" FROM events),
 lv AS (SELECT i.video_id, i.start, i."end", coalesce(median(l.db), -140.0) AS level FROM (SELECT DISTINCT * FROM iv) i LEFT JOIN levels l ON i.video_id = l.video_id AND l.sec >= floor(i.start) AND l.sec < greatest(floor(i."end"), floor(i.start) + 1) GROUP BY ALL)"""
 
 
@@ -249,35 +249,50 @@ def _cut_lines(spark, sf_dir):
     return each.select("video_id", (F.col("index") * 1000 + F.col("k")).alias("index"), (F.col("start") + F.col("k") * 3).alias("start"), (F.col("start") + F.col("k") * 3 + 2.5).alias("end"), "text")
 
 
-@query("fold_merge", f"""WITH RECURSIVE {LINES}, cut AS (SELECT video_id, index, start, "end", text, row_number() OVER (PARTITION BY video_id ORDER BY start, "end", index) AS i FROM (
+_CUT = f"""cut AS (SELECT video_id, index, start, "end", text, row_number() OVER (PARTITION BY video_id ORDER BY start, "end", index) AS i FROM (
   SELECT video_id, index * 1000 + k AS index, start + k * 3 AS start, start + k * 3 + 2.5 AS "end", {D.strip('substr(text, k * 40 + 1, 40)')} AS text
-  FROM (SELECT *, unnest(range(0, ceil(length(text) / 40)::INT)) AS k FROM lines WHERE index <= 12)) WHERE text <> ''),
-pu AS (SELECT video_id, avg(CASE WHEN {D.ends_sentence('text')} THEN 0.0 ELSE 1.0 END) <= 0.5 AS p FROM cut GROUP BY video_id),
-x AS (SELECT cut.*, p, {D.is_fragment('text')} AS frag, {D.ends_sentence('text')} AS ends FROM cut JOIN pu USING (video_id)),
-f AS (SELECT video_id, i, 1 AS cue, start, "end", text, frag, ends FROM x WHERE i = 1
-  UNION ALL SELECT b.video_id, b.i, CASE WHEN m THEN cue ELSE cue + 1 END, CASE WHEN m THEN s0 ELSE b.start END, b."end", CASE WHEN m THEN joined ELSE b.text END, CASE WHEN m THEN {D.is_fragment('joined')} ELSE b.frag END, CASE WHEN m THEN {D.ends_sentence('joined')} ELSE b.ends END FROM (
-    SELECT n.*, f.cue, f.start AS s0, {D.join_text('f.text', 'n.text')} AS joined, CASE WHEN f.frag OR n.frag THEN NOT (n.frag AND f.ends) AND n.start - f."end" <= 1.5 ELSE n.p AND NOT f.ends AND n.start - f."end" <= 0.8 END
-      AND length({D.join_text('f.text', 'n.text')}) <= 84 AND n."end" - f.start <= 7.0 AS m FROM f JOIN x n ON n.video_id = f.video_id AND n.i = f.i + 1) b)
-SELECT video_id, cue AS index, round(min(start), 6) AS start, round(max("end"), 6) AS "end", arg_max(text, i) AS text FROM f GROUP BY video_id, cue""")
+  FROM (SELECT *, unnest(range(0, ceil(length(text) / 40)::INT)) AS k FROM lines)) WHERE text <> '')"""
+
+
+@query("fold_merge", f"""WITH RECURSIVE {LINES}, {_CUT}, {D.merged('cut')} SELECT video_id, index, round(start, 6) AS start, round("end", 6) AS "end", text FROM merged""")
 def fold_merge(spark, sf_dir):
     return _round(cues.merge_cues(_cut_lines(spark, sf_dir)), "start", "end")
 
 
-@query("fold_words")
+def _spoken_words(spark, sf_dir, kind=None):
+    """Events as words of segments of a few hundred, some with punctuation, with pauses of 0.2 or 2.5 s."""
+    k = F.col("word_no")
+    start = k * 0.7 + F.floor(k / 13) * 2
+    text = F.concat(F.lit(" "), "text", F.when(k % 11 == 3, ",").when(k % 17 == 5, ".").otherwise(""))
+    return words(spark, sf_dir, kind).select("video_id", F.floor(k / 500).alias("seg_no"), "word_no", start.alias("start"), (start + 0.5).alias("end"), text.alias("text"))
+
+
+_SPOKEN = """spoken AS (SELECT video_id, word_no // 500 AS seg_no, word_no, word_no * 0.7::DOUBLE + word_no // 13 * 2 AS start, word_no * 0.7::DOUBLE + word_no // 13 * 2 + 0.5::DOUBLE AS "end",
+  ' ' || text || CASE WHEN word_no % 11 = 3 THEN ',' WHEN word_no % 17 = 5 THEN '.' ELSE '' END AS text FROM words)"""
+
+
+@query("fold_words", f"WITH RECURSIVE {WORDS}, {_SPOKEN}, {D.word_cues('spoken')} SELECT * FROM word_cues")
 def fold_words(spark, sf_dir):
-    w = words(spark, sf_dir).select("video_id", F.floor(F.col("word_no") / 500).alias("seg_no"), "word_no", (F.col("word_no") * 0.7).alias("start"), (F.col("word_no") * 0.7 + 0.5).alias("end"), F.concat(F.lit(" "), "text").alias("text"))
-    return cues.cues_from_words(w)
+    return cues.cues_from_words(_spoken_words(spark, sf_dir))
+
 
+def _bare(spark, sf_dir):
+    return lines(spark, sf_dir).select("video_id", F.col("index").cast("long").alias("seg_no"), "start", "end", "text")
 
-@query("fold_split_text")
+
+_BARE = """bare AS (SELECT video_id, index::BIGINT AS seg_no, start, "end", text FROM lines)"""
+
+
+@query("fold_split_text", f"WITH RECURSIVE {LINES}, {_BARE}, {D.text_cues('bare')} SELECT * FROM text_cues")
 def fold_split_text(spark, sf_dir):
-    return cues.cues_from_text(lines(spark, sf_dir).withColumn("seg_no", F.col("index").cast("long")))
+    return cues.cues_from_text(_bare(spark, sf_dir))
 
 
-@query("segment_cues")
+@query("segment_cues", f"""WITH RECURSIVE {LINES}, {WORDS}, {_SPOKEN}, click AS (SELECT * FROM spoken WHERE text LIKE ' click%'), {_BARE}, {D.word_cues('click')}, {D.text_cues('bare')},
+both_ AS (SELECT * FROM word_cues UNION ALL SELECT * FROM text_cues), sorted AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY start, "end", seg_no, cue_no) AS i FROM both_), {D.merged('sorted')}
+SELECT video_id, index, CASE WHEN start < p THEN round_even(least(p, "end" - 0.05), 3) ELSE start END AS start, "end", text FROM (SELECT *, lag("end") OVER (PARTITION BY video_id ORDER BY index) AS p FROM merged)""")
 def segment_cues(spark, sf_dir):
-    w = words(spark, sf_dir, "click").select("video_id", F.floor(F.col("word_no") / 500).alias("seg_no"), "word_no", (F.col("word_no") * 0.7).alias("start"), (F.col("word_no") * 0.7 + 0.5).alias("end"), F.concat(F.lit(" "), "text").alias("text"))
-    return cues.segment(w, lines(spark, sf_dir).withColumn("seg_no", F.col("index").cast("long")).select("video_id", "seg_no", "start", "end", "text"))
+    return cues.segment(_spoken_words(spark, sf_dir, "click"), _bare(spark, sf_dir))
 
 
 @query("fold_give_up", """WITH c AS (SELECT user_id AS video_id, event_id AS chunk_id, value < 250 AS failed FROM events), r AS (SELECT *, sum((NOT failed)::INT) OVER (PARTITION BY video_id ORDER BY chunk_id ROWS UNBOUNDED PRECEDING) AS run FROM c),
@@ -294,9 +309,9 @@ def fold_give_up(spark, sf_dir):
 def _units(spark, sf_dir):
     """A reply that groups lines in pairs, with every seventh pair left out."""
     x = lines(spark, sf_dir).withColumns({"pair": F.floor((F.col("index") - 1) / 2).cast("int")})
-    g = x.groupBy("video_id", "pair").agg(F.min("index").alias("first"), F.max("index").alias("last"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("index", "text"))), lambda t: t["text"]), " ").alias("text"))
+    g = x.groupBy("video_id", "pair").agg(F.min("index").alias("first"), F.max("index").alias("last"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("index", "text"))), lambda t: t["text"]), " ").alias("text"))
     body = F.concat(F.lit("["), F.col("first").cast("string"), F.lit("-"), F.col("last").cast("string"), F.lit("] "), "text")
-    kept = g.where("pair % 7 <> 6 or video_id % 2 = 0").groupBy("video_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pair", body.alias("b")))), lambda t: t["b"]), "\n").alias("reply"))
+    kept = g.where("pair % 7 <> 6 or video_id % 2 = 0").groupBy("video_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pair", body.alias("b")))), lambda t: t["b"]), "\n").alias("reply"))
     return kept.select("video_id", F.lit(0).alias("chunk_id"), F.concat(F.lit("```\n"), "reply", F.lit("\n```")).alias("reply"))
 
 
@@ -321,19 +336,48 @@ def join_units(spark, sf_dir):
     return replies.lines_of(parse_units(spark, sf_dir), lines(spark, sf_dir)).select("video_id", "unit_no", "index", "line_text")
 
 
-@query("ver_apply_units")
+_JUDGED = f"""{_UNITS}, g AS (SELECT video_id, lead(start) OVER (PARTITION BY video_id ORDER BY index) - "end" AS gap FROM lines), gl AS (SELECT video_id, list_sort(list(gap) FILTER (WHERE gap > 0)) AS l FROM g GROUP BY video_id),
+lim AS (SELECT video_id, CASE WHEN l IS NULL OR len(l) = 0 THEN 1.2 ELSE least(greatest(l[least(floor(len(l) * 0.40)::BIGINT, len(l) - 1) + 1], 1.2), 2.5) END AS gap_limit FROM gl),
+src AS (SELECT u.video_id, u.unit_no, u.first, u.last, u.text, l.index, l.start, l."end", l.text AS lt, {D.is_fragment('l.text')} AS frag, lag(l."end") OVER w AS pe, lag({D.is_fragment('l.text')}) OVER w AS pf,
+  CASE WHEN {D.is_single_sentence('u.text')} THEN greatest(gap_limit, 6.0) ELSE gap_limit END AS lim FROM units u JOIN lines l ON u.video_id = l.video_id AND l.index BETWEEN u.first AND u.last JOIN lim ON u.video_id = lim.video_id
+  WINDOW w AS (PARTITION BY u.video_id, u.unit_no ORDER BY l.index)),
+un AS (SELECT video_id, unit_no, first, last, text, count(*) AS n, coalesce(bool_or(start - pe > lim AND NOT frag AND NOT pf), false) AS far, bool_or(frag) AS any_frag, min(start) AS s, max("end") AS e, arg_min(frag, index) AS hf, arg_max(frag, index) AS tf,
+  list_reduce(list(lt ORDER BY index), lambda a, b: {D.join_text('a', 'b')}) AS joined FROM src GROUP BY ALL),
+fa AS (SELECT *, {D.words('text')} AS cw, {D.words('joined')} AS sw FROM un),
+fb AS (SELECT *, {D.bag_kept('cw', 'sw')} AS kept FROM fa),
+judged AS (SELECT *, CASE WHEN NOT (len(sw) = 0 OR (kept >= 0.6 * len(sw) AND len(cw) - kept <= greatest(2, 0.25 * len(cw)))) THEN 'fidelity' WHEN n > 1 AND far THEN 'pause'
+  WHEN n > 1 AND length(text) > CASE WHEN any_frag THEN 126 ELSE 84 END THEN 'width' WHEN n > 1 AND e - s > 7.0 AND NOT hf AND NOT tf THEN 'span' ELSE '' END AS reason FROM fb)"""
+
+
+def _judged(spark, sf_dir):
+    x = lines(spark, sf_dir)
+    return verify.judge_units(parse_units(spark, sf_dir), x, cues.gap_limit(x))
+
+
+@query("ver_apply_units", f"""WITH {_JUDGED} SELECT video_id, first, round_even(CASE WHEN n > 1 AND e - s > 7.0 AND hf THEN e - 7.0 ELSE s END, 3) AS start, round_even(CASE WHEN n > 1 AND e - s > 7.0 AND NOT hf THEN s + 7.0 ELSE e END, 3) AS "end", text, true AS accepted FROM judged WHERE reason = ''
+UNION ALL SELECT src.video_id, index, start, "end", lt, false FROM src JOIN judged USING (video_id, unit_no) WHERE reason <> ''""")
 def ver_apply_units(spark, sf_dir):
     x = lines(spark, sf_dir)
     return verify.apply_units(parse_units(spark, sf_dir), x, cues.gap_limit(x))
 
 
+@query("agg_refine_counters", f"WITH {_JUDGED} SELECT video_id, sum(CASE WHEN reason = '' THEN n - 1 ELSE 0 END)::BIGINT AS merged, count(*) FILTER (WHERE reason = '' AND text <> joined) AS corrected, count(*) FILTER (WHERE reason <> '') AS rejected FROM judged GROUP BY video_id")
+def agg_refine_counters(spark, sf_dir):
+    return verify.refine_counters(_judged(spark, sf_dir))
+
+
+@query("ver_rejections", f"WITH {_JUDGED} SELECT video_id, first, last, reason, text FROM judged WHERE reason <> ''")
+def ver_rejections(spark, sf_dir):
+    return verify.rejections(_judged(spark, sf_dir))
+
+
 _T = f"{TURNS}, said AS (SELECT video_id, index, {D.strip('''regexp_replace(translation, '[\\s]+', ' ', 'g')''')} AS t FROM turns)"
 
 
 def _translated(spark, sf_dir):
     t = turns(spark, sf_dir).withColumn("t", T.strip(F.regexp_replace("translation", r"[\s]+", " ")))
     row = F.concat(F.lit("["), F.col("index").cast("string"), F.lit("] "), "t")
-    return t.where("(index + video_id) % 5 <> 4 and t <> ''").groupBy("video_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("index", row.alias("r")))), lambda x: x["r"]), "\n").alias("reply")).withColumn("chunk_id", F.lit(0))
+    return t.where("(index + video_id) % 5 <> 4 and t <> ''").groupBy("video_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("index", row.alias("r")))), lambda x: x["r"]), "\n").alias("reply")).withColumn("chunk_id", F.lit(0))
 
 
 @query("join_translations", f"WITH {_T} SELECT video_id, index, CASE WHEN (index + video_id) % 5 <> 4 AND t <> '' THEN t ELSE '' END AS translation FROM said")
@@ -352,7 +396,7 @@ def join_verdicts(spark, sf_dir):
     c = read_table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("video_id"), F.col("turn").alias("pos"), "text", (F.col("role") == "assistant").alias("recovered"))
     numbered = cues.review_numbers(c)
     r = numbered.where("recovered").withColumn("row", F.concat(F.lit("[R"), F.col("number").cast("string"), F.when(F.col("pos") % 3 == 0, "] drop: odd").otherwise("] keep")))
-    reply = r.groupBy("video_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("number", "row"))), lambda x: x["row"]), "\n").alias("reply")).withColumn("chunk_id", F.lit(0))
+    reply = r.groupBy("video_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("number", "row"))), lambda x: x["row"]), "\n").alias("reply")).withColumn("chunk_id", F.lit(0))
     return replies.apply_verdicts(numbered, replies.parse_verdicts(reply)).select("video_id", "pos")
 
 
@@ -377,12 +421,71 @@ def fold_ranges(spark, sf_dir):
     return verify.accept_ranges(r).drop("chunk_id")
 
 
+_R = """r AS (SELECT conv_id AS video_id, turn AS pos, role = 'assistant' AS recovered, row_number() OVER (PARTITION BY conv_id, role = 'assistant' ORDER BY turn)::INT AS n FROM conversations),
+asked AS (SELECT video_id, (pos // 4)::INT AS chunk_id, n FROM r WHERE recovered), got AS (SELECT video_id, chunk_id, n FROM asked WHERE n % 5 <> 0 OR video_id % 2 = 0),
+met AS (SELECT video_id, chunk_id, count(*) = count(g.n) AS covers FROM asked a LEFT JOIN got g USING (video_id, chunk_id, n) GROUP BY ALL)"""
+
+
+def _review(spark, sf_dir):
+    """Assistant turns as recovered segments in chunks of four turns, and a reply that leaves some numbers out."""
+    c = read_table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("video_id"), F.col("turn").alias("pos"), "text", (F.col("role") == "assistant").alias("recovered"))
+    numbered = cues.review_numbers(c)
+    asked = numbered.where("recovered").select("video_id", F.floor(F.col("pos") / 4).cast("int").alias("chunk_id"), F.col("number").cast("int").alias("n"))
+    got = asked.where("n % 5 <> 0 or video_id % 2 = 0").withColumns({"keep": F.col("n") % 3 != 0, "reason": F.lit("")})
+    return numbered, asked, got
+
+
+@query("ver_same_keys", f"WITH {_R} SELECT * FROM met")
+def ver_same_keys(spark, sf_dir):
+    _, asked, got = _review(spark, sf_dir)
+    return verify.same_keys(got, asked)
+
+
+@query("ver_vetted", f"WITH {_R} SELECT r.video_id, r.pos FROM r LEFT JOIN got g ON r.recovered AND r.video_id = g.video_id AND r.n = g.n LEFT JOIN met m ON g.video_id = m.video_id AND g.chunk_id = m.chunk_id WHERE NOT r.recovered OR (m.covers AND g.n % 3 <> 0)")
+def ver_vetted(spark, sf_dir):
+    numbered, asked, got = _review(spark, sf_dir)
+    return verify.vetted(numbered, got, asked).select("video_id", "pos")
+
+
+@query("ver_alignment", f"""WITH {TURNS}, t AS (SELECT index AS k, video_id % 3 AS g, length(text) AS a, length(translation) AS b1, length(translation) + 3 * length(text) AS b2 FROM turns WHERE translation <> ''),
+r AS (SELECT k, g, CASE WHEN count(*) >= 20 AND stddev_pop(a) * stddev_pop(b1) > 0 THEN covar_pop(a, b1) / (stddev_pop(a) * stddev_pop(b1)) END AS r1, CASE WHEN count(*) >= 20 AND stddev_pop(a) * stddev_pop(b2) > 0 THEN covar_pop(a, b2) / (stddev_pop(a) * stddev_pop(b2)) END AS r2 FROM t GROUP BY ALL)
+SELECT k AS index, g::BIGINT AS grp, CASE WHEN coalesce(r2 > r1, false) THEN 2 ELSE 1 END AS attempt, coalesce(r1 >= 0.45, true) AS aligned FROM r""")
+def ver_alignment(spark, sf_dir):
+    t = turns(spark, sf_dir).withColumn("grp", (F.col("video_id") % 3).cast("long"))
+    better = t.withColumn("translation", F.when(F.col("translation") != "", F.concat("translation", F.repeat("text", F.lit(3)))).otherwise(""))
+    r = [metrics.length_correlation(x, "index", "grp").withColumn("attempt", F.lit(k)) for k, x in ((1, t), (2, better))]
+    return metrics.better_attempt(r[0].unionByName(r[1]), "index", "grp")
+
+
+@query("join_disagreement", f"""WITH {WORDS}, {_SPEECH} SELECT * FROM (SELECT video_id, word_no AS index, word_no % 2 = 0 AS is_lyric,
+  EXISTS (SELECT 1 FROM speech b WHERE a.video_id = b.video_id AND least(a."end", b."end") - greatest(a.start, b.start) > 0.2) AS touched FROM words a) WHERE is_lyric <> touched""")
+def join_disagreement(spark, sf_dir):
+    x = words(spark, sf_dir).select("video_id", F.col("word_no").alias("index"), "start", "end", (F.col("word_no") % 2 == 0).alias("is_lyric"))
+    return intervals.disagreement(x, _speech(spark, sf_dir)).select("video_id", "index", "is_lyric", "touched")
+
+
+@query("win_progress", """WITH RECURSIVE e AS (SELECT user_id AS job_id, event_id AS seq, value / 500 AS progress, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+f AS (SELECT job_id, i, seq, progress, progress AS last, true AS said FROM e WHERE i = 1
+  UNION ALL SELECT e.job_id, e.i, e.seq, e.progress, CASE WHEN e.progress - f.last >= 0.05 THEN e.progress ELSE f.last END, e.progress - f.last >= 0.05 FROM f JOIN e ON e.job_id = f.job_id AND e.i = f.i + 1)
+SELECT job_id, seq, progress FROM f WHERE said""")
+def win_progress(spark, sf_dir):
+    return cues.progress_logged(_events(spark, sf_dir))
+
+
+@query("win_stalls", """WITH e AS (SELECT user_id AS job_id, event_id AS seq, event_id * 7.0 AS ts, event_id // 400 AS done FROM events), c AS (SELECT *, lag(done) OVER (PARTITION BY job_id ORDER BY seq) AS p FROM e),
+s AS (SELECT *, ts - max(CASE WHEN p IS NULL OR p <> done THEN ts END) OVER (PARTITION BY job_id ORDER BY seq) AS stalled FROM c), t AS (SELECT *, floor(stalled / 60) AS k FROM s)
+SELECT job_id, seq, stalled, k > 0 AND k > coalesce(CASE WHEN p IS NULL OR p <> done THEN 0 ELSE lag(k) OVER (PARTITION BY job_id ORDER BY seq) END, 0) AS warn FROM t""")
+def win_stalls(spark, sf_dir):
+    e = read_table(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), (F.col("event_id") * 7.0).alias("ts"), F.floor(F.col("event_id") / 400).alias("done"))
+    return cues.stalls(e).select("job_id", "seq", "stalled", "warn")
+
+
 # --- glossary, media, files, jobs
 
 
 def _terms(spark, sf_dir):
     e = read_table(spark, sf_dir, "events").select((F.col("user_id") % 5).alias("batch_id"), F.floor(F.col("event_id") / 1000).alias("episode_no"), "event_id", F.concat(F.lit("- "), "event_type", F.lit("-"), (F.col("event_id") % 11).cast("string"), F.lit(" → v"), (F.col("event_id") % 7).cast("string")).alias("row"))
-    r = e.groupBy("batch_id", "episode_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "row"))), lambda x: x["row"]), "\n").alias("reply"))
+    r = e.groupBy("batch_id", "episode_no").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("event_id", "row"))), lambda x: x["row"]), "\n").alias("reply"))
     return glossary.terms_of(r)
 
 
@@ -413,6 +516,22 @@ def join_language(spark, sf_dir):
     return read_table(spark, sf_dir, "documents").select("doc_id", media.canon_language(F.col("lang")).alias("code"))
 
 
+@query("join_targets", """SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'zh' WHEN 1 THEN 'ko' WHEN 2 THEN 'de' WHEN 3 THEN 'en' ELSE 'sub' END AS suffix, CASE o_orderkey % 5 WHEN 0 THEN 'chi' WHEN 1 THEN 'kor' WHEN 2 THEN 'ger' WHEN 3 THEN 'eng' ELSE 'und' END AS code FROM orders""")
+def join_targets(spark, sf_dir):
+    name = F.element_at(F.array(*map(F.lit, ("简体中文", "한국어", " Deutsch ", "English", "Klingon"))), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    return read_table(spark, sf_dir, "orders").select("o_orderkey", media.target_track(name).alias("t")).select("o_orderkey", "t.*")
+
+
+@query("out_names", """WITH t AS (SELECT l_orderkey AS k, CASE WHEN l_linenumber = 1 THEN 1 ELSE l_linenumber END AS n FROM lineitem WHERE l_partkey % 3 <> 0)
+SELECT 'film' || o_orderkey AS stem, 'zh' AS suffix, 'film' || o_orderkey || '.zh' || CASE WHEN n = 1 THEN '' ELSE '.' || n END || '.mkv' AS path
+FROM (SELECT o_orderkey, (SELECT min(i) FROM range(1, 20) r(i) WHERE i NOT IN (SELECT n FROM t WHERE k = o_orderkey)) AS n FROM orders)""")
+def out_names(spark, sf_dir):
+    stem = lambda c: F.concat(F.lit("film"), F.col(c).cast("string"))
+    n = F.when(F.col("l_linenumber") > 1, F.col("l_linenumber").cast("string"))
+    taken = read_table(spark, sf_dir, "lineitem").where("l_partkey % 3 <> 0").select(F.concat_ws(".", stem("l_orderkey"), F.lit("zh"), n, F.lit("mkv")).alias("path"))
+    return media.output_name(read_table(spark, sf_dir, "orders").select(stem("o_orderkey").alias("stem"), F.lit("zh").alias("suffix")), taken)
+
+
 _FILES = """f AS (SELECT regexp_replace(url, '/+$', '') || CASE page_id % 3 WHEN 0 THEN '.mkv' WHEN 1 THEN '.MP4' ELSE '.txt' END AS path, page_id FROM pages UNION ALL SELECT regexp_replace(url, '/+$', '') || '.srt', page_id FROM pages WHERE page_id % 2 = 0)"""
 
 
@@ -446,39 +565,62 @@ def _film(spark, sf_dir):
     return lines(spark, sf_dir).withColumn("translation", F.when(F.col("index") % 4 == 0, "").otherwise(F.concat(F.lit("T: "), "text")))
 
 
-_FILM = f"""{LINES}, film AS (SELECT video_id, index, start, "end", text, CASE WHEN index % 4 = 0 THEN text ELSE 'T: ' || text END AS tr FROM lines WHERE index <= 20)"""
+_FILM = f"""{LINES}, film0 AS (SELECT video_id, index, start, "end", text, CASE WHEN index % 4 = 0 THEN text ELSE 'T: ' || text END AS tr FROM lines), wt AS ({D.wrap('film0', 'text')}), wr AS ({D.wrap('film0', 'tr')}),
+film AS (SELECT video_id, index, start, "end", wt.wrapped AS text, wr.wrapped AS tr, row_number() OVER (PARTITION BY video_id ORDER BY start, index) AS n FROM film0 JOIN wt USING (video_id, index) JOIN wr USING (video_id, index))"""
+_SRT_SPAN = f"""{D.clock('start', 1000, '%02d:%02d:%02d,%03d')} || ' --> ' || {D.clock('"end"', 1000, '%02d:%02d:%02d,%03d')}"""
+_ASS_SPAN = f"""'Dialogue: 0,' || {D.clock('start', 100, '%d:%02d:%02d.%02d')} || ',' || {D.clock('"end"', 100, '%d:%02d:%02d.%02d')} || ',Default,,0,0,0,,'"""
+_ASS_TEXT = """replace(replace(replace({0}, '{{', '（'), '}}', '）'), chr(10), '\\N')"""
+_ASS_ROW = f"""{_ASS_SPAN} || '{{\\fs40\\c&H00C0C0C0&}}' || {_ASS_TEXT.format('text')} || '{{\\r}}\\N' || {_ASS_TEXT.format('tr')}"""
 
 
-@query("sink_srt", f"""WITH {_FILM}, b AS (SELECT video_id, index, row_number() OVER (PARTITION BY video_id ORDER BY start, index) AS n, start, "end", text, tr FROM film)
-SELECT video_id, md5(string_agg(n::VARCHAR || chr(10) || {D.clock('start', 1000, '%02d:%02d:%02d,%03d')} || ' --> ' || {D.clock('"end"', 1000, '%02d:%02d:%02d,%03d')} || chr(10) || text || chr(10) || tr || chr(10), chr(10) ORDER BY n)) AS digest FROM b GROUP BY video_id""")
+@query("sink_srt", f"""WITH {_FILM} SELECT video_id, md5(string_agg(n::VARCHAR || chr(10) || {_SRT_SPAN} || chr(10) || text || chr(10) || tr || chr(10), chr(10) ORDER BY n)) AS digest FROM film GROUP BY video_id""")
 def sink_srt(spark, sf_dir):
-    return subtitles.files_of(subtitles.srt_blocks(_film(spark, sf_dir), max_chars=0)).select("video_id", F.md5("text").alias("digest"))
+    return subtitles.files_of(subtitles.srt_blocks(_film(spark, sf_dir))).select("video_id", F.md5("text").alias("digest"))
 
 
-@query("sink_ass", f"""WITH {_FILM}, b AS (SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY start, index) AS n, start, "end", replace(replace(text, '{{', '（'), '}}', '）') AS text, replace(replace(tr, '{{', '（'), '}}', '）') AS tr FROM film)
-SELECT video_id, md5(string_agg('Dialogue: 0,' || {D.clock('start', 100, '%d:%02d:%02d.%02d')} || ',' || {D.clock('"end"', 100, '%d:%02d:%02d.%02d')} || ',Default,,0,0,0,,{{\\fs40\\c&H00C0C0C0&}}' || text || '{{\\r}}\\N' || tr, chr(10) ORDER BY n)) AS digest FROM b GROUP BY video_id""")
+@query("sink_ass", f"""WITH {_FILM} SELECT video_id, md5(string_agg({_ASS_ROW}, chr(10) ORDER BY n)) AS digest FROM film GROUP BY video_id""")
 def sink_ass(spark, sf_dir):
-    return subtitles.files_of(subtitles.ass_events(_film(spark, sf_dir), max_chars=0)).select("video_id", F.md5("text").alias("digest"))
+    return subtitles.files_of(subtitles.ass_events(_film(spark, sf_dir))).select("video_id", F.md5("text").alias("digest"))
 
 
-@query("read_srt", f"""WITH {_FILM} SELECT video_id, (row_number() OVER (PARTITION BY video_id ORDER BY start, index) - 1)::INT AS pos, round(start, 3) AS start, round("end", 3) AS "end", text || chr(10) || tr AS body FROM film""")
+@query("read_srt", f"""WITH {_FILM} SELECT video_id, (n - 1)::INT AS pos, round(start, 3) AS start, round("end", 3) AS "end", text || chr(10) || tr AS body FROM film""")
 def read_srt(spark, sf_dir):
-    files = subtitles.files_of(subtitles.srt_blocks(_film(spark, sf_dir), max_chars=0))
+    files = subtitles.files_of(subtitles.srt_blocks(_film(spark, sf_dir)))
     return subtitles.parse_srt(files, "video_id").select("video_id", "pos", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"), "body")
 
 
-@query("sink_insert_srt")
+def _read_back(unit: int) -> str:
+    """The start as a reader takes it from the text, from a number of units."""
+    n = f"round_even(greatest(start, 0.0) * {unit}, 0)::BIGINT"
+    return f"(({n} // {3600 * unit} * 3600 + {n} // {60 * unit} % 60 * 60 + {n} // {unit} % 60)::DOUBLE + ({n} % {unit})::DOUBLE / {unit})"
+
+
+_SIGNS = """signs AS (SELECT video_id, index, start + 0.5 AS start, "end" FROM film WHERE index % 5 = 0)"""
+
+
+def _signs(film):
+    return film.where("index % 5 = 0").select("video_id", (F.col("start") + 0.5).alias("start"), "end", F.lit("SIGN").alias("text"))
+
+
+@query("sink_insert_srt", f"""WITH {_FILM}, {_SIGNS}, b AS (SELECT video_id, {_read_back(1000)} AS began, 0 AS src, n AS pos, {_SRT_SPAN} || chr(10) || text || chr(10) || tr AS body FROM film
+  UNION ALL SELECT video_id, start, 1, row_number() OVER (PARTITION BY video_id ORDER BY start, "end"), {_SRT_SPAN} || chr(10) || '{{\\an7}}SIGN' FROM signs),
+c AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY began, src, pos) AS n FROM b) SELECT video_id, string_agg(n::VARCHAR || chr(10) || body || chr(10), chr(10) ORDER BY n) AS text FROM c GROUP BY video_id""")
 def sink_insert_srt(spark, sf_dir):
     film = _film(spark, sf_dir)
-    extra = film.where("index % 5 = 0").select("video_id", (F.col("start") + 0.5).alias("start"), "end", F.lit("SIGN").alias("text"))
-    return subtitles.insert_srt(subtitles.files_of(subtitles.srt_blocks(film)), extra)
+    return subtitles.insert_srt(subtitles.files_of(subtitles.srt_blocks(film)), _signs(film))
+
+
+_HEAD = subtitles.ass_head().rstrip("\n")
 
 
-@query("sink_insert_ass")
+@query("sink_insert_ass", f"""WITH {_FILM}, {_SIGNS}, d AS (SELECT video_id, {_read_back(100)} AS began, n, {_ASS_ROW} AS line FROM film),
+s AS (SELECT video_id, start, "end", {_ASS_SPAN} || '{{\\an7}}SIGN' AS line, row_number() OVER (PARTITION BY video_id ORDER BY start, "end") AS k FROM signs),
+p AS (SELECT s.video_id, s.k, any_value(s.start) AS start, any_value(s.line) AS line, coalesce(min(d.n) FILTER (WHERE d.began > s.start), max(d.n) + 1) AS n FROM s JOIN d USING (video_id) GROUP BY s.video_id, s.k),
+a AS (SELECT video_id, n, 1 AS src, 0.0 AS start, 0 AS k, line FROM d UNION ALL SELECT video_id, n, 0, start, k, line FROM p)
+SELECT video_id, '{_HEAD}' || chr(10) || string_agg(line, chr(10) ORDER BY n, src, start, k) || chr(10) AS text FROM a GROUP BY video_id""")
 def sink_insert_ass(spark, sf_dir):
     film = _film(spark, sf_dir)
-    extra = film.where("index % 5 = 0").select("video_id", (F.col("start") + 0.5).alias("start"), "end", F.lit("SIGN").alias("text"))
-    return subtitles.insert_ass(subtitles.files_of(subtitles.ass_events(film), head=subtitles.ass_head(), end="\n"), extra)
+    return subtitles.insert_ass(subtitles.files_of(subtitles.ass_events(film), head=subtitles.ass_head(), end="\n"), _signs(film))
 
 
 def _events(spark, sf_dir):

@@ -7,9 +7,49 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from cuelake import constants as C
-
-# Language names and their three-letter codes.
-LANGUAGES = {"zh": "chi", "zho": "chi", "chi": "chi", "ja": "jpn", "jpn": "jpn", "jap": "jpn", "en": "eng", "eng": "eng", "ko": "kor", "kor": "kor", "fr": "fre", "fra": "fre", "fre": "fre", "de": "ger", "deu": "ger", "ger": "ger", "es": "spa", "spa": "spa", "ru": "rus", "rus": "rus", "it": "ita", "ita": "ita", "pt": "por", "por": "por"}
+from cuelake.functions import text as T
+
+# Language tags and the three-letter codes they stand for.
+LANGUAGES = {
+    "ja": "jpn", "jp": "jpn", "jap": "jpn",
+    "en": "eng",
+    "zh": "chi", "zho": "chi", "cmn": "chi",
+    "ko": "kor",
+    "fr": "fre", "fra": "fre",
+    "de": "ger", "deu": "ger",
+    "es": "spa",
+    "ru": "rus",
+    "it": "ita",
+    "pt": "por",
+    "th": "tha",
+    "vi": "vie",
+    "ar": "ara",
+    "hi": "hin",
+}
+# What the codes are called, and what stands for no language at all.
+LANGUAGE_NAMES = {
+    "jpn": "日语", "eng": "英语", "chi": "中文", "kor": "韩语", "fre": "法语", "ger": "德语", "spa": "西班牙语", "rus": "俄语",
+    "ita": "意大利语", "por": "葡萄牙语", "tha": "泰语", "vie": "越南语", "ara": "阿拉伯语", "hin": "印地语", "und": "未标注语言",
+}
+NO_LANGUAGE = "未标注语言"
+# Target languages with the suffix of their files and the code of their tracks, and the rest's.
+TARGETS = {
+    "简体中文": ("zh", "chi"),
+    "繁體中文": ("zh", "chi"),
+    "English": ("en", "eng"),
+    "日本語": ("ja", "jpn"),
+    "한국어": ("ko", "kor"),
+    "Français": ("fr", "fre"),
+    "Deutsch": ("de", "ger"),
+}
+OTHER_TARGET = ("sub", "und")
+# What channel counts are called.
+CHANNEL_NAMES = {1: "单声道", 2: "立体声", 6: "5.1 声道", 8: "7.1 声道"}
+
+
+def _looked_up(table: dict, key: Column) -> Column:
+    """The value of a key in a small fixed table, null if it has none."""
+    return F.try_element_at(F.create_map(*(F.lit(x) for kv in table.items() for x in kv)), key)
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
@@ -29,10 +69,22 @@ def scan_videos(files: DataFrame, root: str = "", skip_existing: bool = True) ->
 
 
 def canon_language(c: Column) -> Column:
-    """JOIN-10: the three-letter code of a language name, unknown ones as they are."""
-    table = F.create_map(*(F.lit(x) for kv in LANGUAGES.items() for x in kv))
-    low = F.lower(F.trim(F.coalesce(c, F.lit(""))))
-    return F.coalesce(F.try_element_at(table, low), low)
+    """JOIN-10: the three-letter code of a language tag, unknown ones as they are in lower case."""
+    low = F.lower(T.strip(F.coalesce(c, F.lit(""))))
+    return F.coalesce(_looked_up(LANGUAGES, low), low)
+
+
+def language_name(c: Column) -> Column:
+    """JOIN-10: what a language tag is called; an unknown code is its own name."""
+    code = canon_language(c)
+    return F.when(code == "", NO_LANGUAGE).otherwise(F.coalesce(_looked_up(LANGUAGE_NAMES, code), code))
+
+
+def target_track(c: Column) -> Column:
+    """JOIN-10/STR-17: struct (suffix, code) of a target language."""
+    name = T.strip(F.coalesce(c, F.lit("")))
+    part = lambda k: F.coalesce(_looked_up({n: v[k] for n, v in TARGETS.items()}, name), F.lit(OTHER_TARGET[k]))
+    return F.struct(part(0).alias("suffix"), part(1).alias("code"))
 
 
 def pick_track(tracks: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -45,10 +97,12 @@ def pick_track(tracks: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def describe(tracks: DataFrame) -> DataFrame:
-    """STR-16: one line about each track: language, title, codec, channels and rate, default."""
-    hz = F.concat(F.col("sample_rate").cast("string"), F.lit(" Hz"))
-    parts = [F.nullif("language", F.lit("")), F.nullif("title", F.lit("")), F.col("codec"), F.concat(F.col("channels").cast("string"), F.lit(" ch")), hz, F.when(F.col("default"), "default")]
-    return tracks.withColumn("description", F.concat_ws(" · ", *parts))
+    """STR-16: one line about each track: number, language, title, codec with channels, default."""
+    channels = F.coalesce(_looked_up(CHANNEL_NAMES, F.col("channels")), F.concat(F.col("channels").cast("string"), F.lit(" 声道")))
+    title = F.when(F.coalesce("title", F.lit("")) != "", F.concat(F.lit("「"), "title", F.lit("」")))
+    tail = F.nullif(F.concat_ws(" ", F.nullif("codec", F.lit("")), channels), F.lit(""))
+    parts = [F.concat(F.lit("音轨 #"), F.col("index").cast("string")), language_name(F.col("language")), title, tail, F.when(F.col("default"), "(默认)")]
+    return tracks.withColumn("description", F.concat_ws(" ", *parts))
 
 
 def yield_ok(produced: Column, duration: Column) -> Column:
@@ -57,11 +111,22 @@ def yield_ok(produced: Column, duration: Column) -> Column:
 
 
 def output_name(names: DataFrame, existing: DataFrame) -> DataFrame:
-    """SNK-5/STR-17: stem, suffix to the first free of stem.suffix.mkv, stem.suffix.2.mkv, ..."""
-    base = names.withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(100))))
-    path = F.concat_ws(".", "stem", "suffix", F.when(F.col("_k") > 1, F.col("_k").cast("string")), F.lit("mkv"))
-    free = base.withColumn("path", path).join(existing.select("path"), "path", "left_anti")
-    return free.groupBy("stem", "suffix").agg(F.min_by("path", "_k").alias("path"))
+    """SNK-5/STR-17: stem, suffix, path: the first free of stem.suffix.mkv, stem.suffix.2.mkv, ...
+
+    Numbers are read off the existing names; the first one that is missing is one more than how many of the
+    sorted ones stand at their own place, however many there are.
+    """
+    base = F.regexp_extract("path", r"(?s)^(.*)\.mkv\z", 1)
+    numbered = r"(?s)^(.*)\.([2-9]|[1-9][0-9]+)\z"
+    files = existing.select(base.alias("b")).where("b <> ''")
+    first = files.select(F.col("b").alias("_base"), F.lit(1).cast("long").alias("n"))
+    later = files.where(F.col("b").rlike(numbered)).select(F.regexp_extract("b", numbered, 1).alias("_base"), F.regexp_extract("b", numbered, 2).try_cast("long").alias("n"))
+    wanted = names.select("stem", "suffix").distinct().withColumn("_base", F.concat_ws(".", "stem", "suffix"))
+    taken = first.unionByName(later).where("n is not null").join(wanted.select("_base").distinct(), "_base", "left_semi").distinct()
+    placed = taken.withColumn("r", F.row_number().over(Window.partitionBy("_base").orderBy("n")))
+    free = placed.groupBy("_base").agg((F.count_if(F.col("n") == F.col("r")) + 1).alias("n"))
+    number = F.when(F.coalesce("n", F.lit(1)) > 1, F.col("n").cast("string"))
+    return wanted.join(free, "_base", "left").select("stem", "suffix", F.concat_ws(".", "_base", number, F.lit("mkv")).alias("path"))
 
 
 def newest(logs: DataFrame, keep: int = C.KEEP_LOGS) -> DataFrame:

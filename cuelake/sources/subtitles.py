@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from cuelake import constants as C
 from cuelake.functions import text as T
 
+# The timing line of an SRT block, and the start of an ASS dialogue.
 TIMING = r"^(\d{2}):(\d{2}):(\d{2})[,.](\d{3})\s*-->\s*(\d{2}):(\d{2}):(\d{2})[,.](\d{3})\s*$"
 DIALOGUE = r"^Dialogue:\s*\d+\s*,\s*(\d+):(\d{2}):(\d{2})\.(\d{2})\s*,"
 # The head of an ASS file; {size} and {color} are the style's.
@@ -27,6 +28,8 @@ Style: Default,Arial,{size},{color},&H000000FF,&H00000000,&H7F000000,0,0,0,0,100
 Format: Layer, Start, End, Style, Name, MarginL, MarginR, MarginV, Effect, Text
 """
 TOP_LEFT = r"{\an7}"
+# Fixed value: the reply that says that a frame has no text.
+NO_TEXT = "[无文字]"
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -68,14 +71,19 @@ def _flag(lines: DataFrame) -> Column:
     return F.coalesce(F.col("is_frame"), F.lit(False)) if "is_frame" in lines.columns else F.lit(False)
 
 
+def _shown_order(lines: DataFrame):
+    """By start; of equal starts frame cues come last, then by index and text."""
+    return Window.partitionBy("video_id").orderBy("start", _flag(lines), "index", "text", "translation")
+
+
 def srt_blocks(lines: DataFrame, mode: str = "bilingual", layout: str = "original_top", max_chars: int = C.MAX_CHARS_PER_LINE) -> DataFrame:
-    """SNK-1: video_id, n, block of each cue, numbered from 1 in order of index, start.
+    """SNK-1: video_id, n, block of each cue, numbered from 1 in order of start, index.
 
     mode: bilingual or translation_only; an empty translation falls back to the text.
     """
     both = F.concat_ws("\n", "_t", "_o") if layout == "translation_top" else F.concat_ws("\n", "_o", "_t")
     shown = F.when(_flag(lines), F.concat(F.lit(TOP_LEFT), "_t")).otherwise(F.col("_t") if mode == "translation_only" else both)
-    n = F.row_number().over(Window.partitionBy("video_id").orderBy("start", "index"))
+    n = F.row_number().over(_shown_order(lines))
     block = F.concat(n.cast("string"), F.lit("\n"), T.srt_time(F.col("start")), F.lit(" --> "), T.srt_time(F.col("end")), F.lit("\n"), shown, F.lit("\n"))
     return _shown(lines, max_chars, "\n", False).select("video_id", n.alias("n"), block.alias("block"))
 
@@ -85,7 +93,7 @@ def ass_events(lines: DataFrame, mode: str = "bilingual", layout: str = "origina
     tag = F.concat(F.lit(rf"{{\fs{original_size}\c"), T.ass_color(F.lit(original_color)), F.lit("&}"))
     both = F.concat(F.col("_t"), F.lit(r"\N"), tag, F.col("_o")) if layout == "translation_top" else F.concat(tag, F.col("_o"), F.lit(r"{\r}\N"), F.col("_t"))
     shown = F.when(_flag(lines), F.concat(F.lit(TOP_LEFT), "_t")).otherwise(F.col("_t") if mode == "translation_only" else both)
-    n = F.row_number().over(Window.partitionBy("video_id").orderBy("start", "index"))
+    n = F.row_number().over(_shown_order(lines))
     block = F.concat(F.lit("Dialogue: 0,"), T.ass_time(F.col("start")), F.lit(","), T.ass_time(F.col("end")), F.lit(",Default,,0,0,0,,"), shown)
     return _shown(lines, max_chars, r"\N", True).select("video_id", n.alias("n"), block.alias("block"))
 
@@ -98,34 +106,61 @@ def ass_head(size: int = 52, color: str = "#FFFFFF") -> str:
 
 def files_of(blocks: DataFrame, joint: str = "\n", head: str = "", end: str = "") -> DataFrame:
     """video_id, text: the blocks of a video as one file."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("n", "block"))), lambda b: b["block"])
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("n", "block"))), lambda b: b["block"])
     return blocks.groupBy("video_id").agg(F.concat(F.lit(head), F.array_join(ordered, joint), F.lit(end)).alias("text"))
 
 
+def _given(cues: DataFrame) -> Column:
+    """The order in which cues were given: their column pos, else by time and text."""
+    by = ["pos"] if "pos" in cues.columns else ["start", "end", "text"]
+    return F.row_number().over(Window.partitionBy("video_id").orderBy(*by)).alias("pos")
+
+
 def insert_srt(files: DataFrame, cues: DataFrame) -> DataFrame:
-    """SNK-3: files (video_id, text) with frame cues (video_id, start, end, text) put in by start, after the
-    blocks that start at the same time; blocks are numbered anew, their text stays."""
-    old = parse_srt(files, "video_id").select("video_id", "start", F.lit(0).alias("src"), F.col("pos").alias("pos"), F.concat_ws("\n", "timing", F.when(F.col("body") != "", F.col("body"))).alias("body"))
+    """SNK-3: files (video_id, text) with frame cues (video_id, start, end, text, and pos for their given order)
+    put in by start, after the blocks that start at the same time; blocks are numbered anew, their text stays."""
+    own = F.concat_ws("\n", "timing", F.when(F.col("body") != "", F.col("body")))
+    old = parse_srt(files, "video_id").select("video_id", "start", F.lit(0).alias("src"), F.col("pos"), own.alias("body"))
     timing = F.concat(T.srt_time(F.col("start")), F.lit(" --> "), T.srt_time(F.col("end")))
-    new = cues.select("video_id", "start", F.lit(1).alias("src"), F.row_number().over(Window.partitionBy("video_id").orderBy("start", "end", "text")).alias("pos"), F.concat(timing, F.lit("\n" + TOP_LEFT), "text").alias("body"))
+    new = cues.select("video_id", "start", F.lit(1).alias("src"), _given(cues), F.concat(timing, F.lit("\n" + TOP_LEFT), "text").alias("body"))
     n = F.row_number().over(Window.partitionBy("video_id").orderBy("start", "src", "pos"))
     return files_of(old.unionByName(new).select("video_id", n.alias("n"), F.concat(n.cast("string"), F.lit("\n"), "body", F.lit("\n")).alias("block")))
 
 
 def insert_ass(files: DataFrame, cues: DataFrame) -> DataFrame:
-    """SNK-4: as insert_srt: each cue before the first dialogue that starts later, else after the last one."""
-    lines = parse_ass(files, "video_id")
-    last = lines.where("start is not null").groupBy("video_id").agg((F.max("pos") + 1).alias("after"))
+    """SNK-4: as insert_srt: each cue before the first dialogue that starts later, else after the last one. In a
+    file without dialogues the cues follow at the end as they were given."""
+    film = Window.partitionBy("video_id")
     event = F.concat(F.lit("Dialogue: 0,"), T.ass_time(F.col("start")), F.lit(","), T.ass_time(F.col("end")), F.lit(",Default,,0,0,0,," + TOP_LEFT), T.ass_escape(F.col("text")))
-    own = cues.select("video_id", "start", F.monotonically_increasing_id().alias("_id"), event.alias("line"))
-    # Running minimum of later starts from the end on: the first later dialogue is a minimum over a range join
-    # of one video's cues (few) with its dialogues.
-    later = own.join(lines.select("video_id", F.col("start").alias("s"), "pos").where("s is not null"), "video_id").where("s > start").groupBy("video_id", "_id").agg(F.min("pos").alias("at"))
-    placed = own.join(later, ["video_id", "_id"], "left").join(last, "video_id", "left")
-    new = placed.select("video_id", F.coalesce("at", "after", F.lit(2**31 - 1)).alias("pos"), F.lit(0).alias("src"), "start", "line")
-    old = lines.select("video_id", "pos", F.lit(1).alias("src"), F.lit(None).cast("double").alias("start"), "line")
-    n = F.row_number().over(Window.partitionBy("video_id").orderBy("pos", "src", "start", "line"))
-    return files_of(old.unionByName(new).select("video_id", n.alias("n"), F.col("line").alias("block")), end="\n")
+    new = cues.select("video_id", F.col("start").alias("at"), F.lit(0).alias("src"), _given(cues), event.alias("line"))
+    old = parse_ass(files, "video_id").select("video_id", F.col("start").alias("at"), F.lit(1).alias("src"), "pos", "line")
+    both = old.unionByName(new)
+    # From the latest start on, a cue before the dialogues of its own start: what came so far starts later.
+    spoken = F.when((F.col("src") == 1) & F.col("at").isNotNull(), F.col("pos"))
+    later = F.min(spoken).over(film.orderBy(F.desc_nulls_last("at"), "src", "pos").rowsBetween(Window.unboundedPreceding, -1))
+    after = F.max(spoken).over(film) + 1
+    placed = both.withColumns({"later": later, "after": after})
+    own = F.col("src") == 0
+    place = F.when(own, F.coalesce("later", "after", F.lit(2**31 - 1))).otherwise(F.col("pos"))
+    when = F.when(own & F.col("after").isNotNull(), F.col("at"))
+    n = F.row_number().over(film.orderBy("place", "src", "when", "pos"))
+    ordered = placed.select("video_id", place.alias("place"), "src", when.alias("when"), "pos", "line")
+    return files_of(ordered.select("video_id", n.alias("n"), F.col("line").alias("block")), end="\n")
+
+
+def frame_cues(replies: DataFrame) -> DataFrame:
+    """SRC-6: cues (video_id, start, end, text) of the replies (video_id, start, duration, reply) that hold text:
+    neither empty nor with the mark for a frame without any."""
+    text = T.strip(F.coalesce("reply", F.lit("")))
+    kept = replies.withColumn("text", text).where((F.col("text") != "") & ~F.contains("text", F.lit(NO_TEXT)))
+    return kept.select("video_id", F.bround("start", 3).alias("start"), F.bround(F.col("start") + F.col("duration"), 3).alias("end"), "text")
+
+
+def with_frames(lines: DataFrame, cues: DataFrame) -> DataFrame:
+    """SET-2: lines (with translation) and frame cues as one table, the cues as lines of index 0 that only have a
+    translation; in order of start, lines first (srt_blocks and ass_events number them so)."""
+    frame = cues.select("video_id", F.lit(0).alias("index"), "start", "end", F.lit("").alias("text"), F.col("text").alias("translation"), F.lit(True).alias("is_frame"))
+    return lines.withColumn("is_frame", F.lit(False)).unionByName(frame, allowMissingColumns=True)
 
 
 def write_files(files: DataFrame, path: str) -> None:

@@ -10,59 +10,76 @@ def one(spark, value, f):
     return spark.createDataFrame([(value,)], "t string").select(f(F.col("t")).alias("x")).first()["x"]
 
 
-@pytest.mark.parametrize("text, expected", [("-", False), ("…", False), ("。。。", False), (" !!", False), ("♪", False), ("___", False), ("  ", False), ("はい", True), ("ん", True), ("3", True), ("【ドアの音】", True)])
+@pytest.mark.parametrize("text, expected", [("--", False), ("……", False), ("、、", False), ("?!", False), ("♫♪", False), ("__", False), ("　", False), ("山", True), ("ん。", True), ("7", True), ("（笑）", True), ("é", True)])
 def test_has_content(spark, text, expected):
     assert one(spark, text, T.has_content) is expected
 
 
-@pytest.mark.parametrize("text, n", [("ちゃんと話そう", 7), ("Have fun at your camp", 5), ("　 ", 0), ("", 0)])
+@pytest.mark.parametrize("text, n", [("雨が止んだ", 5), ("the rain has stopped", 4), ("　\t", 0), ("", 0), ("비가 그쳤다", 6)])
 def test_units(spark, text, n):
     assert one(spark, text, T.units) == n
 
 
-@pytest.mark.parametrize("text", ["around", "years", "legal counsel", "holding on", "better"])
+@pytest.mark.parametrize("text", ["uphill", "two rivers", "山", "海へ", "the lighthouse"])
 def test_fragments(spark, text):
     assert one(spark, text, T.is_fragment)
 
 
-@pytest.mark.parametrize("text", ["Okay.", "Yeah.", "No, sir.", "うん。", "はい。"])
+@pytest.mark.parametrize("text", ["Stop.", "Who?", "Not now!", "山。", "海へ行く", "one two three", "unmistakably-overlong-word"])
 def test_no_fragments(spark, text):
     assert not one(spark, text, T.is_fragment)
 
 
-@pytest.mark.parametrize("seconds, shown", [(0.0, "00:00:00,000"), (3661.5, "01:01:01,500"), (-1.0, "00:00:00,000"), (1.9996, "00:00:02,000")])
+@pytest.mark.parametrize("text, run", [("海へ行く道", True), ("海へ 行く道", False), ("abc海へ", False), ("a海へ行く", True)])
+def test_unspaced_runs(spark, text, run):
+    assert one(spark, text, T.is_unspaced_run) is run
+
+
+@pytest.mark.parametrize("seconds, shown", [(0.0, "00:00:00,000"), (7322.25, "02:02:02,250"), (-3.0, "00:00:00,000"), (59.9997, "00:01:00,000")])
 def test_srt_time(spark, seconds, shown):
     assert spark.range(1).select(T.srt_time(F.lit(seconds)).alias("x")).first()["x"] == shown
 
 
-@pytest.mark.parametrize("text, s", [("85", 85.0), ("23:45", 1425.0), ("1:23:45", 5025.0), (" 0:05 ", 5.0), ("", None), ("a:b", None), ("1:2:3:4", None), ("-5", None), ("1::2", None)])
+def test_other_clocks(spark):
+    got = spark.range(1).select(T.ass_time(F.lit(3725.678)).alias("a"), T.log_time(F.lit(3725.6784)).alias("l"), T.log_time(F.lit(-2.0)).alias("n")).first()
+    assert tuple(got) == ("1:02:05.68", "1:02:05.678", "0:00:00.000")
+
+
+@pytest.mark.parametrize("text, s", [("90", 90.0), ("2:05.5", 125.5), ("2:00:10", 7210.0), (" 1:07 ", 67.0), ("", None), ("x:1", None), ("0:1:2:3", None), ("-9", None), ("4::1", None)])
 def test_parse_time(spark, text, s):
     assert one(spark, text, T.parse_time) == s
 
 
-@pytest.mark.parametrize("a, b, joined", [("なんかいいね", "し", "なんかいいねし"), ("I", "see", "I see"), ("", "x", "x"), ("안녕", "나", "안녕 나")])
+@pytest.mark.parametrize("a, b, joined", [("雨が", "降る", "雨が降る"), ("we", "go", "we go"), ("", "y", "y"), ("y", "", "y"), ("비가", "와", "비가 와"), ("ok", "、はい", "ok、はい")])
 def test_join(spark, a, b, joined):
     assert spark.createDataFrame([(a, b)], "a string, b string").select(T.join_text(F.col("a"), F.col("b")).alias("x")).first()["x"] == joined
 
 
 def test_wrap(spark):
-    assert one(spark, "short", lambda c: T.wrap(c, 42)) == ["short"]
-    assert one(spark, "あ" * 50, lambda c: T.wrap(c, 42)) == ["あ" * 25] * 2
-    assert one(spark, "a" * 60, lambda c: T.wrap(c, 42)) == ["a" * 60]
-    assert one(spark, "one two three four five six", lambda c: T.wrap(c, 16)) == ["one two three", "four five six"]
+    assert one(spark, "tiny", lambda c: T.wrap(c, 42)) == ["tiny"]
+    assert one(spark, "海" * 60, lambda c: T.wrap(c, 42)) == ["海" * 30] * 2
+    assert one(spark, "z" * 70, lambda c: T.wrap(c, 42)) == ["z" * 70]
+    assert one(spark, "red green blue black white", lambda c: T.wrap(c, 16)) == ["red green blue", "black white"]
 
 
 def test_colors_and_marks(spark):
-    assert one(spark, "#112233", T.ass_color) == "&H00332211"
-    assert one(spark, "#123", T.ass_color) == "&H00FFFFFF"
-    marked = one(spark, "♪ la  la ♪", lambda c: T.apply_marks(c, F.lit(True)))
-    assert marked == "♪ la la ♪" == one(spark, marked, lambda c: T.apply_marks(c, F.lit(True)))
+    assert one(spark, "#a1b2c3", T.ass_color) == "&H00C3B2A1"
+    assert one(spark, "#ab", T.ass_color) == "&H00FFFFFF"
+    marked = one(spark, "♪ row  row ♪", lambda c: T.apply_marks(c, F.lit(True)))
+    assert marked == "♪ row row ♪" == one(spark, marked, lambda c: T.apply_marks(c, F.lit(True)))
+    assert one(spark, "♪", lambda c: T.apply_marks(c, F.lit(True))) == ""
 
 
 def test_tokens(spark):
-    assert one(spark, "日本abcd", T.estimate_tokens) == 4
+    assert one(spark, "海辺の abcd", T.estimate_tokens) == 5
 
 
-@pytest.mark.parametrize("text, single", [("It is fine.", True), ("Yes. No.", False), ("...", False), ("「そうだ。」", True), ("no end", True)])
+@pytest.mark.parametrize("text, single", [("We left early.", True), ("Go. Now.", False), ("!!", False), ("『雨だ。』", True), ("open end", True)])
 def test_single_sentence(spark, text, single):
     assert one(spark, text, T.is_single_sentence) is single
+
+
+def test_rejects_thinking(spark):
+    hints = ["unknown parameter", "not supported"]
+    assert one(spark, "Error: UNKNOWN parameter 'x'", lambda c: T.rejects_thinking(c, hints)) is True
+    assert one(spark, "timeout", lambda c: T.rejects_thinking(c, hints)) is False
