@@ -6,8 +6,10 @@ best partial sums and stores the codes with the norm of what they leave over. A
 a block of codes by one table of inner products per codebook. The exact rerank starts from the best
 scores and goes on to every row whose score, given its stored norm, could still reach the 20th exact one.
 
-Queries and rows are dealt into blocks of bounded size, and each pair of blocks is one group: every row
-is scored for every query, in blocks, with nothing held whole in one task.
+Rows are dealt by the nearest of some coarse centres, each into blocks of bounded size. A query goes only to the
+centres that are likely to hold its neighbours: how many, is measured on the sample, so that few are looked
+at where vectors form clusters and most where they have no structure. A row goes to one block, however many
+queries there are (up to QUERY_BLOCK), and only a block's best rows leave it.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
+from pyspark.sql.types import FloatType
 
 from cuelake.session import cut, read_table, ship
 
@@ -27,7 +30,14 @@ TOP = 20
 CODEBOOKS, WORDS, BEAM = 16, 256, 4
 #: Rows that the codebooks are fitted on, at most: those whose id has the smallest hash.
 SAMPLE = 4096
-QUERY_BLOCK, ROW_BLOCK = 512, 4096
+#: Queries and rows of a block, at most; a block has its codes, its vectors and a slice of scores in memory.
+QUERY_BLOCK, ROW_BLOCK = 8192, 16_384
+#: Queries scored at a time within a block.
+QUERY_SLICE = 256
+#: Coarse centres: one for so many rows, but no more than this.
+CENTRE_ROWS, CENTRES = 2048, 256
+#: Share of the sample's neighbours that the centres a query goes to must hold.
+REACHED = 0.98
 #: A row is reranked if its score is within so many deviations of the score that it needs.
 DEVIATIONS = 3.0
 #: Rows scored at a time within a block.
@@ -81,6 +91,32 @@ def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarr
     return codes[np.arange(n), first], np.sqrt(over[np.arange(n), first])
 
 
+def fit_centres(sample: np.ndarray, n: int) -> np.ndarray:
+    """At most n centres of the sample, by k-means."""
+    return fit_codebooks(sample, 1, n)[0]
+
+
+def nearest_centre(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return ((centres * centres).sum(1) - 2 * x.astype(np.float32) @ centres.T).argmin(1)
+
+
+def centre_order(q: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """For each query the centres, the likeliest to hold large inner products first."""
+    return np.argsort(-(q.astype(np.float32) @ centres.T), axis=1, kind="stable")
+
+
+def centres_to_visit(sample: np.ndarray, centres: np.ndarray, top: int, reached: float = REACHED, queries: int = 512) -> int:
+    """How many centres, in the order of centre_order, hold ``reached`` of the ``top`` nearest rows of the sample. In
+    all rows the nearest lie further out than in a sample of them, so the share there is larger."""
+    q = sample[:queries].astype(np.float32)
+    score = q @ sample.astype(np.float32).T
+    score[np.arange(len(q)), np.arange(len(q))] = -np.inf
+    best = np.argpartition(-score, min(top, len(sample)) - 1, axis=1)[:, :top]
+    place = np.argsort(centre_order(q, centres), axis=1)  # the rank of each centre
+    ranks = np.sort(np.take_along_axis(place, nearest_centre(sample, centres)[best], axis=1).ravel())
+    return int(ranks[min(len(ranks) - 1, int(np.ceil(reached * len(ranks))))]) + 1 if len(ranks) else len(centres)
+
+
 def search(q: np.ndarray, q_id: np.ndarray, x: np.ndarray, x_id: np.ndarray, codes: np.ndarray, rest: np.ndarray, books: np.ndarray, top: int = TOP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """query index, row index and exact score of the best ``top`` rows of a block for each query."""
     q32 = q.astype(np.float32)
@@ -120,38 +156,48 @@ def search(q: np.ndarray, q_id: np.ndarray, x: np.ndarray, x_id: np.ndarray, cod
     return qi[best], rows[best], value[best]
 
 
-def _packed(part: pa.RecordBatch) -> tuple[np.ndarray, pa.Array]:
-    """The vectors of a batch as a matrix and, for the way to the blocks, each as its bytes."""
-    x = np.asarray(part.column(1).flatten(), dtype=np.float32).reshape(part.num_rows, -1)
-    return x, pa.array([v.tobytes() for v in x], pa.binary())
+def _matrix(column: pa.Array, n: int, dtype: str) -> np.ndarray:
+    return np.asarray(column.flatten(), dtype=dtype).reshape(n, -1)
 
 
-def _pack_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), _packed(b)[1]], names=["vec_id", "vector"])
+def _pack_queries(centres, visit: int, dtype: str):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x = _matrix(b.column(1), b.num_rows, dtype)
+                order = centre_order(x, centres.value)[:, :visit].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([v.tobytes() for v in x], pa.binary()), pa.array(order.tolist(), pa.list_(pa.int32()))], names=["vec_id", "vector", "centres"])
 
+    return rows
 
-def _encode_rows(books):
+
+def _encode_rows(books, centres, dtype: str):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                x, packed = _packed(part)
+                x = _matrix(part.column(1), part.num_rows, dtype)
                 codes, rest = encode(x, books.value)
-                yield pa.RecordBatch.from_arrays([part.column(0), packed, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(rest.astype(np.float32))], names=["vec_id", "vector", "codes", "rest"])
+                columns = [part.column(0), pa.array([v.tobytes() for v in x], pa.binary()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(rest.astype(np.float32)), pa.array(nearest_centre(x, centres.value).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=["vec_id", "vector", "codes", "rest", "centre"])
 
     return rows
 
 
-def _search_blocks(books, top: int):
+def _search_blocks(books, top: int, dtype: str):
     def block(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(rows):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        q, x = (np.frombuffer(b"".join(t["vector"]), dtype=np.float32).reshape(len(t), -1).astype(np.float64) for t in (queries, rows))
-        codes = np.frombuffer(b"".join(rows["codes"]), dtype=np.uint8).reshape(len(x), -1)
-        q_id, x_id = queries["vec_id"].to_numpy(), rows["vec_id"].to_numpy()
-        qi, ri, score = search(q, q_id, x, x_id, codes, rows["rest"].to_numpy(), books.value, top)
-        return pd.DataFrame({"query_id": q_id[qi], "vec_id": x_id[ri], "score": score})
+        whole = lambda t: np.frombuffer(b"".join(t["vector"]), dtype=dtype).reshape(len(t), -1).astype(np.float64)
+        x, x_id = whole(rows), rows["vec_id"].to_numpy()
+        codes, rest = np.frombuffer(b"".join(rows["codes"]), dtype=np.uint8).reshape(len(x), -1), rows["rest"].to_numpy()
+        found = []
+        for at in range(0, len(queries), QUERY_SLICE):
+            part = queries.iloc[at : at + QUERY_SLICE]
+            q_id = part["vec_id"].to_numpy()
+            qi, ri, score = search(whole(part), q_id, x, x_id, codes, rest, books.value, top)
+            found.append(pd.DataFrame({"query_id": q_id[qi], "vec_id": x_id[ri], "score": score}))
+        return pd.concat(found)
 
     return block
 
@@ -161,14 +207,16 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = TOP, sample: int
     of vectors with another vec_id, by inner product in double precision, ties to the smaller vec_id.
 
     Rows whose vec_id is null, or whose vector is null, empty, zero, of another length than most of the
-    sample, or holds null or non-finite parts, take no part. Rows that repeat a vec_id with an equal
-    vector are one; with another vector, the best one counts. Other columns are ignored; where nothing is
-    left there are no rows.
+    sample, or holds null or non-finite parts, take no part. Vectors of doubles are kept as doubles. Rows that repeat a
+    vec_id with an equal vector are one; with another vector, the best one counts. Other columns are ignored; where
+    nothing is left there are no rows.
     """
     ship(vectors.sparkSession)
-    clean = lambda t: t.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding")).where(usable() & F.col("vec_id").isNotNull())
-    vectors, queries = clean(vectors), clean(queries)
     spark = vectors.sparkSession
+    single = all(t.schema["embedding"].dataType.elementType == FloatType() for t in (vectors, queries))
+    kind, dtype = ("array<float>", "<f4") if single else ("array<double>", "<f8")
+    clean = lambda t: t.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding")).where(usable() & F.col("vec_id").isNotNull())
+    vectors, queries = clean(vectors), clean(queries)
     result = "query_id long, rank int, vec_id long, score double"
     drawn = vectors.select("embedding", F.xxhash64("vec_id").alias("h")).orderBy("h").limit(sample).collect()  # at most ``sample`` rows
     if not drawn:
@@ -176,16 +224,25 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = TOP, sample: int
     lengths = [len(r["embedding"]) for r in drawn]
     size = max(sorted(set(lengths)), key=lengths.count)
     vectors, queries = (t.where(F.size("embedding") == size) for t in (vectors, queries))
-    books = spark.sparkContext.broadcast(fit_codebooks(np.array([r["embedding"] for r in drawn if len(r["embedding"]) == size])))
-    coded = cut(vectors.mapInArrow(_encode_rows(books), "vec_id long, vector binary, codes binary, rest float"))
-    asked = cut(queries.mapInArrow(_pack_rows, "vec_id long, vector binary"))
-    n_rows, n_queries = coded.count(), asked.count()
-    row_blocks, query_blocks = -(-n_rows // ROW_BLOCK), max(1, -(-n_queries // QUERY_BLOCK))
-    number = lambda blocks: F.pmod(F.xxhash64("vec_id", "vector"), F.lit(blocks)).cast("int")
-    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = asked.withColumn("qb", number(query_blocks)).withColumn("rb", every(row_blocks))
-    right = coded.withColumn("rb", number(row_blocks)).withColumn("qb", every(query_blocks))
-    found = left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInPandas(_search_blocks(books, top), "query_id long, vec_id long, score double")
+    few = np.array([r["embedding"] for r in drawn if len(r["embedding"]) == size])
+    n_rows, n_queries = vectors.count(), queries.count()
+    points = fit_centres(few, max(1, min(CENTRES, n_rows // CENTRE_ROWS, len(few) // 8)))
+    books, centres = spark.sparkContext.broadcast(fit_codebooks(few)), spark.sparkContext.broadcast(points)
+    coded = cut(vectors.mapInArrow(_encode_rows(books, centres, dtype), "vec_id long, vector binary, codes binary, rest float, centre int"))
+    visit = centres_to_visit(few, points, top)
+    asked = cut(queries.mapInArrow(_pack_queries(centres, visit, dtype), "vec_id long, vector binary, centres array<int>"))
+    # Each centre's rows in blocks: at least 32 blocks in all, so that there is work for many tasks.
+    wanted = max(1, min(ROW_BLOCK, -(-n_rows // 32)))
+    blocks = {r["centre"]: -(-r["count"] // wanted) for r in coded.groupBy("centre").count().collect()}  # at most CENTRES rows
+    parts = spark.createDataFrame(sorted(blocks.items()), "centre int, blocks int")
+    query_blocks = max(1, -(-n_queries // QUERY_BLOCK))
+    number = lambda n: F.pmod(F.xxhash64("vec_id", "vector"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    left = asked.withColumn("qb", number(F.lit(query_blocks))).select("vec_id", "vector", "qb", F.explode("centres").alias("centre"))
+    left = left.join(F.broadcast(parts), "centre").withColumn("rb", every(F.col("blocks"))).drop("blocks")
+    right = coded.join(F.broadcast(parts), "centre").withColumn("rb", number(F.col("blocks"))).drop("blocks").withColumn("qb", every(F.lit(query_blocks)))
+    keys = ["centre", "rb", "qb"]
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_search_blocks(books, top, dtype), "query_id long, vec_id long, score double")
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")

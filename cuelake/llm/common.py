@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cuelake.functions.columns import let as let
+from cuelake.session import broadcast_if_small, cut, remove_folder
+from cuelake.session import shared_folder as shared_folder
+
 #: The six ASCII white-space characters that end a word, as a regex class body for Java and Python.
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
@@ -18,35 +23,54 @@ def row_key(text: str = "text") -> Column:
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
-def let(value: Column, body) -> Column:
-    """Bind a computed column once: lambda arguments are evaluated a single time, while an
-    expression that a lambda merely mentions would be evaluated again for every element."""
-    return F.transform(F.array(value), body)[0]
-
-
 def words(text: Column) -> Column:
     """Maximal runs of non-space characters, null text as none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), rf"[{SPACE}]+"), "")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors share; one of its own for a local master."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = tempfile.mkdtemp(prefix="cuelake-shared-")
-    return shared
+_WRITTEN: list[str] = []
 
 
 def stored(df: DataFrame) -> DataFrame:
     """df written as Parquet to the shared folder and read again: a lineage cut for wide rows, which a
-    checkpoint would keep uncompressed."""
+    checkpoint would keep uncompressed. scratch() deletes what is written within it."""
     path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that stored() writes within are deleted at the end, when nothing reads them any more."""
+    before = len(_WRITTEN)
+    yield
+    for path in _WRITTEN[before:]:
+        remove_folder(spark, path)
+    del _WRITTEN[before:]
+
+
+#: Rows of one key from which a join deals them over several tasks.
+HOT = 20_000
+
+
+def join_unique(left: DataFrame, right: DataFrame, keys: list[str], sizes: DataFrame | None = None, how: str = "inner") -> DataFrame:
+    """left joined with right, which has one row per keys, however many rows of left have the same keys: those of a
+    hot key are dealt over parts, and the one row of right goes to each part. No key is null.
+
+    sizes: keys and n, how many rows of left each key has, where that is known already.
+    """
+    sizes = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")) if sizes is None else sizes
+    hot = cut(sizes.where(F.col("n") > HOT).select(*keys, F.ceil(F.col("n") / HOT).cast("int").alias("_parts")))
+    if not hot.limit(1).count():
+        return left.join(right, keys, how)
+    hot = broadcast_if_small(hot)  # a hot key stands for over HOT rows
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = left.join(hot, keys, "left").withColumn("_part", F.pmod(F.xxhash64(*left.columns), parts).cast("int")).drop("_parts")
+    each = right.join(hot, keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return dealt.join(each, [*keys, "_part"], how).drop("_part")
+
+
 def kth_largest(df: DataFrame, key: str, k: int, bins: int = 1024) -> float | None:
     """The exact k-th largest value of a double column, by repeated histograms.
 

@@ -30,19 +30,51 @@ PHRASES = (
 # Short notices of well-known licenses, in normalised words, with their labels.
 NOTICES = (
     ("licensed under the apache license version 2 0", "apache"),
+    ("you may not use this file except in compliance with the license", "apache"),
     ("this work is licensed under the gnu general public license", "gpl"),
     ("this program is free software you can redistribute it and or modify it", "gpl"),
     ("gnu lesser general public license", "lgpl"),
+    ("gnu library general public license", "lgpl"),
     ("gnu affero general public license", "agpl"),
+    ("gnu free documentation license", "gfdl"),
     ("permission is hereby granted free of charge to any person obtaining a copy", "mit"),
     ("released under the mit license", "mit"),
     ("redistribution and use in source and binary forms with or without modification", "bsd"),
+    ("licensed under the bsd 3 clause license", "bsd"),
+    ("licensed under the bsd 2 clause license", "bsd"),
     ("permission to use copy modify and or distribute this software for any purpose", "isc"),
     ("this source code form is subject to the terms of the mozilla public license", "mpl"),
+    ("this program and the accompanying materials are made available under the terms of the eclipse public license", "epl"),
+    ("common development and distribution license", "cddl"),
+    ("distributed under the boost software license", "boost"),
+    ("this software is provided as is without any express or implied warranty in no event will the authors be held liable", "zlib"),
+    ("licensed under the european union public licence", "eupl"),
+    ("this font software is licensed under the sil open font license", "ofl"),
+    ("you may distribute under the terms of either the gnu general public license or the artistic license", "artistic"),
+    ("do what the fuck you want to public license", "wtfpl"),
+    ("licensed under the microsoft public license", "ms-pl"),
+    ("licensed under the academic free license", "afl"),
+    ("licensed under the open software license", "osl"),
+    ("server side public license", "sspl"),
+    ("business source license", "bsl"),
+    ("open database license", "odbl"),
+    ("python software foundation license", "psf"),
+    ("universal permissive license", "upl"),
     ("licensed under the creative commons attribution", "cc-by"),
     ("licensed under cc by", "cc-by"),
+    ("licensed under cc by sa", "cc-by-sa"),
+    ("licensed under cc by nc", "cc-by-nc"),
+    ("licensed under cc by nd", "cc-by-nd"),
+    ("licensed under cc by nc sa", "cc-by-nc-sa"),
+    ("licensed under cc by nc nd", "cc-by-nc-nd"),
+    ("creative commons attribution sharealike", "cc-by-sa"),
+    ("creative commons attribution noncommercial", "cc-by-nc"),
+    ("creative commons attribution noderivatives", "cc-by-nd"),
+    ("cc0 1 0 universal public domain dedication", "cc0"),
+    ("dedicated to the public domain", "public-domain"),
     ("this is free and unencumbered software released into the public domain", "unlicense"),
     ("all rights reserved no part of this publication may be reproduced", "all-rights-reserved"),
+    ("proprietary and confidential unauthorized copying of this file via any medium is strictly prohibited", "proprietary"),
 )
 #: One edit is allowed for so many characters of a notice,
 EDIT_EVERY = 12
@@ -105,6 +137,16 @@ def find_notices(line: str, notices: tuple[tuple[str, str], ...] = NOTICES) -> l
     return found
 
 
+def resolve(found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """Of matches that overlap only the one with the fewest edits, the longest of these, the first: variants of a
+    license differ in a few letters, and a fuzzy match of one is no sign of it where another stands unedited."""
+    kept: list[tuple[int, int, int, int]] = []
+    for n, s, e, d in sorted(found, key=lambda x: (x[3], x[1] - x[2], x[1], x[0])):
+        if all(e <= a or b <= s for _, a, b, _ in kept):
+            kept.append((n, s, e, d))
+    return sorted(kept)
+
+
 def scan(text: str | None, notices: tuple[tuple[str, str], ...] = NOTICES) -> tuple:
     """n_words, n_base, first_word, last_word, base_labels, labels, score, notices found."""
     words = normalise(text)
@@ -117,7 +159,7 @@ def scan(text: str | None, notices: tuple[tuple[str, str], ...] = NOTICES) -> tu
             labels.add(label)
             at = joined.find(needle, at + 1)
     line = joined[1:-1].decode()
-    found = find_notices(line, notices)
+    found = resolve(find_notices(line, notices))
     best = 1.0 if places else 0.0
     for n, _, _, e in found:
         best = max(best, 1.0 - e / len(notices[n][0]))
@@ -138,8 +180,8 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_words, n_base, first_word, last_word,
     base_labels, labels, score, notices (label:start:end:edits in the normalised text).
 
-    The score is 1 with a base phrase, else the best share of a notice that was found unedited, else 0.
-    A null text is empty. Rows that repeat are returned as often as they come; other columns are
+    Of notices that overlap, the closest match counts. The score is 1 with a base phrase, else the best share of a notice that was found unedited, else 0.
+    A null text is empty; long texts are read whole. Rows that repeat are returned as often as they come; other columns are
     ignored. No rows give no rows.
     """
     ship(docs.sparkSession)

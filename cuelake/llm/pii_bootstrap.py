@@ -1,12 +1,16 @@
 """Personal data: fixed patterns, and a bootstrapped search for identifiers that no pattern knows.
 
-Seeds are the matches of the fixed patterns. Every word with a digit or an at-sign is an instance, and
-the two words before it are a lexical pattern; a pattern counts from a few distinct trusted instances on,
-seeds or found through other patterns. Patterns and instances form a graph, scored in rounds: a pattern is as trusted as the share of its distinct instances
-that are trusted, an instance is trusted unless all its patterns are wrong about it. Instances that only
-patterns vouch for, with high confidence, are reported as kind ctx.
-
-All of it is built-in functions and joins. Texts are read once; what moves is the matches.
+Seeds are the matches of the fixed patterns. Every word with a digit or an at-sign is an instance. Its lexical
+patterns are the two words before it, the two after it, and the one before with the one after, in lower case;
+words with a digit or an at-sign count as "#" there, and the ends of a text as words of their own. A pattern counts
+from a few distinct trusted instances on, seeds or found through other patterns. Patterns and instances form
+a graph, scored in rounds: a pattern is as trusted as the share of its distinct instances that are trusted, an
+instance is trusted unless all its patterns are wrong about it. Instances that only patterns vouch for, with high
+confidence, are reported as kind ctx.
+
+All of it is built-in functions and joins. Texts are read once; what moves is the matches. In the graph, patterns
+and instances are 64-bit hashes, so that no word is too long for it. A pattern or an instance that very many
+others go with (the same number in a third of all texts) is dealt over several tasks in each join.
 """
 
 from __future__ import annotations
@@ -14,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelake.llm.common import SPACE, let, row_key
+from cuelake.llm.common import SPACE, join_unique, let, row_key, words
 from cuelake.session import cut, read_table
 
 # The base kinds, in the order in which equal starts are listed. Possessive quantifiers and
@@ -106,57 +110,77 @@ def base_spans(text: Column) -> Column:
 
 
 def instances(text: Column, spans: Column) -> Column:
-    """Array of (start, end, instance, pattern, seed) of the words with a digit or an at-sign.
+    """Array of (start, end, instance, patterns, seed) of the words with a digit or an at-sign.
 
-    The instance is the word without punctuation at its ends; it is a seed if it overlaps a base span.
+    The instance hashes the word without punctuation at its ends (of punctuation alone, as it is); patterns are
+    three hashes of what stands around it. It is a seed if it overlaps a base span.
     """
+    lead_marks, tail_marks = r"^[^\p{L}\p{N}@+]+", r"[^\p{L}\p{N}]+\z"
+
+    def of(t: Column) -> Column:  # t: all words, and the places of those that are instances
+        all_, places = t["words"], t["places"]
+
+        def beside(k: Column) -> Column:
+            near = F.coalesce(F.get(all_, k), F.when(k < 0, "\x02").otherwise("\x03"))
+            return F.when(near.rlike("[0-9@]"), "#").otherwise(F.lower(near))
+
+        def one(m: Column, k: Column) -> Column:
+            word = m["match"]
+            bare = F.regexp_replace(word, lead_marks, "")
+            core = F.regexp_replace(bare, tail_marks, "")
+            start = m["start"] + F.length(word) - F.length(bare)
+            around = let(F.transform(F.array(*(F.lit(d) for d in (-2, -1, 1, 2))), lambda d: beside(k + d)), lambda w: F.array(F.xxhash64(F.lit(1), w[0], w[1]), F.xxhash64(F.lit(2), w[2], w[3]), F.xxhash64(F.lit(3), w[1], w[2])))
+            whole = core == ""
+            return F.struct(F.when(whole, m["start"]).otherwise(start).alias("start"), F.when(whole, m["end"]).otherwise(start + F.length(core)).alias("end"), F.xxhash64(F.when(whole, word).otherwise(core)).alias("instance"), around.alias("patterns"))
 
-    def one(m: Column) -> Column:
-        word = m["match"]
-        core = F.regexp_replace(F.regexp_replace(word, r"^[^\p{L}\p{N}@+]+", ""), r"[^\p{L}\p{N}]+\z", "")
-        lead = F.length(word) - F.length(F.regexp_replace(word, r"^[^\p{L}\p{N}@+]+", ""))
-        context = F.array_remove(F.split(F.lower(F.right(m["before"], F.lit(64))), rf"[{SPACE}]+"), "")
-        return F.struct(
-            (m["start"] + lead).alias("start"), (m["start"] + lead + F.length(core)).alias("end"), core.alias("instance"),
-            F.array_join(F.slice(context, -2, 2), " ").alias("pattern"), F.size(context).alias("n"),
-        )
+        return F.zip_with(matches(text, INSTANCE), places, one)
 
     def flagged(i: Column) -> Column:
         seed = F.exists(spans, lambda s: (s["start"] < i["end"]) & (i["start"] < s["end"]))
-        return F.struct(i["start"].alias("start"), i["end"].alias("end"), i["instance"].alias("instance"), i["pattern"].alias("pattern"), seed.alias("seed"))
+        return F.struct(i["start"].alias("start"), i["end"].alias("end"), i["instance"].alias("instance"), i["patterns"].alias("patterns"), seed.alias("seed"))
 
-    known = F.filter(F.transform(matches(text, INSTANCE), one), lambda i: (F.length(i["instance"]) >= 4) & (i["n"] >= 2))
-    return F.when(text.rlike("[0-9@]"), F.transform(known, flagged)).otherwise(F.array().cast("array<struct<start:int,end:int,instance:string,pattern:string,seed:boolean>>"))
+    placed = let(words(text), lambda w: F.struct(w.alias("words"), F.filter(F.transform(w, lambda x, k: F.when(x.rlike("[0-9@]"), k)), lambda k: k.isNotNull()).alias("places")))
+    none = F.array().cast("array<struct<start:int,end:int,instance:bigint,patterns:array<bigint>,seed:boolean>>")
+    return F.when(text.rlike("[0-9@]"), F.transform(let(placed, of), flagged)).otherwise(none)
 
 
 def trusted_instances(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """instance, score of what patterns vouch for, from distinct edges (pattern, instance, seed)."""
     # Patterns that introduce no seed cannot gain trust before an instance of theirs does; all stay.
-    seeds = edges.groupBy("instance").agg(F.max("seed").alias("seed"))
-    scores = cut(seeds.select("instance", "seed", F.col("seed").cast("double").alias("score")))
-    pairs = cut(edges.select("pattern", "instance").distinct())
+    pairs = cut(edges.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")))
+    seeds = pairs.groupBy("instance").agg(F.max("seed").alias("seed"), F.count(F.lit(1)).alias("n"))
+    degree = cut(seeds)  # how many patterns each instance goes with
+    sizes = cut(pairs.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")))  # and instances each pattern
+    scores = degree.where("seed").select("instance", F.lit(1.0).alias("score"))
     for _ in range(rounds):
-        trusted = F.count_if(F.col("score") >= MIN_INSTANCE)
-        by = pairs.join(scores, "instance").groupBy("pattern").agg(F.sum("score").alias("s"), F.count(F.lit(1)).alias("n"), trusted.alias("trusted"))
-        strong = by.where(F.col("trusted") >= MIN_SEEDS).select("pattern", (F.col("s") / (F.col("n") + DOUBT)).alias("conf")).where(F.col("conf") >= MIN_PATTERN)
-        voted = pairs.join(strong, "pattern").groupBy("instance").agg((1 - F.exp(F.sum(F.log1p(-F.least("conf", F.lit(0.999)))))).alias("vote"))
-        scores = cut(scores.join(voted, "instance", "left").select("instance", "seed", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("vote", F.lit(0.0))).alias("score")))
-    return scores.where(~F.col("seed") & (F.col("score") >= MIN_INSTANCE)).select("instance", "score")
+        # Only instances with a score add to a pattern's sum; how many it has in all is known.
+        held = join_unique(pairs.select("pattern", "instance"), scores, ["instance"], degree.select("instance", "n"))
+        by = held.groupBy("pattern").agg(F.sum("score").alias("s"), F.count_if(F.col("score") >= MIN_INSTANCE).alias("trusted"))
+        by = by.where(F.col("trusted") >= MIN_SEEDS).join(sizes, "pattern")
+        strong = cut(by.select("pattern", (F.col("s") / (F.col("n") + DOUBT)).alias("conf")).where(F.col("conf") >= MIN_PATTERN))
+        voted = join_unique(pairs.select("pattern", "instance"), strong, ["pattern"], sizes)
+        voted = voted.groupBy("instance").agg((1 - F.exp(F.sum(F.log1p(-F.least("conf", F.lit(0.999)))))).alias("vote"))
+        both = degree.where("seed").select("instance", F.lit(1.0).alias("score")).unionByName(voted.select("instance", F.col("vote").alias("score")))
+        scores = cut(both.groupBy("instance").agg(F.max("score").alias("score")))
+    found = scores.join(degree.where("seed").select("instance"), "instance", "left_anti")
+    return found.where(F.col("score") >= MIN_INSTANCE).select("instance", "score")
 
 
 def find_personal_data(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans,
     n_ctx. spans are kind:start:end in code points.
 
-    A null text is empty. Rows that repeat are returned as often as they come, with the same spans; a null
-    doc_id is kept. Other columns are ignored. No rows give no rows.
+    A null text is empty, and like a blank one has no instances; long texts and words are read whole. Rows that repeat
+    are returned as often as they come, with the same spans, and count once in the graph; a null doc_id is kept. Other columns are ignored. No rows give no rows.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"), let(text, lambda t: let(base_spans(t), lambda s: F.struct(s.alias("spans"), instances(t, s).alias("instances")))).alias("f"))
     found = cut(own.select("doc_id", "key", F.transform("f.spans", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))).alias("spans"), F.col("f.instances").alias("instances")))
     each = found.where(F.size("instances") > 0).select("doc_id", "key", F.explode("instances").alias("i")).select("doc_id", "key", "i.*")
-    trusted = trusted_instances(each.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), rounds)
-    extra = each.where(~F.col("seed")).join(trusted, "instance").groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", F.lit(len(PATTERNS)).alias("kind"), "end")).alias("extra"))
+    edges = each.select(F.explode("patterns").alias("pattern"), "instance", "seed")
+    trusted = cut(trusted_instances(edges, rounds))
+    held = join_unique(each.where(~F.col("seed")).select("doc_id", "key", "start", "end", "instance"), trusted.select("instance"), ["instance"])
+    extra = held.groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", F.lit(len(PATTERNS)).alias("kind"), "end")).alias("extra"))
     extra = extra.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "extra")
     both = found.drop("instances").join(extra, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "left")
     names = F.array(*map(F.lit, [*PATTERNS, "ctx"]))

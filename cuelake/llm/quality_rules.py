@@ -84,11 +84,11 @@ def common_words(docs: DataFrame, common: int = COMMON) -> DataFrame:
     return tops.select("lang", F.transform("r", lambda r: r["word"]).alias("common"))
 
 
-def features(docs: DataFrame, tops: DataFrame) -> DataFrame:
-    """docs with _f: the counts and the two histograms of each text."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+def features(docs: DataFrame, tops: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """docs with _f: the counts and the two histograms of each text. text and lang name the columns."""
+    text = F.coalesce(F.col(text), F.lit(""))
     tops = tops.select(F.col("lang").alias("_lang"), F.col("common").alias("_common"))
-    keyed = docs.join(broadcast_if_small(tops), F.coalesce(docs.lang, F.lit("")) == F.col("_lang"), "left")
+    keyed = docs.join(broadcast_if_small(tops), F.coalesce(F.col(lang), F.lit("")) == F.col("_lang"), "left")
 
     def measured(w: Column) -> Column:
         word_chars = F.length(F.array_join(w, ""))
@@ -106,13 +106,13 @@ def features(docs: DataFrame, tops: DataFrame) -> DataFrame:
         )
 
     # A generated column is worked out once a row; a projected one again in each filter or column that uses it.
-    return keyed.withColumn("_f", F.explode(F.array(let(words(F.col("text")), measured)))).drop("_common")
+    return keyed.withColumn("_f", F.explode(F.array(let(words(text), measured)))).drop("_common")
 
 
-def references(measured: DataFrame) -> DataFrame:
+def references(measured: DataFrame, lang: str = "lang") -> DataFrame:
     """_ref_lang, _class_ref, _word_ref: the summed histograms of each language."""
     sums = [F.sum(F.col("_f.classes")[k]).alias(f"c{k}") for k in range(CLASSES)] + [F.sum(F.col("_f.common")[k]).alias(f"w{k}") for k in range(COMMON + 1)]
-    total = measured.groupBy(F.coalesce("lang", F.lit("")).alias("_ref_lang")).agg(*sums)
+    total = measured.groupBy(F.coalesce(lang, F.lit("")).alias("_ref_lang")).agg(*sums)
     return total.select("_ref_lang", F.array(*(f"c{k}" for k in range(CLASSES))).alias("_class_ref"), F.array(*(f"w{k}" for k in range(COMMON + 1))).alias("_word_ref"))
 
 
@@ -129,9 +129,9 @@ def jensen_shannon(a: Column, b: Column) -> Column:
     return let(F.struct(total(a).alias("a"), total(b).alias("b")), distance)
 
 
-def judge(measured: DataFrame, refs: DataFrame) -> DataFrame:
+def judge(measured: DataFrame, refs: DataFrame, lang: str = "lang") -> DataFrame:
     """measured with n_words ... base_failed, class_distance, word_distance and kept."""
-    out = measured.join(broadcast_if_small(refs), F.coalesce("lang", F.lit("")) == F.col("_ref_lang"), "left")
+    out = measured.join(broadcast_if_small(refs), F.coalesce(lang, F.lit("")) == F.col("_ref_lang"), "left")
     names = ("n_words", "word_chars", "n_dup_lines", "n_repeat_words")
     out = out.withColumns({n: F.col(f"_f.{n}") for n in names} | {"n_symbols": F.col("_f.classes")[len(RARE) - 1].cast("long")})
     out = out.withColumns({"class_distance": jensen_shannon(F.col("_f.classes"), F.col("_class_ref")), "word_distance": jensen_shannon(F.col("_f.common"), F.col("_word_ref"))})
@@ -156,11 +156,16 @@ def quality(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs that quality() keeps, with their columns. Texts and histograms are written once:
-    taking the histograms a second time costs more than writing and reading the texts."""
-    own = docs.select(*(F.col(c) for c in docs.columns))
-    measured = stored(features(own, cut(common_words(docs))))
-    return judge(measured, cut(references(measured))).where("kept").select(*docs.columns)
+    """The rows of docs that quality() keeps, with all their columns as they are, whatever their names.
+
+    A null or empty text goes; a null language is one of its own; rows that repeat share their fate and stay as
+    often as they come; no rows give no rows. Texts and histograms are written once: taking the histograms
+    a second time costs more than writing and reading the texts.
+    """
+    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    measured = stored(features(row, cut(common_words(docs)), "row.text", "row.lang"))
+    judged = judge(measured, cut(references(measured, "row.lang")), "row.lang")
+    return judged.where("kept").select("row.*")
 
 
 def op6_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:

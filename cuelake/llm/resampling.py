@@ -103,7 +103,7 @@ def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, buc
     kept marks the documents drawn: the ``share`` of all rows with the largest keys, by default the share
     of the labelled documents whose quality is 1. labels has doc_id, quality and toxic.
 
-    A null or empty text has no n-grams and weight 0. Rows that repeat a doc_id and text have the same key
+    A null or empty text has no n-grams and weight 0; null ids draw one number of their own. Rows that repeat a doc_id and text have the same key
     and share their fate: all rows with the key of the last place are kept. Other columns are ignored.
     Without usable labels all weights are 0 and all rows are kept. No rows give no rows.
     """
@@ -113,7 +113,7 @@ def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, buc
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     weighted = own.mapInArrow(_weights(table), "doc_id long, n_grams long, log_weight double")
     # A uniform number strictly between 0 and 1 from 52 hashed bits.
-    u = (F.shiftrightunsigned(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit(seed)), 12).cast("double") + 0.5) / float(1 << 52)
+    u = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 12).cast("double") + 0.5) / float(1 << 52)
     keyed = cut(weighted.withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(u))))
     k = math.ceil((good if share is None else share) * keyed.count())
     last = kth_largest(keyed, "gumbel_key", k)

@@ -24,8 +24,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
-from cuelake.llm.common import WORD, row_key
+from cuelake.llm.common import join_unique, row_key
 from cuelake.session import broadcast_if_small, cut, read_table, ship
 
 RADIUS = 3
@@ -202,7 +203,7 @@ def components(links: DataFrame) -> DataFrame:
     """node, root: the smallest node that links reach, for every node with a link.
 
     Alternating large-star and small-star steps; each replaces a node's neighbours' links by links to
-    the smallest one, and every step is a grouped minimum and a join, so a hub needs no large group.
+    the smallest one, and every step is a grouped minimum and a join in which a hub's links are dealt over tasks.
     """
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     state = None
@@ -212,10 +213,10 @@ def components(links: DataFrame) -> DataFrame:
             break
         state = tuple(seen)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = join_unique(both.where("v > u"), least.drop("n"), ["u"], least).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = join_unique(large, least.drop("n"), ["u"], least).where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
         edges = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
     return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
 
@@ -243,13 +244,30 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """docs with one row of each component: the one with the smallest doc_id. Of rows that repeat it,
-    one stays. All columns are kept as they are."""
+    """docs with one row of each component: the one with the smallest doc_id, of several with that id the one whose
+    text has the smallest hash. All columns are kept as they are, whatever their names.
+
+    Of rows that repeat id and text the one whose columns, as JSON, come first stays, so that a recomputed task keeps the
+    same. Null and empty texts are near-duplicates of each other; a null doc_id stays only where a component has no
+    other; long texts are read whole; no rows give no rows. Texts move at most once: what goes is known by id and hash.
+    """
     prints = cut(fingerprints(docs))
-    keep = fingerprint_components(prints, radius).groupBy("component_id", "keep_key").agg(F.count(F.lit(1)).alias("_n"))
-    keyed = docs.withColumn("_row_key", row_key())
-    kept = keyed.join(keep, keyed.doc_id.cast("long").eqNullSafe(keep.component_id) & (keyed._row_key == keep.keep_key), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_row_key"]).drop("_row_key")
+    parts = fingerprint_components(prints, radius)
+    own = prints.groupBy("fp", "doc_id", "row_key").agg(F.count(F.lit(1)).alias("n"))
+    judged = own.join(parts, "fp").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("row_key") == F.col("keep_key")))
+    judged = cut(judged.select("doc_id", "row_key", "n", "stays"))
+    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("_id"), row_key().alias("_key"))
+
+    def same(t: DataFrame, how: str) -> DataFrame:
+        t = broadcast_if_small(t.select(F.col("doc_id").alias("_i"), F.col("row_key").alias("_k")))
+        return row.join(t, row._id.eqNullSafe(F.col("_i")) & (row._key == F.col("_k")), how)
+
+    repeated = judged.where("stays and n > 1")
+    out = same(judged.where("not stays or n > 1"), "left_anti").select("row")
+    if repeated.limit(1).count():  # few, if ids are what their name says
+        first = Window.partitionBy("_id", "_key").orderBy(F.to_json("row"))
+        out = out.unionByName(same(repeated, "left_semi").withColumn("_r", F.row_number().over(first)).where("_r = 1").select("row"))
+    return out.select("row.*")
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

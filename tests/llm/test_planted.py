@@ -1,0 +1,343 @@
+"""Cases planted for what each method adds to fixed patterns, brute-force versions of the rest, clashing names."""
+
+import itertools
+import math
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from cuelake.llm import additive_ann, common, license_notices, mixing, packing, pii_bootstrap, quality_rules, quote_links, secret_crf, simhash
+from tests.llm.test_operators import brute_pii, odd
+from tests.oracle import connect, differences
+
+# --- 3
+
+
+def held_out(n, seed, texts):
+    """Texts with a secret that no base pattern knows: (text, start, end). Two of the cue words are in no list."""
+    rnd, chars = random.Random(seed), "ABCDEFGHIJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz0123456789"
+    for _ in range(n):
+        value = "".join(rnd.choice(chars) for _ in range(rnd.choice([14, 18, 22, 28]))) + str(rnd.randrange(10))
+        cue = rnd.choice(["passphrase", "pwd", "credentials", "Authorization", "signing_key", "recovery_code", "unlock"])
+        words = rnd.choice(texts).split()[:60]
+        k = rnd.randrange(len(words) + 1)
+        lead = " ".join(words[:k]) + f" {cue}" + rnd.choice([" = ", ": ", '="'])
+        yield f"{lead}{value} {' '.join(words[k:])}", len(lead), len(lead) + len(value)
+
+
+def test_field_finds_what_no_base_pattern_knows(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    texts = [r["text"] for r in docs.collect()]
+    field = secret_crf.fit(docs)
+    ids_of = secret_crf._Symbols(field.symbols)
+    hit = false = 0
+    for text, s, e in held_out(300, 99, texts):
+        base, found = secret_crf.find_secrets(text, field, ids_of)
+        spans = [(a, b) for a, b, k in found if k == "crf"]
+        assert not any(a < e and s < b for a, b, _ in base)
+        hit += any(a < e and s < b for a, b in spans)
+        false += sum(not (a < e and s < b) for a, b in spans)
+    assert hit / 300 > 0.7 and hit / (hit + false) > 0.95
+    assert sum(k == "crf" for t in texts for *_, k in secret_crf.find_secrets(t, field, ids_of)[1]) <= 2
+
+
+def test_planted_secrets_in_a_table(spark, sf_dir):
+    texts = [r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").limit(60).collect()]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(1000 + k, t) for k, (t, _, _) in enumerate(held_out(40, 5, texts))]
+    got = {r["doc_id"]: r["n_crf"] for r in secret_crf.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[1000 + k] > 0 for k in range(40)) >= 28
+    masked = {r["doc_id"]: r["text"] for r in secret_crf.mask_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all((secret_crf.MASK in masked[i]) == (got[i] > 0) for i in got if i >= 1000)
+
+
+def test_weak_patterns_are_the_same_in_columns(spark):
+    cases = ["pwd = a1b2c3d4e5", "Bearer abcdefgh1", "passphrase: onlyletters", "auth 12345678", "ghp_abcdefgh12345", "license key is nice", "eyJhbGciOi.J9abcdefgh1", "", "credential=zz9zzzzzz"]
+    df = spark.createDataFrame([(c,) for c in cases], "t string")
+    got = df.select("t", (F.col("t").rlike(secret_crf.WEAK.pattern) | F.col("t").rlike(secret_crf.ISSUED.pattern)).alias("w")).collect()
+    assert all(r["w"] == bool(secret_crf.weak_places(r["t"])) for r in got)
+
+
+# --- 4
+
+
+def all_notices(line):
+    """Every notice searched for in the whole line, without seeds."""
+    _, patterns = license_notices.matcher(license_notices.NOTICES)
+    found = []
+    for n, pattern in enumerate(patterns):
+        spans, todo = [], [(0, len(line))]
+        while todo:
+            lo, hi = todo.pop()
+            m = pattern.search(line, lo, hi) if lo < hi else None
+            if m and m.end() > m.start():
+                spans.append((n, m.start(), m.end(), sum(m.fuzzy_counts)))
+                todo += [(lo, m.start()), (m.end(), hi)]
+        found += sorted(spans)
+    return found
+
+
+def test_notices_against_a_search_without_seeds():
+    rnd = random.Random(3)
+    for _ in range(40):
+        parts = []
+        for _ in range(rnd.randrange(1, 5)):
+            notice = rnd.choice(license_notices.NOTICES)[0]
+            s = list(notice)
+            for _ in range(rnd.randrange(license_notices.edits(notice) + 2)):
+                k = rnd.randrange(len(s))
+                s[k : k + 1] = rnd.choice([[], [s[k], "q"], ["q"]])
+            parts += ["".join(s), " ".join(rnd.choice("this work is free and the public license software of copy may".split()) for _ in range(rnd.randrange(12)))]
+        assert license_notices.find_notices(" ".join(parts)) == all_notices(" ".join(parts))
+
+
+def test_labels_of_the_closest_notice(spark):
+    cases = {
+        "Licensed under CC BY-NC 4.0.": ("cc-by", "cc-by,cc-by-nc"), "Licenced under the Creative Comons Attribution": ("", "cc-by"), "gnu leser general public license": ("", "lgpl"),
+        "Permision is hereby granted, free of charge, to any person obtaining a copy": ("", "mit"), "Distributed under the Bost Software License": ("", "boost"), "nothing of the kind": ("", ""),
+        "relessed undr the mit license released under the mit license": ("mit", "mit"),
+    }
+    got = license_notices.scan_licenses(spark.createDataFrame([*enumerate(cases)], "doc_id long, text string")).collect()
+    assert {t: (r["base_labels"], r["labels"]) for t, r in zip(cases, sorted(got, key=lambda r: r["doc_id"]))} == cases
+    assert next(r for r in got if r["doc_id"] == 6)["notices"].count("mit:") == 2
+
+
+# --- 5
+
+
+def quoting(seed, conversations=25, most=25):
+    """Conversations with nested, edited and re-wrapped quotes, common short lines and gaps in the turns."""
+    rnd, rows, stock = random.Random(seed), [], ["Yes", "ok", "No way", "Thanks a lot", "Hi all"]
+    for c in range(conversations):
+        said = []
+        for t in range(rnd.randrange(2, most)):
+            lines = []
+            for _ in range(rnd.choice([0, 1, 1, 2]) if said else 0):
+                part = rnd.choice(said)[:]
+                if rnd.random() < 0.4:
+                    k = rnd.randrange(len(part))
+                    part = part[k : k + rnd.randrange(1, 4)]
+                if rnd.random() < 0.3:
+                    words = " ".join(part).split(" ")
+                    part = [" ".join(words[k : k + 3]) for k in range(0, len(words), 3)]
+                if rnd.random() < 0.2:
+                    part[rnd.randrange(len(part))] = "edited here"
+                depth = rnd.choice([1, 1, 1, 2, 3])
+                lines += ["Ann wrote:"] * (rnd.random() < 0.4) + [rnd.choice(["> " * depth, ">" * depth + " ", ">" * depth]) + x for x in part] + [""] * (rnd.random() < 0.4)
+            own = [rnd.choice(stock) if rnd.random() < 0.3 else " ".join(rnd.choice("alpha Beta gamma delta eps zeta".split()) for _ in range(rnd.randrange(1, 7))) for _ in range(rnd.randrange(1, 5))]
+            said.append(own)
+            rows.append((c, 2 * t + rnd.randrange(2), "u", "\n".join(lines + own)))
+    return rows
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_quotes_against_sql(spark, sf_dir, seed):
+    df = spark.createDataFrame(quoting(seed), "conv_id long, turn long, role string, text string")
+    con = connect(sf_dir)
+    con.register("generated", df.toPandas())
+    con.sql("CREATE OR REPLACE VIEW conversations AS SELECT * FROM generated")
+    out = quote_links.link_quotes(df)
+    assert differences(out, con, quote_links.OP5_SQL) == ""
+    assert out.agg(F.max("depth")).first()[0] >= 3 and out.where("n_linked > 0").count() > 100
+
+
+def test_short_lines_are_linked_and_threads_are_walked(spark):
+    rows = [(1, 1, "u", "What now?"), (1, 2, "u", "> What now?\nYes"), (1, 3, "u", "> What now?\nNo"), (1, 4, "u", "> Yes\nfine"), (1, 5, "u", "> No\nbad"), (1, 6, "u", "> fine\ndone"), (1, 7, "u", "other")]
+    got = {r["turn"]: r for r in quote_links.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert [got[k]["reply_to"] for k in range(1, 8)] == [None, 1, 1, 2, 3, 4, None]
+    assert [t for t in sorted(got, key=lambda t: (got[t]["root_turn"], got[t]["position"]))] == [1, 2, 4, 6, 3, 5, 7]
+
+
+def test_a_long_thread(spark):
+    rows = [(1, k, "u", (f"> line of {k - 1}\n" if k else "") + f"line of {k}") for k in range(120)]
+    got = quote_links.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert all((r["depth"], r["position"], r["root_turn"]) == (r["turn"], r["turn"], 0) for r in got)
+
+
+# --- 6 and 8: clashing names
+
+
+CLASH = "doc_id long, text string, lang string, source string, n_chars long, n_words string, kept string, n_symbols int, class_distance string, row int, _f int, _lang int, copy string, order_key string, _key int, _id int, _row_key int, _u int, n int"
+
+
+def clashing(spark):
+    rnd = random.Random(6)
+    text = lambda: " ".join("".join(rnd.choice("aeiourstln") for _ in range(rnd.randrange(2, 8))) for _ in range(40))
+    return spark.createDataFrame([(k, text(), "en", rnd.choice(["a", "b"]), 9, "w", "k", 7, "c", 1, 2, 3, "cp", "ok", 4, 5, 6, 8, 10) for k in range(40)], CLASH)
+
+
+@pytest.mark.parametrize("f", [quality_rules.keep_good, simhash.drop_near_duplicates, secret_crf.mask_secrets, mixing.mix])
+def test_callers_columns_stay(spark, f):
+    docs = clashing(spark)
+    out = f(docs)
+    assert out.columns == docs.columns and out.count() > 20
+    assert out.select(*docs.columns[5:]).distinct().collect() == docs.select(*docs.columns[5:]).distinct().collect()
+
+
+def test_repeated_ids_keep_the_same_row(spark):
+    rows = [(1, "one text that is here twice over", "en", s) for s in ("b", "a", "c")] + [(2, "a wholly different text about the sea", "en", "z")]
+    for order in itertools.permutations(rows[:3]):
+        out = simhash.drop_near_duplicates(spark.createDataFrame([*order, rows[3]], "doc_id long, text string, lang string, source string")).collect()
+        assert sorted((r["doc_id"], r["source"]) for r in out) == [(1, "a"), (2, "z")]
+
+
+def test_high_rates(spark):
+    """The table of a high rate starts far above 0."""
+    docs = spark.range(400).selectExpr("id doc_id", "'a' source")
+    assert abs(mixing.replicate(docs, {"a": 1.0}, total=400 * 3000).count() - 1_200_000) < 6000
+
+
+def test_join_unique(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT", 20)
+    left = spark.createDataFrame([(0 if k % 3 else k, k) for k in range(300)], "k long, v long")
+    right = spark.createDataFrame([(k, f"r{k}") for k in range(0, 200)], "k long, w string")
+    for how in ("inner", "left"):
+        got = sorted(map(tuple, common.join_unique(left, right, ["k"], how=how).select("k", "v", "w").collect()), key=str)
+        assert got == sorted(map(tuple, left.join(right, "k", how).select("k", "v", "w").collect()), key=str)
+
+
+# --- 7
+
+
+def brute_contexts(texts, rounds=3):
+    """Spans that the graph vouches for, on strings: texts by id to (start, end) lists."""
+    seen, patterns, seeds = defaultdict(list), defaultdict(set), set()
+    for i, t in texts.items():
+        base = [tuple(map(int, b.split(":")[1:])) for b in brute_pii(t)]
+        words = [(m[0], m.start()) for m in re.finditer(r"[^\x20\x09-\x0D]+", t)]
+        near = [w.lower() if not re.search("[0-9@]", w) else "#" for w, _ in words]
+        around = lambda k: near[k] if 0 <= k < len(near) else "^" if k < 0 else "$"
+        for k, (w, at) in enumerate(words):
+            if re.search("[0-9@]", w):
+                core = re.sub(r"^[^\w@+]+|[\W_]+$", "", w)
+                lead = len(w) - len(re.sub(r"^[^\w@+]+", "", w))
+                s, e = (at + lead, at + lead + len(core)) if core else (at, at + len(w))
+                core = core or w
+                is_seed = any(a < e and s < b for a, b in base)
+                seeds |= {core} if is_seed else set()
+                seen[core].append((i, s, e, is_seed))
+                for p in ((1, around(k - 2), around(k - 1)), (2, around(k + 1), around(k + 2)), (3, around(k - 1), around(k + 1))):
+                    patterns[p].add(core)
+    score = {c: float(c in seeds) for c in seen}
+    for _ in range(rounds):
+        conf = {}
+        for p, held in patterns.items():
+            if sum(score[c] >= 0.6 for c in held) >= 3 and (v := sum(score[c] for c in held) / (len(held) + 2.0)) >= 0.6:
+                conf[p] = v
+        doubt = defaultdict(float)
+        for p, v in conf.items():
+            for c in patterns[p]:
+                doubt[c] += math.log1p(-min(v, 0.999))
+        score = {c: 1.0 if c in seeds else 1 - math.exp(doubt[c]) if c in doubt else 0.0 for c in seen}
+    return {(i, s, e) for c, places in seen.items() if c not in seeds and score[c] >= 0.6 for i, s, e, _ in places}
+
+
+def contact_texts(seed):
+    rnd, texts = random.Random(seed), {}
+    leads = ["write to", "reach us at", "mail for", "owner is", "see chapter", "built in", "the"]
+    tails = ["before noon today", "as soon as possible", "and say hello", "was good", "pages long"]
+    for i in range(500):
+        lead, tail = rnd.choice(leads), rnd.choice(tails)
+        value = f"user{rnd.randrange(400)}@mail{rnd.randrange(9)}.example" if leads.index(lead) < 4 and rnd.random() < 0.9 else rnd.choice([f"id-{rnd.randrange(50)}x", str(rnd.randrange(2000)), f"({rnd.randrange(90)})", "n.7"])
+        filler = " ".join(rnd.choice("we all went there and saw the sea with them".split()) for _ in range(rnd.randrange(6)))
+        extra = f" {rnd.randrange(30)} {rnd.randrange(30)}" if rnd.random() < 0.2 else ""
+        texts[i] = f"{filler} {lead} {value} {tail}{extra}".strip()
+    return texts
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_graph_against_strings(spark, seed):
+    texts = contact_texts(seed) | {9000: "x" * 90_000 + " write to q-77 before noon today", 9001: "z9", 9002: "write to w-1 w-2 before noon"}
+    got = pii_bootstrap.find_personal_data(spark.createDataFrame([*texts.items()], "doc_id long, text string")).collect()
+    found = {(r["doc_id"], *map(int, s.split(":")[1:])) for r in got for s in r["spans"].split(",") if s.startswith("ctx")}
+    assert found == brute_contexts(texts) and found
+
+
+def test_contexts_on_both_sides_and_long_words(spark):
+    """Found by what follows, after a 100-character word, right after another instance, and at the end of a text."""
+    long = "w" * 100
+    rows = [(k, f"{long} code user{k}@mail.example.com counts for entry") for k in range(12)] + [(100, f"{long} code abc-1 was new"), (101, "some other 17 x-9 counts for entry"), (102, "we have 3 chairs"), (103, "no-7 counts for entry")]
+    got = {r["doc_id"]: r["n_ctx"] for r in pii_bootstrap.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (got[100], got[101], got[102], got[103]) == (1, 1, 0, 1)
+
+
+# --- 9
+
+
+def test_encoder_is_the_library_on_any_text():
+    """Seeded texts over all of Unicode: the two libraries give the same ids."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer, encode = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing.encoder("byte_bpe_50k")
+    rnd = random.Random(12)
+    ranges = [(0x20, 0x7E), (0x0, 0x20), (0xA0, 0x24F), (0x300, 0x36F), (0x370, 0x52F), (0x590, 0x6FF), (0x900, 0xDFF), (0x2000, 0x206F), (0x3000, 0x30FF), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3), (0x1F300, 0x1FAFF), (0xE000, 0xE0FF), (0x10000, 0x10FFFF)]
+    for _ in range(1500):
+        few = rnd.sample(ranges, rnd.randrange(1, 4))
+        t = "".join(rnd.choice([" ", "\n", "'s", "'re", "12", "<|", "|>", "_"]) if rnd.random() < 0.2 else chr(rnd.randint(*rnd.choice(few))) for _ in range(rnd.randrange(60)))
+        assert encode(t) == tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+# --- 10
+
+
+def nearest_by_hand(ids, x, queries, top=20):
+    for q in queries:
+        s = x @ x[ids.index(q)]
+        yield q, [ids[k] for k in np.lexsort((ids, -s)) if ids[k] != q][:top]
+
+
+def test_clusters_need_few_centres_and_keep_their_neighbours(spark):
+    rnd = np.random.default_rng(3)
+    middle = rnd.normal(size=(40, 16)) * 4
+    x = np.concatenate([m + rnd.normal(size=(150, 16)) for m in middle])
+    ids = [int(k) for k in rnd.permutation(len(x))]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
+    got = additive_ann.nearest(df, df.where("vec_id % 20 = 0")).collect()
+    by = defaultdict(list)
+    for r in sorted(got, key=lambda r: r["rank"]):
+        by[r["query_id"]].append(r)
+    want = dict(nearest_by_hand(ids, x, [i for i in ids if i % 20 == 0]))
+    assert np.mean([len({r["vec_id"] for r in by[q]} & set(w)) / 20 for q, w in want.items()]) > 0.95
+    place = {i: k for k, i in enumerate(ids)}
+    assert all(r["score"] == pytest.approx(x[place[r["query_id"]]] @ x[place[r["vec_id"]]], rel=1e-13) for r in got)  # doubles stay doubles
+    centres = additive_ann.fit_centres(x, 32)
+    assert additive_ann.centres_to_visit(x[rnd.permutation(len(x))[:2000]], centres, 20) < 16
+
+
+def test_equal_vectors_and_ties(spark):
+    rows = [(k, [1.0, 0.0]) for k in range(500)] + [(1000 + k, [0.5, 0.5]) for k in range(30)]
+    got = additive_ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), spark.createDataFrame(rows[:1] + rows[40:41], "vec_id long, embedding array<float>")).collect()
+    assert {q: [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] for q in (0, 40)} == {0: [*range(1, 21)], 40: [*range(20)]}
+
+
+# --- the pipeline
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, tmp_path):
+    """Every stage takes nulls, empty and long texts, repeated rows, clashing names and no rows at all."""
+    import corpus_pipeline
+
+    for name, table in (("odd", odd(spark).unionByName(clashing(spark).select("doc_id", "text", "lang", "source", "n_chars", *(F.lit(None).cast(t).alias(c) for c, t in (("codes", "string"), ("fp", "long"), ("key", "string"), ("rank", "int"), ("copy", "string")))))), ("empty", odd(spark).limit(0))):
+        table.write.parquet(str(tmp_path / name / "documents.parquet"))
+        docs = spark.read.parquet(str(tmp_path / name / "documents.parquet"))
+        for stage, f in corpus_pipeline.STAGES[:-1]:
+            out = f(spark, docs, str(tmp_path / name))
+            assert out.columns == docs.columns, stage
+            out.collect()
+        rows = corpus_pipeline.run(spark, str(tmp_path / name)).collect()
+        assert (len(rows) > 0) == (name == "odd")
+        counts = Counter((r["sequence_id"]) for r in rows)
+        assert sum(counts.values()) == len(rows)
+
+
+def test_pipeline_leaves_only_its_last_table(spark, sf_dir, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    for module in (corpus_pipeline, common):
+        monkeypatch.setattr(module, "shared_folder", lambda _: str(tmp_path))
+    assert corpus_pipeline.run(spark, sf_dir).count() > 0
+    assert len({p.parent for p in tmp_path.rglob("*.parquet")}) == 1
