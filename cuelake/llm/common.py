@@ -42,12 +42,15 @@ def stored(df: DataFrame) -> DataFrame:
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Tables that stored() writes within are deleted at the end, when nothing reads them any more."""
+    """Tables that stored() writes within are deleted at the end, also of a stage that failed, when nothing reads them
+    any more."""
     before = len(_WRITTEN)
-    yield
-    for path in _WRITTEN[before:]:
-        remove_folder(spark, path)
-    del _WRITTEN[before:]
+    try:
+        yield
+    finally:
+        for path in _WRITTEN[before:]:
+            remove_folder(spark, path)
+        del _WRITTEN[before:]
 
 
 #: Rows of one key from which a join deals them over several tasks.
