@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuelake.llm import additive_ann, license_notices, mixing, packing, pii_bootstrap, quality_rules, quote_links, resampling, secret_crf, simhash
+from cuelake.llm import (
+    additive_ann,
+    license_notices,
+    mixing,
+    packing,
+    pii_bootstrap,
+    quality_rules,
+    quote_links,
+    resampling,
+    secret_crf,
+    simhash,
+    target_resampling,
+    token_alignment,
+    word_bpe,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_importance_resampling": resampling.op1_importance_resampling,
@@ -19,6 +33,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_poisson_mixing": mixing.op8_poisson_mixing,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_additive_ann": additive_ann.op10_additive_ann,
+    "op11_word_bpe": word_bpe.op11_word_bpe,
+    "op12_target_resampling": target_resampling.op12_target_resampling,
+    "op13_token_alignment": token_alignment.op13_token_alignment,
 }
 ORACLES: dict[str, str] = {
     "op5_quote_links": quote_links.OP5_SQL,
