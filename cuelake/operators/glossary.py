@@ -30,6 +30,22 @@ def learn(terms: DataFrame, cap: int = C.MAX_TERMS) -> DataFrame:
     return first.withColumn("n", F.row_number().over(order)).where(F.col("n") <= cap).select("batch_id", "source", F.col("f.target").alias("target"), "n")
 
 
+def learn_more(settled: DataFrame, new: DataFrame, cap: int = C.MAX_TERMS) -> DataFrame:
+    """The settled terms (as learn() gives them) and after them what new ones add: FOLD-12 taken further by an
+    episode, without the terms of all earlier ones."""
+    kept = settled.select("batch_id", F.lit(-1).cast("long").alias("episode_no"), F.col("n").alias("line_no"), "source", "target")
+    return learn(kept.unionByName(new.select(kept.columns)), cap)
+
+
+def merged(settled: DataFrame, user: str = "") -> DataFrame:
+    """batch_id, glossary: the user's own text first, then a series' settled terms, one ``source → target`` a line."""
+    line = F.concat("source", F.lit(" → "), "target")
+    rows = F.sort_array(F.collect_list(F.struct("n", line.alias("t"))))
+    text = F.array_join(F.transform(rows, lambda x: x["t"]), "\n")
+    head = f"{user.strip()}\n" if user.strip() else ""
+    return settled.groupBy("batch_id").agg(F.concat(F.lit(head), text).alias("glossary"))
+
+
 def clashes(terms: DataFrame, learned: DataFrame) -> DataFrame:
     """Later renderings that differ from the settled one."""
     settled = learned.select("batch_id", "source", F.col("target").alias("settled"))

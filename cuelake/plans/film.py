@@ -1,12 +1,16 @@
 """From words to subtitle files: the stages of one run over all videos of a batch at once.
 
-Model calls are made by a Completer: it gets a table of requests and gives a table of replies. The only
-one here looks replies up in a table; one that calls a service would do so inside mapInPandas.
+Model calls are made by a Completer: it gets a table of requests and gives a table of replies. Those here look
+replies up in a table or work them out by a column; one that calls a service would do so inside mapInPandas.
+
+What waits for what is a round: the k-th translation batch of all films is asked for at once, with the end
+of each film's batch k-1 as context. Episodes of a series that wait for each other's terms are in season.py.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
@@ -22,7 +26,8 @@ from cuelake.sources import subtitles
 
 class Completer(Protocol):
     def complete(self, requests: DataFrame) -> DataFrame:
-        """requests (video_id, stage, chunk_id, attempt, prompt) to replies (video_id, chunk_id, reply)."""
+        """requests (video_id, stage, chunk_id, attempt, glossary, context, body, prompt) to replies (video_id, chunk_id,
+        reply). prompt is the parts before it one after the other; glossary and context may be null."""
 
 
 @dataclass
@@ -36,6 +41,26 @@ class TableCompleter:
         return requests.select(*keys).join(self.table, keys).select("video_id", "chunk_id", "reply")
 
 
+@dataclass
+class ColumnCompleter:
+    """Replies by a rule: a column over those of a request. Where it is null there is no reply."""
+
+    rule: Column
+
+    def complete(self, requests: DataFrame) -> DataFrame:
+        return requests.withColumn("reply", self.rule).where("reply is not null").select("video_id", "chunk_id", "reply")
+
+
+@dataclass
+class Prepared:
+    """What a film is before its translation: lines that are refined and marked, and what led there."""
+
+    transcript: DataFrame
+    refined: DataFrame
+    judged: DataFrame
+    lines: DataFrame
+
+
 @dataclass
 class Film:
     """lines in their final form, the lines that no reply translated, the files, refine's counters and
@@ -49,13 +74,26 @@ class Film:
     stages: dict[str, DataFrame]
 
 
-def requests(lines: DataFrame, stage: str, attempt: int = 1, label: Column | None = None, order: str = "index") -> DataFrame:
-    """STR-13: the numbered lines of each chunk as one prompt; time stamps are not part of it. label: what stands
-    in front of a line, its number in brackets if not given."""
+def requests(
+    lines: DataFrame,
+    stage: str,
+    attempt: int = 1,
+    label: Column | None = None,
+    glossary: DataFrame | None = None,
+    context: DataFrame | None = None,
+) -> DataFrame:
+    """STR-13: the numbered lines of each chunk as one body; time stamps are not part of it. label: what stands
+    in front of a line, its number in brackets if not given. glossary (video_id, glossary) and context (video_id,
+    chunk_id, context) go in front of the lines."""
     mark = F.concat(F.lit("["), F.col("index").cast("string"), F.lit("] ")) if label is None else label
-    row = F.struct(F.col(order).alias("at"), F.concat(mark, "text").alias("line"))
+    row = F.struct(F.col("index").alias("at"), F.concat(mark, "text").alias("line"))
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(row)), lambda x: x["line"]), "\n")
-    return lines.groupBy("video_id", "chunk_id").agg(joined.alias("prompt")).select("video_id", F.lit(stage).alias("stage"), "chunk_id", F.lit(attempt).alias("attempt"), "prompt")
+    asked = lines.groupBy("video_id", "chunk_id").agg(joined.alias("body"))
+    for table, keys, name in ((glossary, ["video_id"], "glossary"), (context, ["video_id", "chunk_id"], "context")):
+        asked = asked.withColumn(name, F.lit(None).cast("string")) if table is None else asked.join(table, keys, "left")
+    parts = [F.when(F.col(c) != "", F.col(c)) for c in ("glossary", "context", "body")]
+    whole = F.concat_ws("\n\n", *parts).alias("prompt")
+    return asked.select("video_id", F.lit(stage).alias("stage"), "chunk_id", F.lit(attempt).alias("attempt"), "glossary", "context", "body", whole)
 
 
 def vet(segments: DataFrame, model: Completer, attempts: int = 2) -> DataFrame:
@@ -81,13 +119,15 @@ def vet(segments: DataFrame, model: Completer, attempts: int = 2) -> DataFrame:
     return verify.vetted(numbered, held, asked.join(skipped, ["video_id", "chunk_id"], "left_anti")).select(*segments.columns)
 
 
-def refined(lines: DataFrame, model: Completer, max_chars: int = C.MAX_CHARS_PER_LINE, max_duration: float = C.MAX_DURATION) -> tuple[DataFrame, DataFrame]:
+def refined(
+    lines: DataFrame, model: Completer, max_chars: int = C.MAX_CHARS_PER_LINE, max_duration: float = C.MAX_DURATION, glossary: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Refined lines, and the judged units. Chunks that a reply does not cover exactly keep their lines; after three
     such chunks in a row, all further ones do."""
     budget = cues.token_budget(C.CONTEXT_LIMIT, C.REFINE_FLOOR, C.REFINE_CHUNK_TOKENS)
     chunked = cut(cues.chunks(lines, budget, C.REFINE_MARKER))
     bounds = chunked.groupBy("video_id", "chunk_id").agg(F.min("index").alias("first_index"), F.max("index").alias("last_index"))
-    units = cut(replies.parse_units(model.complete(requests(chunked, "refine"))))
+    units = cut(replies.parse_units(model.complete(requests(chunked, "refine", glossary=glossary))))
     covered = cut(verify.covers_exactly(units, bounds))
     skipped = verify.give_up(covered.select("video_id", "chunk_id", (~F.col("covers")).alias("failed")), C.REFINE_GIVE_UP).where("skipped")
     held = units.join(skipped, ["video_id", "chunk_id"], "left_anti")
@@ -124,17 +164,36 @@ def aligned(lines: DataFrame, model: Completer) -> DataFrame:
     return lines.join(taken, ["video_id", "index"], "left").withColumn("translation", F.coalesce("_new", "translation")).drop("_new")
 
 
-def translated(lines: DataFrame, model: Completer, attempts: int = 3) -> DataFrame:
-    """Translations by batch; lines left out are asked for again, then batches that look shifted."""
-    out = cues.batches(lines).withColumnRenamed("batch", "chunk_id").withColumn("translation", F.lit(""))
+def own_terms(lines: DataFrame, model: Completer, glossary: DataFrame | None = None, context_limit: int = C.CONTEXT_LIMIT) -> DataFrame:
+    """FOLD-9 in the chain: video_id, reply: the terms a model names on lines sampled from the whole film."""
+    sampled = cues.sample(lines, context_limit).withColumn("chunk_id", F.lit(0))
+    return model.complete(requests(sampled, "glossary", label=F.lit(""), glossary=glossary)).select("video_id", "reply")
+
+
+def translated_batch(batch: DataFrame, model: Completer, attempts: int = 3, glossary: DataFrame | None = None, context: DataFrame | None = None) -> DataFrame:
+    """One batch of each film (with chunk_id): lines left out are asked for again, then batches that look shifted."""
+    out = batch.withColumn("translation", F.lit(""))
     for attempt in range(1, attempts + 1):
         out = cut(out)
         open_ = out.where("translation = ''")
         if attempt > 1 and not open_.limit(1).count():
             break
-        got = replies.parse_translations(model.complete(requests(open_, "translate", attempt))).select("video_id", "index", "translation")
+        asked = requests(open_, "translate", attempt, glossary=glossary, context=context)
+        got = replies.parse_translations(model.complete(asked)).select("video_id", "index", "translation")
         out = replies.apply_translations(out, got, first=attempt == 1)
-    out = aligned(cut(out), model)
+    return cut(aligned(cut(out), model))
+
+
+def translated(lines: DataFrame, model: Completer, attempts: int = 3, glossary: DataFrame | None = None, size: int = C.BATCH_SIZE) -> DataFrame:
+    """Translations in rounds: the k-th batches of all films together, each with the end of its film's batch before
+    as context (WIN-11). There are as many rounds as the longest film has batches; a film takes part in its own."""
+    batches = cut(cues.batches(lines, size).withColumnRenamed("batch", "chunk_id"))
+    last = batches.agg(F.max("chunk_id")).first()[0] or 0
+    done, context = [], None
+    for k in range(last + 1):
+        done.append(translated_batch(batches.where(F.col("chunk_id") == k), model, attempts, glossary, context))
+        context = batch_tail(done[-1])
+    out = reduce(DataFrame.unionByName, done)
     return out.drop("chunk_id").withColumn("translation", T.apply_marks(F.col("translation"), F.col("is_lyric")))
 
 
@@ -142,29 +201,51 @@ def batch_tail(lines: DataFrame, n: int = C.TAIL_LINES) -> DataFrame:
     """WIN-11: video_id, chunk_id, context: the last n lines of the batch before, as "[n] text → translation"."""
     place = F.row_number().over(Window.partitionBy("video_id", "chunk_id").orderBy(F.desc("index")))
     row = F.concat(F.lit("["), F.col("index").cast("string"), F.lit("] "), "text", F.lit(" → "), "translation")
-    last = lines.withColumn("_r", place).where(F.col("_r") <= n).groupBy("video_id", "chunk_id").agg(F.sort_array(F.collect_list(F.struct("index", row.alias("t")))).alias("l"))
-    return last.select("video_id", (F.col("chunk_id") + 1).alias("chunk_id"), F.array_join(F.transform("l", lambda x: x["t"]), "\n").alias("context"))
-
+    rows = F.sort_array(F.collect_list(F.struct("index", row.alias("t"))))
+    last = lines.withColumn("_r", place).where(F.col("_r") <= n).groupBy("video_id", "chunk_id").agg(rows.alias("l"))
+    text = F.array_join(F.transform("l", lambda x: x["t"]), "\n")
+    return last.select("video_id", (F.col("chunk_id") + 1).alias("chunk_id"), text.alias("context"))
 
-def produce(
-    words: DataFrame, bare: DataFrame, model: Completer, mode: str = "bilingual", layout: str = "original_top", max_chars: int = C.MAX_CHARS_PER_LINE,
-    max_duration: float = C.MAX_DURATION, frames: DataFrame | None = None,
-) -> Film:
-    """Words and segments without words to SRT files. bare may have pos and recovered: its recovered segments are
-    vetted first, against the others. frames: replies about frames (video_id, start, duration, reply).
 
-    A film with missing translations is for the caller to fail or to ship with its original lines, which is
-    what the files hold."""
+def prepared(
+    words: DataFrame, bare: DataFrame, model: Completer, max_chars: int = C.MAX_CHARS_PER_LINE, max_duration: float = C.MAX_DURATION, glossary: DataFrame | None = None
+) -> Prepared:
+    """Words and segments without words to lines that can be translated. glossary goes along with refine's requests."""
     if "recovered" in bare.columns:
         bare = cut(vet(bare, model))
     transcript = cut(cues.segment(words, bare, max_chars, max_duration))
-    merged, judged = refined(transcript, model, max_chars, max_duration)
+    merged, judged = refined(transcript, model, max_chars, max_duration, glossary)
     merged, judged = cut(merged), cut(judged)
-    done = cut(translated(cut(marked(merged, model)), model))
+    return Prepared(transcript, merged, judged, cut(marked(merged, model)))
+
+
+def finished(p: Prepared, done: DataFrame, mode: str, layout: str, max_chars: int, frames: DataFrame | None) -> Film:
+    """The film of translated lines: its files, with frame texts among the cues, and what is missing."""
     shown = subtitles.with_frames(done, subtitles.frame_cues(frames)) if frames is not None else done
     files = subtitles.files_of(subtitles.srt_blocks(shown, mode, layout, max_chars))
     missing = done.where("translation = ''").select("video_id", "index")
-    return Film(done, missing, files, verify.refine_counters(judged), verify.rejections(judged), {"transcript": transcript, "transcript_refined": merged, "translation": done})
+    stages = {"transcript": p.transcript, "transcript_refined": p.refined, "translation": done}
+    return Film(done, missing, files, verify.refine_counters(p.judged), verify.rejections(p.judged), stages)
+
+
+def produce(
+    words: DataFrame,
+    bare: DataFrame,
+    model: Completer,
+    mode: str = "bilingual",
+    layout: str = "original_top",
+    max_chars: int = C.MAX_CHARS_PER_LINE,
+    max_duration: float = C.MAX_DURATION,
+    frames: DataFrame | None = None,
+) -> Film:
+    """Words and segments without words to SRT files. bare may have pos and recovered: its recovered segments are
+    vetted first, against the others. frames: replies about frames (video_id, start, duration, reply).
+
+    A film with missing translations is for the caller to fail or to ship with its original lines, which is
+    what the files hold."""
+    p = prepared(words, bare, model, max_chars, max_duration)
+    terms = cut(own_terms(p.lines, model).withColumnRenamed("reply", "glossary"))
+    return finished(p, cut(translated(p.lines, model, glossary=terms)), mode, layout, max_chars, frames)
 
 
 def write_stages(film: Film, path: str) -> None:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuelake.plans import text_queries, timeline_queries
+from cuelake.plans import season_queries, text_queries, timeline_queries
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = text_queries.QUERIES | timeline_queries.QUERIES
-ORACLES: dict[str, str] = text_queries.ORACLES | timeline_queries.ORACLES
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = text_queries.QUERIES | timeline_queries.QUERIES | season_queries.QUERIES
+ORACLES: dict[str, str] = text_queries.ORACLES | timeline_queries.ORACLES | season_queries.ORACLES

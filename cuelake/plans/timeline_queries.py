@@ -483,30 +483,30 @@ def win_stalls(spark, sf_dir):
 # --- glossary, media, files, jobs
 
 
-def _terms(spark, sf_dir):
+def terms(spark, sf_dir):
     e = read_table(spark, sf_dir, "events").select((F.col("user_id") % 5).alias("batch_id"), F.floor(F.col("event_id") / 1000).alias("episode_no"), "event_id", F.concat(F.lit("- "), "event_type", F.lit("-"), (F.col("event_id") % 11).cast("string"), F.lit(" → v"), (F.col("event_id") % 7).cast("string")).alias("row"))
     r = e.groupBy("batch_id", "episode_no").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("event_id", "row"))), lambda x: x["row"]), "\n").alias("reply"))
     return glossary.terms_of(r)
 
 
-_TERMS = """t AS (SELECT user_id % 5 AS batch_id, event_id // 1000 AS episode_no, event_id, event_type || '-' || (event_id % 11)::VARCHAR AS source, 'v' || (event_id % 7)::VARCHAR AS target FROM events),
+TERMS = """t AS (SELECT user_id % 5 AS batch_id, event_id // 1000 AS episode_no, event_id, event_type || '-' || (event_id % 11)::VARCHAR AS source, 'v' || (event_id % 7)::VARCHAR AS target FROM events),
 learned AS (SELECT batch_id, source, target, n FROM (SELECT batch_id, source, arg_min(target, event_id) AS target, row_number() OVER (PARTITION BY batch_id ORDER BY min(event_id))::INT AS n FROM t GROUP BY batch_id, source) WHERE n <= 40)"""
 
 
-@query("glossary_first_wins", f"WITH {_TERMS} SELECT * FROM learned")
+@query("glossary_first_wins", f"WITH {TERMS} SELECT * FROM learned")
 def glossary_first_wins(spark, sf_dir):
-    return glossary.learn(_terms(spark, sf_dir), 40)
+    return glossary.learn(terms(spark, sf_dir), 40)
 
 
-@query("glossary_clashes", f"WITH {_TERMS} SELECT batch_id, source, settled, target, count(*) AS n FROM (SELECT t.batch_id, t.source, l.target AS settled, t.target FROM t JOIN learned l USING (batch_id, source) WHERE t.target <> l.target) GROUP BY ALL")
+@query("glossary_clashes", f"WITH {TERMS} SELECT batch_id, source, settled, target, count(*) AS n FROM (SELECT t.batch_id, t.source, l.target AS settled, t.target FROM t JOIN learned l USING (batch_id, source) WHERE t.target <> l.target) GROUP BY ALL")
 def glossary_clashes(spark, sf_dir):
-    t = _terms(spark, sf_dir)
+    t = terms(spark, sf_dir)
     return glossary.clashes(t, glossary.learn(t, 40)).groupBy("batch_id", "source", "settled", "target").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("glossary_anti", f"WITH {_TERMS} SELECT batch_id, source, count(*) AS n FROM t WHERE source NOT LIKE 'click-%' GROUP BY ALL")
+@query("glossary_anti", f"WITH {TERMS} SELECT batch_id, source, count(*) AS n FROM t WHERE source NOT LIKE 'click-%' GROUP BY ALL")
 def glossary_anti(spark, sf_dir):
-    t = _terms(spark, sf_dir)
+    t = terms(spark, sf_dir)
     own = t.where(F.col("source").like("click-%")).select("source").distinct()
     return glossary.unprotected(t, own).groupBy("batch_id", "source").agg(F.count(F.lit(1)).alias("n"))
 

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -63,6 +66,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+@contextmanager
+def written(df: DataFrame, *by: str) -> Iterator[DataFrame]:
+    """df as a Parquet table in the shared folder with a folder for each value of ``by``, so that a filter on those
+    columns reads only its own part. It is deleted at the end of the block."""
+    path = f"{shared_folder(df.sparkSession)}/written-{uuid.uuid4().hex}"
+    try:
+        df.write.partitionBy(*by).parquet(path)
+        yield df.sparkSession.read.schema(df.schema).parquet(path)
+    finally:
+        remove_folder(df.sparkSession, path)
+
+
 def broadcast_if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """``broadcast(df)`` if it has at most ``rows`` rows (a counted bound), else df for a shuffle join.
 
