@@ -117,8 +117,30 @@ def centres_to_visit(sample: np.ndarray, centres: np.ndarray, top: int, reached:
     return int(ranks[min(len(ranks) - 1, int(np.ceil(reached * len(ranks))))]) + 1 if len(ranks) else len(centres)
 
 
+def _first_of_each(*keys: np.ndarray) -> np.ndarray:
+    """Which rows, sorted by keys, are the first with theirs."""
+    new = np.zeros(len(keys[0]), dtype=bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return new
+
+
+def _once(sure: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """sure (queries, rows) with -inf but for the best row of each id, where ids (of the same shape) repeat."""
+    order = np.lexsort((-sure, ids), axis=1)
+    own = np.take_along_axis(ids, order, axis=1)
+    again = np.zeros_like(order, dtype=bool)
+    again[:, 1:] = own[:, 1:] == own[:, :-1]
+    out = sure.copy()
+    rows, k = np.nonzero(again)
+    out[rows, order[rows, k]] = -np.inf
+    return out
+
+
 def search(q: np.ndarray, q_id: np.ndarray, x: np.ndarray, x_id: np.ndarray, codes: np.ndarray, rest: np.ndarray, books: np.ndarray, top: int = TOP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """query index, row index and exact score of the best ``top`` rows of a block for each query."""
+    """query index, row index and exact score of the best ``top`` ids of a block for each query. An id of several
+    rows has one place, that of its best row, and is counted once in what a row must reach."""
     q32 = q.astype(np.float32)
     tables = np.einsum("mwd,qd->mwq", books, q32)  # a row of scores over the queries for each code word
     score = np.empty((len(x), len(q)), dtype=np.float32)
@@ -138,6 +160,8 @@ def search(q: np.ndarray, q_id: np.ndarray, x: np.ndarray, x_id: np.ndarray, cod
     first = np.argpartition(-score, start - 1, axis=0)[:start].T
     sure = exact(first.ravel(), np.repeat(np.arange(len(q)), start)).reshape(len(q), start)
     sure[~np.isfinite(score[first, np.arange(len(q))[:, None]])] = -np.inf
+    if len(np.unique(x_id)) < len(x_id):
+        sure = _once(sure, x_id[first])
     need = -np.partition(-sure, min(top, start) - 1, axis=1)[:, min(top, start) - 1]
     doubt, size, need = (a.astype(np.float32) for a in (doubt, size, need))
     found = []
@@ -148,7 +172,9 @@ def search(q: np.ndarray, q_id: np.ndarray, x: np.ndarray, x_id: np.ndarray, cod
         found.append((r[alive] + at, k[alive]))
     rows, qi = map(np.concatenate, zip(*found))
     value = np.concatenate([exact(rows[i : i + 65536], qi[i : i + 65536]) for i in range(0, len(rows), 65536)] or [np.empty(0)])
-    order = np.lexsort((x_id[rows], -value, qi))
+    order = np.lexsort((-value, x_id[rows], qi))
+    order = order[_first_of_each(qi[order], x_id[rows[order]])]
+    order = order[np.lexsort((x_id[rows[order]], -value[order], qi[order]))]
     rows, qi, value = rows[order], qi[order], value[order]
     new = np.r_[True, qi[1:] != qi[:-1]] if len(qi) else np.empty(0, dtype=bool)
     place = np.arange(len(qi)) - np.maximum.accumulate(np.where(new, np.arange(len(qi)), 0)) if len(qi) else np.empty(0, dtype=int)
@@ -208,15 +234,16 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = TOP, sample: int
 
     Rows whose vec_id is null, or whose vector is null, empty, zero, of another length than most of the
     sample, or holds null or non-finite parts, take no part. Vectors of doubles are kept as doubles. Rows that repeat a
-    vec_id with an equal vector are one; with another vector, the best one counts. Other columns are ignored; where
-    nothing is left there are no rows.
+    vec_id with an equal vector are one from the start, however many they are; with other vectors, the best one counts and
+    takes one place. A query id that repeats asks with each of its vectors, and the best score counts. Other columns are
+    ignored; where nothing is left there are no rows.
     """
     ship(vectors.sparkSession)
     spark = vectors.sparkSession
     single = all(t.schema["embedding"].dataType.elementType == FloatType() for t in (vectors, queries))
     kind, dtype = ("array<float>", "<f4") if single else ("array<double>", "<f8")
     clean = lambda t: t.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding")).where(usable() & F.col("vec_id").isNotNull())
-    vectors, queries = clean(vectors), clean(queries)
+    vectors, queries = clean(vectors).distinct(), clean(queries).distinct()
     result = "query_id long, rank int, vec_id long, score double"
     drawn = vectors.select("embedding", F.xxhash64("vec_id").alias("h")).orderBy("h").limit(sample).collect()  # at most ``sample`` rows
     if not drawn:
@@ -225,7 +252,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = TOP, sample: int
     size = max(sorted(set(lengths)), key=lengths.count)
     vectors, queries = (t.where(F.size("embedding") == size) for t in (vectors, queries))
     few = np.array([r["embedding"] for r in drawn if len(r["embedding"]) == size])
-    n_rows, n_queries = vectors.count(), queries.count()
+    n_rows, n_queries = vectors.count(), queries.count()  # without repeats
     points = fit_centres(few, max(1, min(CENTRES, n_rows // CENTRE_ROWS, len(few) // 8)))
     books, centres = spark.sparkContext.broadcast(fit_codebooks(few)), spark.sparkContext.broadcast(points)
     coded = cut(vectors.mapInArrow(_encode_rows(books, centres, dtype), "vec_id long, vector binary, codes binary, rest float, centre int"))
