@@ -1,7 +1,8 @@
 """Secret scans: fixed patterns, and a linear-chain conditional random field over tokens.
 
 The field tags each token as beginning a secret (B), inside one (I) or outside (O). A token is seen as
-its symbol: a lexicon word as itself, any other by its shape (length class, character classes). The score
+its symbol: a lexicon word as itself, a name that holds a stem like ``key`` by that, any other token by its shape (length
+class, character classes, how often letters and digits take turns). The score
 of a tag is a sum of weights for the token's symbol, those of two tokens before and one after, and file
 features (how long the text is, how many digits and equals signs it has), plus a weight for each pair of
 neighbouring tags. It is fitted by maximum likelihood on a bounded sample of documents, labelled by the
@@ -38,10 +39,13 @@ MASK = "[secret]"
 SAMPLE = 200
 #: with so many windows of each, of so many tokens around a match.
 WINDOWS, REACH = 4, 16
-#: and so many made-up lines.
-MADE_UP = 600
+#: and on so many made-up lines.
+MADE_UP = 4_000
 LEXICON = 400
-TOKEN = re.compile(r"[\w+/.=-]+|[^\s\w]")
+#: Characters up to which a token may be a lexicon word or a name.
+SHORT_TOKEN = 24
+#: Equals signs belong to a token only at its end, as padding.
+TOKEN = re.compile(r"[\w+/.-]+(?:={1,2}(?![\w+/.=-]))?|[^\s\w]")
 _HEX_RUN = re.compile(r"[0-9a-f]{32,}")
 _KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 #: For the sample only: what holds every text with a base match, before the patterns themselves are tried.
@@ -83,7 +87,23 @@ def weak_places(text: str) -> list[tuple[int, int]]:
     return [m.span(1) for m in WEAK.finditer(text)] + [m.span() for m in ISSUED.finditer(text)]
 
 
+#: Parts of names that announce secrets: what an unlisted name is seen as if it holds one.
+STEMS = ("passw", "pass", "pwd", "secret", "token", "cred", "auth", "key", "login", "lock", "pin")
+#: A token too long for the lexicon goes into fitting as this mark and its shape, so that none is cut.
+_SHAPED = "\x00"
+_SWITCH = re.compile(r"(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])")
+
+
+def stem(token: str) -> str | None:
+    """The symbol of a name that is a word of letters, joined by _ . or -, with a stem in it."""
+    low = token.lower()
+    found = next((x for x in STEMS if x in low), None)
+    return f"s{found}" if found and not any(c.isdigit() for c in low) and "=" not in low and "/" not in low else None
+
+
 def shape(token: str) -> str:
+    if len(token) > 1 and token[0] == _SHAPED:
+        return token[1:]
     size = min(len(token).bit_length(), 7)
     if token.isalpha():
         case = "l" if token.islower() else "U" if token.isupper() else "T" if token[1:].islower() else "m"
@@ -97,7 +117,9 @@ def shape(token: str) -> str:
     classes = "".join(
         c for c, p in (("d", r"[0-9]"), ("x", r"[a-f]"), ("l", r"[g-z]"), ("U", r"[A-Z]"), ("s", r"[+/_=-]"), (".", r"\.")) if re.search(p, token)
     )
-    return f"{size}:{classes}"
+    # How often letters and digits take turns: a made-up name has a number at its end, a key has them all over.
+    turns = min(len(_SWITCH.findall(token)), 4)
+    return f"{size}:{classes}{turns}"
 
 
 def file_features(text: str) -> tuple[int, int, int]:
@@ -154,7 +176,9 @@ class _Symbols(dict):
     def __missing__(self, token: str) -> int:
         if len(self) > 300_000:
             self.clear()
-        known = self.symbols.get("w" + token.lower()) if len(token) <= 24 else None
+        known = self.symbols.get("w" + token.lower()) if len(token) <= SHORT_TOKEN else None
+        if known is None and len(token) <= SHORT_TOKEN and (s := stem(token)):
+            known = self.symbols.get(s)
         got = known if known is not None else self.symbols.get(shape(token), 0)
         if len(token) <= 64:
             self[token] = got
@@ -181,12 +205,18 @@ def crf_spans(text: str, field: Field, ids_of: _Symbols) -> list[tuple[int, int]
 
 
 def find_secrets(text: str | None, field: Field | None, ids_of: _Symbols | None) -> tuple[list, list]:
-    """Base spans; all spans, with those of the field that no base span overlaps."""
+    """Base spans; all spans, with those of the field that no base span overlaps. A span of the field that touches a base
+    span in part is left out whole; spans of two kinds that begin at one place are in the order of KINDS."""
     text = text or ""
     base = base_spans(text)
     if field is None:
         return base, base
-    more = [(s, e, "crf") for s, e in crf_spans(text, field, ids_of) if not any(s < b and a < e for a, b, _ in base)]
+    more, reach, k = [], 0, 0  # reach: where the base spans that begin before a span's end have ended
+    for s, e in crf_spans(text, field, ids_of):
+        while k < len(base) and base[k][0] < e:
+            reach, k = max(reach, base[k][1]), k + 1
+        if reach <= s:
+            more.append((s, e, "crf"))
     return base, sorted(base + more, key=lambda s: (s[0], KINDS.index(s[2]))) if more else base
 
 
@@ -211,7 +241,8 @@ def windows_of(text: str, places: list[tuple[int, int]]) -> Iterator[Window]:
     centres = marked if len(marked) else np.linspace(0, max(len(found) - 1, 0), WINDOWS // 2, dtype=int) if found else []
     for c in centres:
         part = slice(max(0, c - REACH), c + REACH)
-        yield [m[0][:80] for m in found[part]], tag[part].tolist(), list(file_features(text))
+        tokens = [m[0] if len(m[0]) <= SHORT_TOKEN else _SHAPED + shape(m[0]) for m in found[part]]
+        yield tokens, tag[part].tolist(), list(file_features(text))
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,36 +254,66 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays(columns, names=["tokens", "tags", "files"])
 
 
+#: How a name and its value are joined in made-up lines: the same for secrets and for harmless values.
+JOINTS = (" = ", "=", ": ", " : ", " ", " ", '="', "='", ': "', " := ", " -> ", '" : "')
+
+
 def made_up(n: int, seed: int = 41) -> list[Window]:
-    """Lines with a cue word and a secret, with a harmless name and a value, with a cue word in prose, and prose with
-    numbers. File features are drawn at random, so that nothing is learned from them here."""
+    """Lines with a name and a secret, with a name and a harmless value, with a cue word in prose, and prose with
+    numbers. Names are cue words, made of a stem and another word, or any word at all, and names, joints and quotes are drawn
+    alike for secrets and harmless values, so that the value itself must tell them apart. File features are
+    drawn at random, so that nothing is learned from them here."""
     rnd, rows = random.Random(seed), []
-    chars = {"hex": "0123456789abcdef", "mixed": "ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnpqrstuvwxyz0123456789", "lower": "abcdefghijklmnopqrstuvwxyz0123456789", "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "sign": "ABCDEFGHabcdefghijklmn0123456789+/_-"}
-    cues, plain = [*CUES, "password", "passwd", "secret", "token", "api_key", "apikey"], ["name", "version", "date", "id", "size", "url", "host", "page", "count", "color", "title", "user", "port", "path", "price", "chapter"]
-    word = lambda: "".join(rnd.choice("aeioulnrstdmkpb") for _ in range(rnd.randrange(2, 10)))
+    small, large, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    alphabets = ("0123456789abcdef", small + large + digits, small + digits, large + digits, small + large + digits + "+/_-")
+    cues = (*CUES, "password", "passwd", "secret", "token", "api_key", "apikey")
+    plain = ("name", "version", "date", "id", "size", "url", "host", "page", "count", "color", "title", "user", "port", "path", "price", "chapter")
+    pick = lambda letters, lo, hi: "".join(rnd.choice(letters) for _ in range(rnd.randrange(lo, hi)))
+    word = lambda: pick("aeioulnrstdmkpbghcfvwy", 2, 11)
+    number = lambda: pick(digits, 1, 18)
 
     def secret() -> str:
-        alphabet = chars[rnd.choice([*chars])]
-        body = "".join(rnd.choice(alphabet) for _ in range(rnd.choice([8, 10, 12, 16, 20, 24, 31, 40])))
-        return body[:-2] + rnd.choice("0123456789") + rnd.choice("abcdef")
+        alphabet, n = rnd.choice(alphabets), rnd.choice([8, 10, 12, 16, 20, 24, 31, 32, 40, 64])
+        while True:
+            value = "".join(rnd.choice(alphabet) for _ in range(n))
+            if any(c in digits for c in value) and any(c.isalpha() for c in value) and value[0].isalnum() and value[-1].isalnum():
+                return value
+
+    def harmless() -> str:
+        return rnd.choice((
+            word, lambda: word().capitalize(), number, lambda: word().upper(),
+            lambda: f"{rnd.randrange(9)}.{rnd.randrange(30)}.{rnd.randrange(9)}",
+            lambda: f"20{rnd.randrange(10, 40)}-{rnd.randrange(1, 13):02}-{rnd.randrange(1, 29):02}",
+            lambda: f"{word()}.{rnd.choice(['txt', 'html', 'com', 'py', 'mp4'])}",
+            lambda: f"{word()}-{rnd.randrange(99)}", lambda: f"{word()}{rnd.randrange(1, 2100)}", lambda: f"{word()}_{word()}_{number()[:4]}",
+            lambda: f"{pick(large, 1, 4)}-{number()[:5]}", lambda: f"{number()[:4]}{rnd.choice(['th', 'px', 'kg', 'm', 'ms', 'GB'])}",
+            lambda: f"/{word()}/{word()}/{word()}{rnd.randrange(9)}", lambda: f"{word()}{word()}{word()}",
+            lambda: f"{word().capitalize()}{word().capitalize()}{rnd.randrange(9)}",
+        ))()
+
+    def name() -> str:
+        kind = rnd.random()
+        if kind < 0.35:
+            return rnd.choice(cues)
+        if kind < 0.55:
+            return rnd.choice((f"{word()}{{}}{rnd.choice(STEMS)}", f"{rnd.choice(STEMS)}{{}}{word()}", f"{rnd.choice(STEMS)}{{}}{rnd.choice(STEMS)}")).format(rnd.choice(["", "_", "-", "."]))
+        return word() if kind < 0.8 else rnd.choice(plain)
 
-    harmless = (word, lambda: str(rnd.randrange(10**rnd.randrange(1, 17))), lambda: f"{rnd.randrange(9)}.{rnd.randrange(30)}.{rnd.randrange(9)}", lambda: f"20{rnd.randrange(10, 40)}-{rnd.randrange(1, 13):02}-{rnd.randrange(1, 29):02}", lambda: f"{word()}.{rnd.choice(['txt', 'html', 'com'])}", lambda: word().capitalize(), lambda: f"{word()}-{rnd.randrange(99)}")
     for _ in range(n):
-        parts, place = [word() for _ in range(rnd.randrange(0, 9))], None
-        kind = rnd.random()
-        sep, quote = rnd.choice([" = ", "=", ": ", " : ", " "]), rnd.choice(["", "", '"', "'"])
-        case = rnd.choice([str.lower, str.lower, str.upper, str.capitalize])
-        if kind < 0.45:
+        parts, place, kind = [word() for _ in range(rnd.randrange(0, 9))], None, rnd.random()
+        case, joint = rnd.choice([str.lower, str.lower, str.upper, str.capitalize]), rnd.choice(JOINTS)
+        quote = joint[-1] if joint[-1] in "\"'" else rnd.choice(["", "", "", '"', "'"])
+        lead = f"{' '.join(parts)} {case(name())}{joint}{'' if joint[-1] == quote else quote}"
+        if kind < 0.4:
             value = secret()
-            lead = f"{' '.join(parts)} {case(rnd.choice(cues))}{sep}{quote}"
             text, place = f"{lead}{value}{quote}", (len(lead), len(lead) + len(value))
         elif kind < 0.75:
-            text = f"{' '.join(parts)} {case(rnd.choice(plain))}{sep}{quote}{rnd.choice(harmless)()}{quote}"
+            text = f"{lead}{harmless()}{quote}"
         elif kind < 0.85:
-            text = f"{' '.join(parts)} {case(rnd.choice(cues))} {word()} {rnd.choice(harmless)() if rnd.random() < 0.3 else word()}"
+            text = f"{' '.join(parts)} {case(name())} {word()} {harmless() if rnd.random() < 0.4 else word()}"
         else:
-            text = " ".join([*parts, rnd.choice(harmless)(), word(), rnd.choice(harmless)()])
-        text += " " + " ".join(word() for _ in range(rnd.randrange(0, 9)))
+            text = " ".join([*parts, harmless(), word(), harmless()])
+        text += rnd.choice([" ", ". ", ", ", "; "]) + " ".join(word() for _ in range(rnd.randrange(0, 9)))
         rows += [(t, y, [rnd.randrange(8), rnd.randrange(4), rnd.randrange(4)]) for t, y, _ in windows_of(text, [place] if place else [])][:1]
     return rows
 
@@ -269,7 +330,7 @@ def fit_windows(rows: list[Window], steps: int = 80, rate: float = 0.2, l2: floa
                 near.update({w.lower() for w in tokens[max(0, t - 3) : t + 3] if w.isalpha()})
     lexicon = [w for w, n in sorted(near.items(), key=lambda x: (-x[1], x[0]))[:LEXICON] if n > 2]
     symbols = {"": 0} | {"w" + w: k for k, w in enumerate(lexicon, 1)}
-    for s in sorted({shape(w) for r in rows for w in r[0]}):
+    for s in sorted({x for r in rows for w in r[0] for x in (shape(w), stem(w)) if x}):
         symbols.setdefault(s, len(symbols))
     ids_of, n, longest = _Symbols(symbols), len(rows), max(len(r[0]) for r in rows)
     ids, tags, mask = np.zeros((n, longest), dtype=int), np.zeros((n, longest), dtype=int), np.zeros((n, longest), dtype=bool)
