@@ -4,7 +4,8 @@ Texts are compared as normalised words: A-Z in lower case, other ASCII punctuati
 notice may be found with up to k edits (k grows with its length). It is split into k + 1 pieces, so
 that any place within k edits holds at least one piece unchanged; an automaton finds all pieces in one
 pass over a text, and around each the regex library's bounded-error matching decides and reports the
-best span and its edits.
+best span and its edits. Edits must not turn one license into another: a match begins and ends at words, short words
+that tell notices apart (mit, bsd, clause counts, by, sa, nc, nd) stand as they are, and longer names have one edit at most.
 """
 
 from __future__ import annotations
@@ -76,6 +77,12 @@ NOTICES = (
     ("all rights reserved no part of this publication may be reproduced", "all-rights-reserved"),
     ("proprietary and confidential unauthorized copying of this file via any medium is strictly prohibited", "proprietary"),
 )
+# Short words that tell notices apart, which no edit may touch, and names, which one may.
+TELLING = frozenset("gnu mit bsd sil cc cc0 by sa nc nd 2 3".split())
+NAMES = frozenset(
+    "apache lesser library affero documentation mozilla eclipse boost european artistic microsoft academic server side business source database "
+    "python universal permissive creative commons attribution sharealike noncommercial noderivatives unencumbered".split()
+)
 #: One edit is allowed for so many characters of a notice,
 EDIT_EVERY = 12
 #: but no more than this.
@@ -92,6 +99,31 @@ def edits(notice: str) -> int:
     return min(MAX_EDITS, len(notice) // EDIT_EVERY)
 
 
+def pattern(notice: str) -> regex.Pattern:
+    """A bounded-error pattern of whole words: telling words stand as they are, a run of names may have one edit,
+    what lies between up to edits() of them. Their sum is for whoever matches to bound, as is what ends a match."""
+    parts, k = [], edits(notice)
+    for w in notice.split():
+        kind = 0 if w in TELLING else min(1, k) if w in NAMES else k
+        if parts and parts[-1][0] == (kind, w in TELLING):
+            parts[-1][1].append(w)
+        else:
+            parts.append(((kind, w in TELLING), [w]))
+    out = []
+    for n, ((most, sure), run) in enumerate(parts):
+        text = regex.escape(" ".join(run), literal_spaces=True)
+        space = "" if n == 0 else " " if parts[n - 1][0][1] or sure else "(?: ){e<=1}" if k else " "
+        out.append(space + (rf"(?<![^ ]){text}(?![^ ])" if sure else rf"(?:{text}){{e<={most}}}"))
+    return regex.compile(rf"(?b)(?<![^ ]){''.join(out)}(?![^ ])")
+
+
+def is_notice(line: str, m: regex.Match, notice: str) -> bool:
+    """Whether a match of pattern() is the notice: with few enough edits in all, and not in the plural, which
+    speaks of such licenses rather than being one."""
+    plural = line[m.start() : m.end()].rsplit(" ", 1)[-1] == notice.rsplit(" ", 1)[-1] + "s"
+    return sum(m.fuzzy_counts) <= edits(notice) and not plural
+
+
 @lru_cache(maxsize=1)
 def matcher(notices: tuple[tuple[str, str], ...]):
     """The automaton of pieces, and a bounded-error pattern for each notice."""
@@ -101,7 +133,7 @@ def matcher(notices: tuple[tuple[str, str], ...]):
         bounds = [len(notice) * i // (k + 1) for i in range(k + 2)]
         for a, b in zip(bounds, bounds[1:]):
             seeds.setdefault(notice[a:b], []).append((n, a))
-        patterns.append(regex.compile(rf"(?b)(?:{regex.escape(notice, literal_spaces=True)}){{e<={k}}}"))
+        patterns.append(pattern(notice))
     for piece, uses in seeds.items():
         automaton.add_word(piece, (len(piece), tuple(uses)))
     automaton.make_automaton()
@@ -116,7 +148,7 @@ def find_notices(line: str, notices: tuple[tuple[str, str], ...] = NOTICES) -> l
         start = end - size + 1
         for n, offset in uses:
             k, whole = edits(notices[n][0]), len(notices[n][0])
-            windows.setdefault(n, []).append((max(0, start - offset - k), start - offset + whole + k))
+            windows.setdefault(n, []).append((max(0, start - offset - k), start - offset + whole + k + 1))  # and what ends it
     found = []
     for n in sorted(windows):
         merged: list[list[int]] = []
@@ -130,8 +162,9 @@ def find_notices(line: str, notices: tuple[tuple[str, str], ...] = NOTICES) -> l
         while todo:
             lo, hi = todo.pop()
             m = patterns[n].search(line, lo, hi) if lo < hi else None
-            if m and m.end() > m.start():
-                spans.append((n, m.start(), m.end(), sum(m.fuzzy_counts)))
+            if m and m.end() > m.start() and line[m.end() : m.end() + 1] in ("", " "):
+                if is_notice(line, m, notices[n][0]):
+                    spans.append((n, m.start(), m.end(), sum(m.fuzzy_counts)))
                 todo += [(lo, m.start()), (m.end(), hi)]
         found += sorted(spans)
     return found
@@ -153,11 +186,11 @@ def scan(text: str | None, notices: tuple[tuple[str, str], ...] = NOTICES) -> tu
     joined = b" " + b" ".join(words) + b" "
     places, labels = [], set()
     for phrase, label in PHRASES:
-        needle, at = b" " + phrase.encode() + b" ", joined.find(b" " + phrase.encode() + b" ")
-        while at >= 0:
-            places.append(joined.count(b" ", 0, at))
+        needle, at, counted, word = b" " + phrase.encode() + b" ", -1, 0, 0
+        while (at := joined.find(needle, at + 1)) >= 0:
+            word, counted = word + joined.count(b" ", counted, at), at
+            places.append(word)
             labels.add(label)
-            at = joined.find(needle, at + 1)
     line = joined[1:-1].decode()
     found = resolve(find_notices(line, notices))
     best = 1.0 if places else 0.0
@@ -180,7 +213,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_words, n_base, first_word, last_word,
     base_labels, labels, score, notices (label:start:end:edits in the normalised text).
 
-    Of notices that overlap, the closest match counts. The score is 1 with a base phrase, else the best share of a notice that was found unedited, else 0.
+    Of notices that overlap, the closest match counts, of equally close ones the longest, then the first. The score is 1 with a base phrase, else the best share of a notice that was found unedited, else 0.
     A null text is empty; long texts are read whole. Rows that repeat are returned as often as they come; other columns are
     ignored. No rows give no rows.
     """
