@@ -36,8 +36,8 @@ SIDE_A, SIDE_B = "byte_bpe_50k", "piece_bpe_32k"
 STRIPE = 250
 #: Characters and documents of a chunk; a longer document is one of its own.
 CHUNK_CHARS, CHUNK_DOCS = 4_000_000, 8_192
-#: Chunks whose sums one task adds to a stripe's block, and whose links it scores.
-FAN = 2_000
+#: Chunks whose sums one task adds to a stripe's block, and chunks whose links of a stripe one task scores.
+FAN, SCORED = 2_000, 100
 #: White space of this many characters in a row is left to the tokenizers library.
 _BLANK = re.compile(r"\s{10000}")
 
@@ -305,7 +305,7 @@ def _chunk_count(linked: DataFrame) -> int:
     return max(1, linked.where("place = 0").count())
 
 
-def align(docs: DataFrame, side_a: str = SIDE_A, side_b: str = SIDE_B, with_groups: bool = False, stripe: int = STRIPE, chars: int = CHUNK_CHARS, chunk_docs: int = CHUNK_DOCS, fan: int = FAN) -> DataFrame:
+def align(docs: DataFrame, side_a: str = SIDE_A, side_b: str = SIDE_B, with_groups: bool = False, stripe: int = STRIPE, chars: int = CHUNK_CHARS, chunk_docs: int = CHUNK_DOCS, fan: int = FAN, scored_chunks: int = SCORED) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256,
     and with_groups the groups themselves as ``a1,a2|b1;a3|b2,b3``.
 
@@ -316,7 +316,7 @@ def align(docs: DataFrame, side_a: str = SIDE_A, side_b: str = SIDE_B, with_grou
     """
     linked = link_documents(docs, side_a, side_b, with_groups, stripe, chars, chunk_docs)
     n_a, chunks = len(sides(side_a, side_b).bytes_a), _chunk_count(linked)
-    parts = -(-chunks // fan)
+    parts = -(-chunks // scored_chunks)
     links = linked.where("stripe is not null").select("stripe", F.pmod(F.xxhash64("chunk"), F.lit(parts)).alias("part"), "chunk", "pairs", F.lit(None).cast("binary").alias("sums"), "n_docs", "docs", "times")
     none = [F.lit(None).cast("binary").alias(c) for c in ("n_docs", "docs", "times")]
     counts = stripe_counts(linked.where("stripe is not null"), chunks, stripe, n_a, fan)

@@ -227,7 +227,7 @@ def test_alignment(spark, sf_dir):
 def test_alignment_in_parts(spark, sf_dir):
     """Small chunks, narrow stripes and two chunks to a task: several rounds of sums, and stripes dealt over tasks."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 40")
-    got = token_alignment.align(docs, with_groups=True, stripe=40, chars=30_000, chunk_docs=5, fan=2).collect()
+    got = token_alignment.align(docs, with_groups=True, stripe=40, chars=30_000, chunk_docs=5, fan=2, scored_chunks=2).collect()
     held(got, docs_of(docs))
     assert all(hashlib.sha256(r["groups"].encode()).hexdigest() == r["groups_sha256"] for r in got if r["groups"])
 
