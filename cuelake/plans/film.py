@@ -20,6 +20,7 @@ from pyspark.sql import Window
 from cuelake import constants as C
 from cuelake.functions import text as T
 from cuelake.operators import cues, metrics, replies, verify
+from cuelake.plans.runs import write_whole
 from cuelake.session import cut
 from cuelake.sources import subtitles
 
@@ -249,6 +250,6 @@ def produce(
 
 
 def write_stages(film: Film, path: str) -> None:
-    """SRC-10: what each stage left, as JSON rows in a folder of its own below path."""
+    """SRC-10: what each stage left, as JSON rows in a folder of its own below path, each there as a whole or not at all."""
     for name, table in film.stages.items():
-        table.write.mode("overwrite").json(f"{path}/{name}")
+        write_whole(table, f"{path}/{name}")

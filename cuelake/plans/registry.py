@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuelake.plans import season_queries, text_queries, timeline_queries
+from cuelake.plans import media_queries, season_queries, text_queries, timeline_queries
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = text_queries.QUERIES | timeline_queries.QUERIES | season_queries.QUERIES
-ORACLES: dict[str, str] = text_queries.ORACLES | timeline_queries.ORACLES | season_queries.ORACLES
+_MODULES = (text_queries, timeline_queries, season_queries, media_queries)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+ORACLES: dict[str, str] = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}

@@ -561,7 +561,7 @@ def top_newest_logs(spark, sf_dir):
     return media.newest(e).select("job_id", F.col("name").alias("event_id"))
 
 
-def _film(spark, sf_dir):
+def film_lines(spark, sf_dir):
     return lines(spark, sf_dir).withColumn("translation", F.when(F.col("index") % 4 == 0, "").otherwise(F.concat(F.lit("T: "), "text")))
 
 
@@ -575,17 +575,17 @@ _ASS_ROW = f"""{_ASS_SPAN} || '{{\\fs40\\c&H00C0C0C0&}}' || {_ASS_TEXT.format('t
 
 @query("sink_srt", f"""WITH {_FILM} SELECT video_id, md5(string_agg(n::VARCHAR || chr(10) || {_SRT_SPAN} || chr(10) || text || chr(10) || tr || chr(10), chr(10) ORDER BY n)) AS digest FROM film GROUP BY video_id""")
 def sink_srt(spark, sf_dir):
-    return subtitles.files_of(subtitles.srt_blocks(_film(spark, sf_dir))).select("video_id", F.md5("text").alias("digest"))
+    return subtitles.files_of(subtitles.srt_blocks(film_lines(spark, sf_dir))).select("video_id", F.md5("text").alias("digest"))
 
 
 @query("sink_ass", f"""WITH {_FILM} SELECT video_id, md5(string_agg({_ASS_ROW}, chr(10) ORDER BY n)) AS digest FROM film GROUP BY video_id""")
 def sink_ass(spark, sf_dir):
-    return subtitles.files_of(subtitles.ass_events(_film(spark, sf_dir))).select("video_id", F.md5("text").alias("digest"))
+    return subtitles.files_of(subtitles.ass_events(film_lines(spark, sf_dir))).select("video_id", F.md5("text").alias("digest"))
 
 
 @query("read_srt", f"""WITH {_FILM} SELECT video_id, (n - 1)::INT AS pos, round(start, 3) AS start, round("end", 3) AS "end", text || chr(10) || tr AS body FROM film""")
 def read_srt(spark, sf_dir):
-    files = subtitles.files_of(subtitles.srt_blocks(_film(spark, sf_dir)))
+    files = subtitles.files_of(subtitles.srt_blocks(film_lines(spark, sf_dir)))
     return subtitles.parse_srt(files, "video_id").select("video_id", "pos", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"), "body")
 
 
@@ -606,7 +606,7 @@ def _signs(film):
   UNION ALL SELECT video_id, start, 1, row_number() OVER (PARTITION BY video_id ORDER BY start, "end"), {_SRT_SPAN} || chr(10) || '{{\\an7}}SIGN' FROM signs),
 c AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY began, src, pos) AS n FROM b) SELECT video_id, string_agg(n::VARCHAR || chr(10) || body || chr(10), chr(10) ORDER BY n) AS text FROM c GROUP BY video_id""")
 def sink_insert_srt(spark, sf_dir):
-    film = _film(spark, sf_dir)
+    film = film_lines(spark, sf_dir)
     return subtitles.insert_srt(subtitles.files_of(subtitles.srt_blocks(film)), _signs(film))
 
 
@@ -619,7 +619,7 @@ p AS (SELECT s.video_id, s.k, any_value(s.start) AS start, any_value(s.line) AS
 a AS (SELECT video_id, n, 1 AS src, 0.0 AS start, 0 AS k, line FROM d UNION ALL SELECT video_id, n, 0, start, k, line FROM p)
 SELECT video_id, '{_HEAD}' || chr(10) || string_agg(line, chr(10) ORDER BY n, src, start, k) || chr(10) AS text FROM a GROUP BY video_id""")
 def sink_insert_ass(spark, sf_dir):
-    film = _film(spark, sf_dir)
+    film = film_lines(spark, sf_dir)
     return subtitles.insert_ass(subtitles.files_of(subtitles.ass_events(film), head=subtitles.ass_head(), end="\n"), _signs(film))
 
 

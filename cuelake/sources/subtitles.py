@@ -8,6 +8,7 @@ from pyspark.sql import Window
 
 from cuelake import constants as C
 from cuelake.functions import text as T
+from cuelake.sources.named_files import write_named
 
 # The timing line of an SRT block, and the start of an ASS dialogue.
 TIMING = r"^(\d{2}):(\d{2}):(\d{2})[,.](\d{3})\s*-->\s*(\d{2}):(\d{2}):(\d{2})[,.](\d{3})\s*$"
@@ -163,6 +164,8 @@ def with_frames(lines: DataFrame, cues: DataFrame) -> DataFrame:
     return lines.withColumn("is_frame", F.lit(False)).unionByName(frame, allowMissingColumns=True)
 
 
-def write_files(files: DataFrame, path: str) -> None:
-    """SNK-6: one text file row per video below path, committed as a whole by the file committer."""
-    files.select("video_id", "text").repartition("video_id").write.mode("overwrite").partitionBy("video_id").option("lineSep", "\n").text(path)
+def write_files(files: DataFrame, path: str, ending: str = "srt") -> None:
+    """SNK-6: each text of files (video_id, text, and name if there is one) as one file below path: ``name``, else the
+    video's id and ``ending``. All files are there under their names or none is; old ones are replaced each in one step."""
+    name = F.col("name") if "name" in files.columns else F.concat(F.col("video_id").cast("string"), F.lit(f".{ending}"))
+    write_named(files.select(name.alias("name"), "text"), path)
