@@ -243,7 +243,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = TOP, sample: int
     single = all(t.schema["embedding"].dataType.elementType == FloatType() for t in (vectors, queries))
     kind, dtype = ("array<float>", "<f4") if single else ("array<double>", "<f8")
     clean = lambda t: t.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding")).where(usable() & F.col("vec_id").isNotNull())
-    vectors, queries = clean(vectors).distinct(), clean(queries).distinct()
+    vectors, queries = cut(clean(vectors).distinct()), clean(queries).distinct()
     result = "query_id long, rank int, vec_id long, score double"
     drawn = vectors.select("embedding", F.xxhash64("vec_id").alias("h")).orderBy("h").limit(sample).collect()  # at most ``sample`` rows
     if not drawn:
