@@ -30,4 +30,6 @@ BATCH_SIZE, CONTEXT_LIMIT = 200, 100_000
 MIN_YIELD_RATIO = 0.01
 KEEP_LOGS = 20
 STALL_SECONDS = 60.0
+FRAME_SECONDS = 5.0
+# Endings of video files.
 VIDEO_EXTENSIONS = ("mp4", "mkv", "avi", "mov", "wmv", "flv", "webm", "ts", "m2ts", "mpg", "mpeg", "rmvb", "m4v")

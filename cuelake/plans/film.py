@@ -249,6 +249,41 @@ def produce(
     return finished(p, cut(translated(p.lines, model, glossary=terms)), mode, layout, max_chars, frames)
 
 
+def supplement(
+    files: DataFrame, tasks: DataFrame, durations: DataFrame, model: Completer, shown: float = C.FRAME_SECONDS
+) -> tuple[DataFrame, DataFrame]:
+    """The frame-only supplement of finished films: (files, refused). files (video_id, text, kind: srt or ass) get the texts of
+    frames at the times of tasks (video_id, time as h:m:s, m:s or s, and duration in seconds or null for ``shown``).
+
+    A time that is none, is negative or lies beyond the film (durations: video_id, duration) is refused with a reason
+    (VER-9) and not asked for, as is one of a film without a file. A frame whose reply is empty or says that it has no text gives no
+    cue (SRC-6); a task that is given twice is asked once. Cues are put in by start (SNK-3, SNK-4); a file without
+    cues stays as it is.
+    """
+    given = tasks.select("video_id", "time", F.coalesce("duration", F.lit(shown)).alias("shown"))
+    timed = verify.time_valid(given, durations)
+    has_file = files.select("video_id").distinct().withColumn("_file", F.lit(True))
+    reason = F.when(F.col("seconds").isNull(), "not a time").when(~F.col("valid"), "beyond the film").when(F.col("_file").isNull(), "no file")
+    judged = cut(timed.join(has_file, "video_id", "left").withColumn("reason", reason))
+    refused = judged.where("reason is not null").select("video_id", "time", "reason")
+    by = Window.partitionBy("video_id").orderBy("seconds", "shown")
+    once = judged.where("reason is null").select("video_id", "seconds", "shown").distinct()
+    asked = cut(once.withColumn("chunk_id", F.row_number().over(by) - 1))
+    frame = F.format_string("%.3f", F.col("seconds"))
+    none = [F.lit(None).cast("string").alias(c) for c in ("glossary", "context")]
+    got = model.complete(asked.select("video_id", F.lit("frame").alias("stage"), "chunk_id", F.lit(1).alias("attempt"), *none, frame.alias("body"), frame.alias("prompt")))
+    replies_ = asked.join(got, ["video_id", "chunk_id"]).select("video_id", F.col("seconds").alias("start"), F.col("shown").alias("duration"), "reply")
+    signs = cut(subtitles.frame_cues(replies_))
+    put = files.join(signs.select("video_id").distinct(), "video_id", "left_semi")
+    kept = files.join(signs.select("video_id").distinct(), "video_id", "left_anti")
+    out = kept.select("video_id", "kind", "text")
+    for kind, insert in (("srt", subtitles.insert_srt), ("ass", subtitles.insert_ass)):
+        own = put.where(F.col("kind") == kind)
+        cues_of = signs.join(own.select("video_id"), "video_id", "left_semi")
+        out = out.unionByName(insert(own.select("video_id", "text"), cues_of).select("video_id", F.lit(kind).alias("kind"), "text"))
+    return out, refused
+
+
 def write_stages(film: Film, path: str) -> None:
     """SRC-10: what each stage left, as JSON rows in a folder of its own below path, each there as a whole or not at all."""
     for name, table in film.stages.items():
