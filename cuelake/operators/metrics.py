@@ -75,13 +75,28 @@ def level_profile(samples: Column) -> Column:
     return 20 * F.log10(F.greatest(F.sqrt(square / F.size(samples)), F.lit(1e-7)))
 
 
-def median_level(intervals: DataFrame, levels: DataFrame) -> DataFrame:
+#: Seconds of one block of levels.
+LEVEL_BLOCK = 64
+
+
+def median_level(intervals: DataFrame, levels: DataFrame, block: int = LEVEL_BLOCK) -> DataFrame:
     """AGG-8: intervals with level, the median of the seconds they touch; -140 where there are none.
-    Seconds are joined by equality, one row per second of an interval."""
+
+    Levels are joined as blocks of ``block`` seconds: an interval meets one row for each block it touches, so an ordinary one
+    meets one or two rows and a long one a sixty-fourth of its seconds, and takes its own seconds out of them.
+    """
+    row = F.struct("sec", F.col("db").cast("double").alias("db"))
+    blocks = levels.where("db is not null").groupBy("video_id", F.floor(F.col("sec") / block).alias("_block")).agg(F.collect_list(row).alias("_levels"))
     first = F.floor("start").cast("int")
-    seconds = F.sequence(first, F.greatest(F.floor("end").cast("int"), first + 1) - 1)
-    each = intervals.select("video_id", "start", "end", F.explode(seconds).alias("sec")).join(levels, ["video_id", "sec"], "left")
-    return each.groupBy("video_id", "start", "end").agg(F.coalesce(F.median("db"), F.lit(-140.0)).alias("level"))
+    last = F.greatest(F.floor("end").cast("int"), first + 1) - 1
+    own = intervals.select("video_id", "start", "end", first.alias("_first"), last.alias("_last"))
+    each = own.withColumn("_block", F.explode(F.sequence(F.floor(F.col("_first") / block), F.floor(F.col("_last") / block))))
+    mine = F.filter("_levels", lambda x: x["sec"].between(F.col("_first"), F.col("_last")))
+    met = each.join(blocks, ["video_id", "_block"], "left").select("video_id", "start", "end", F.transform(mine, lambda x: x["db"]).alias("_db"))
+    by = met.groupBy("video_id", "start", "end").agg(F.array_sort(F.flatten(F.collect_list("_db"))).alias("_db"))
+    n = F.size("_db")
+    middle = (F.get("_db", F.floor((n - 1) / 2).cast("int")) + F.get("_db", F.floor(n / 2).cast("int"))) / 2
+    return by.select("video_id", "start", "end", F.when(n > 0, middle).otherwise(-140.0).alias("level"))
 
 
 def speech_level(intervals: DataFrame) -> DataFrame:
