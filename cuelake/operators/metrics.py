@@ -28,7 +28,8 @@ def percentiles(df: DataFrame, key: str, value: str, points: tuple[int, ...]) ->
     range ranks its own values after the number of those in earlier ranges, of which there are few.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(F.col(key).alias("_key"), F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("c"))
-    dealt = cut(counts.repartitionByRange("_key", "value").withColumn("part", F.spark_partition_id()))
+    # Written once: dealing by range looks at its input twice, and what it deals is read twice.
+    dealt = cut(cut(counts).repartitionByRange("_key", "value").withColumn("part", F.spark_partition_id()))
     sizes = dealt.groupBy("_key", "part").agg(F.sum("c").alias("size"))
     own = Window.partitionBy("_key").orderBy("part")
     sizes = sizes.select("_key", "part", (F.sum("size").over(own) - F.col("size")).alias("before"), F.sum("size").over(Window.partitionBy("_key")).alias("n"))

@@ -9,7 +9,7 @@ from cuelake.functions import text as T
 from cuelake.operators import cues, glossary, intervals, metrics, replies, verify
 from cuelake.plans import duck as D
 from cuelake.plans.adapters import LINES, TURNS, WORDS, lines, turns, words
-from cuelake.session import read_table
+from cuelake.session import cut, read_table
 from cuelake.sources import media, subtitles
 from cuelake.streaming import jobs
 
@@ -306,9 +306,9 @@ def fold_give_up(spark, sf_dir):
 # --- replies and verification
 
 
-def _units(spark, sf_dir):
+def _units(lines_):
     """A reply that groups lines in pairs, with every seventh pair left out."""
-    x = lines(spark, sf_dir).withColumns({"pair": F.floor((F.col("index") - 1) / 2).cast("int")})
+    x = lines_.withColumns({"pair": F.floor((F.col("index") - 1) / 2).cast("int")})
     g = x.groupBy("video_id", "pair").agg(F.min("index").alias("first"), F.max("index").alias("last"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("index", "text"))), lambda t: t["text"]), " ").alias("text"))
     body = F.concat(F.lit("["), F.col("first").cast("string"), F.lit("-"), F.col("last").cast("string"), F.lit("] "), "text")
     kept = g.where("pair % 7 <> 6 or video_id % 2 = 0").groupBy("video_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pair", body.alias("b")))), lambda t: t["b"]), "\n").alias("reply"))
@@ -321,7 +321,7 @@ units AS (SELECT video_id, 0 AS chunk_id, row_number() OVER (PARTITION BY video_
 
 @query("parse_units", f"WITH {_UNITS} SELECT video_id, chunk_id, unit_no::BIGINT AS unit_no, first, last, text FROM units")
 def parse_units(spark, sf_dir):
-    return replies.parse_units(_units(spark, sf_dir))
+    return replies.parse_units(_units(lines(spark, sf_dir)))
 
 
 @query("ver_coverage", f"""WITH {_UNITS}, l AS (SELECT video_id, max(index) AS n FROM lines GROUP BY video_id), u AS (SELECT *, lag(last) OVER (PARTITION BY video_id ORDER BY unit_no) AS p FROM units)
@@ -350,15 +350,15 @@ judged AS (SELECT *, CASE WHEN NOT (len(sw) = 0 OR (kept >= 0.6 * len(sw) AND le
 
 
 def _judged(spark, sf_dir):
-    x = lines(spark, sf_dir)
-    return verify.judge_units(parse_units(spark, sf_dir), x, cues.gap_limit(x))
+    x = cut(lines(spark, sf_dir).select("video_id", "index", "start", "end", "text"))  # read for units, limits and sources
+    return verify.judge_units(replies.parse_units(_units(x)), x, cues.gap_limit(x))
 
 
 @query("ver_apply_units", f"""WITH {_JUDGED} SELECT video_id, first, round_even(CASE WHEN n > 1 AND e - s > 7.0 AND hf THEN e - 7.0 ELSE s END, 3) AS start, round_even(CASE WHEN n > 1 AND e - s > 7.0 AND NOT hf THEN s + 7.0 ELSE e END, 3) AS "end", text, true AS accepted FROM judged WHERE reason = ''
 UNION ALL SELECT src.video_id, index, start, "end", lt, false FROM src JOIN judged USING (video_id, unit_no) WHERE reason <> ''""")
 def ver_apply_units(spark, sf_dir):
-    x = lines(spark, sf_dir)
-    return verify.apply_units(parse_units(spark, sf_dir), x, cues.gap_limit(x))
+    x = cut(lines(spark, sf_dir).select("video_id", "index", "start", "end", "text"))
+    return verify.apply_units(replies.parse_units(_units(x)), x, cues.gap_limit(x))
 
 
 @query("agg_refine_counters", f"WITH {_JUDGED} SELECT video_id, sum(CASE WHEN reason = '' THEN n - 1 ELSE 0 END)::BIGINT AS merged, count(*) FILTER (WHERE reason = '' AND text <> joined) AS corrected, count(*) FILTER (WHERE reason <> '') AS rejected FROM judged GROUP BY video_id")
