@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,29 +29,33 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), rf"[{SPACE}]+"), "")
 
 
-_WRITTEN: list[str] = []
+#: The tables written within the innermost scratch() of this thread.
+_WRITTEN: ContextVar[list[str] | None] = ContextVar("written", default=None)
 
 
 def stored(df: DataFrame) -> DataFrame:
     """df written as Parquet to the shared folder and read again: a lineage cut for wide rows, which a
-    checkpoint would keep uncompressed. scratch() deletes what is written within it."""
+    checkpoint would keep uncompressed. scratch() deletes what is written within it; without one, the table is there
+    as long as the folder of spark.checkpoint.dir is kept, as what is returned may read it at any time."""
     path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    if (own := _WRITTEN.get()) is not None:
+        own.append(path)  # also if the writing fails
     df.write.parquet(path)
-    _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Tables that stored() writes within are deleted at the end, also of a stage that failed, when nothing reads them
-    any more."""
-    before = len(_WRITTEN)
+    """Tables that stored() writes within, in this thread, are deleted at the end, also of a stage that failed, when
+    nothing reads them any more. Pipelines in other threads of the driver have their own."""
+    own: list[str] = []
+    token = _WRITTEN.set(own)
     try:
         yield
     finally:
-        for path in _WRITTEN[before:]:
+        _WRITTEN.reset(token)
+        for path in own:
             remove_folder(spark, path)
-        del _WRITTEN[before:]
 
 
 #: Rows of one key from which a join deals them over several tasks.

@@ -217,7 +217,7 @@ def best_fit_pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = V
     """One row per piece of docs (doc_id, text): doc_id, piece, start, length, ids_crc32, sequence_id,
     offset, and with_ids the ids themselves.
 
-    A null or empty text is the closing id alone. Rows that repeat are packed as often as they come, a
+    A null or empty text is the closing id alone; very long ones are cut into as many pieces as they need. Rows that repeat are packed as often as they come, a
     null doc_id like any other; other columns are ignored. No rows give no rows.
     """
     return pack(cut(pieces(docs, capacity, vocabulary, with_ids)), capacity)

@@ -146,7 +146,7 @@ def quality(docs: DataFrame) -> DataFrame:
     """One row per row of docs (doc_id, text, lang): doc_id, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, kept, class_distance, word_distance.
 
-    A null or empty text has no words and fails. A null language is one of its own. Rows that repeat are
+    A null or empty text has no words and fails, long ones are read whole. A null language is one of its own. Rows that repeat are
     judged alike and returned as often as they come; other columns are ignored. No rows give no rows.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")

@@ -103,7 +103,7 @@ def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, buc
     kept marks the documents drawn: the ``share`` of all rows with the largest keys, by default the share
     of the labelled documents whose quality is 1. labels has doc_id, quality and toxic.
 
-    A null or empty text has no n-grams and weight 0; null ids draw one number of their own. Rows that repeat a doc_id and text have the same key
+    A null or empty text has no n-grams and weight 0, long texts are read whole; null ids draw one number of their own. Rows that repeat a doc_id and text have the same key
     and share their fate: all rows with the key of the last place are kept. Other columns are ignored.
     Without usable labels all weights are 0 and all rows are kept. No rows give no rows.
     """

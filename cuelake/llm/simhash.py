@@ -234,7 +234,7 @@ def fingerprint_components(prints: DataFrame, radius: int = RADIUS) -> DataFrame
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, fingerprint, component_id.
 
-    A null or empty text has fingerprint 0 and is linked like any other. Rows that repeat are returned
+    A null or empty text has fingerprint 0 and is linked like any other, long ones are read whole. Rows that repeat are returned
     as often as they come; a null doc_id is never a component's id unless all its ids are null. Other
     columns are ignored. No rows give no rows.
     """

@@ -1,6 +1,9 @@
 """Corpus operators on what a bound or a filter would lose."""
 
-from cuelake.llm import license_notices, mixing, pii_bootstrap, quote_links, secret_crf
+import os
+import threading
+
+from cuelake.llm import common, license_notices, mixing, pii_bootstrap, quote_links, secret_crf
 from tests.oracle import connect, differences
 
 
@@ -52,3 +55,29 @@ def test_mixing_returns_documents(spark, sf_dir):
 def test_notice_before_a_cleaner_copy():
     line = "relessed undr the mit license released under the mit license"
     assert [(s, e) for _, s, e, _ in license_notices.find_notices(line)] == [(0, 29), (30, 60)]
+
+
+def test_written_tables_belong_to_their_thread(spark):
+    """Two pipelines in one driver: each deletes its own tables at its end, and none of the other's."""
+    inside, ended = threading.Barrier(2, timeout=60), threading.Event()
+    counts = {}
+
+    def run(name, first):
+        with common.scratch(spark):
+            table = common.stored(spark.range(5))
+            with common.scratch(spark):
+                inner = common.stored(spark.range(3)).inputFiles()[0]
+            counts[name, "inner"] = os.path.exists(inner.removeprefix("file://"))
+            inside.wait()
+            if not first:
+                ended.wait(60)
+            counts[name] = table.count()
+        counts[name, "after"] = os.path.exists(table.inputFiles()[0].removeprefix("file://"))
+        ended.set()
+
+    threads = [threading.Thread(target=run, args=(n, n == "a")) for n in "ab"]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert counts == {"a": 5, "b": 5, ("a", "inner"): False, ("b", "inner"): False, ("a", "after"): False, ("b", "after"): False}
