@@ -62,7 +62,8 @@ def set_frames(spark, sf_dir):
     return subtitles.with_frames(x, _frames(x))
 
 
-@query("req_numbered", f"""WITH {LINES} SELECT video_id, ((index - 1) // 20)::INT AS chunk_id, string_agg('[' || index || '] ' || text, chr(10) ORDER BY index) AS body FROM lines GROUP BY ALL""")
+@query("req_numbered", f"""WITH {LINES} SELECT video_id, ((index - 1) // 20)::INT AS chunk_id, string_agg('[' || index || '] ' || text, chr(10)
+  ORDER BY index) AS body FROM lines GROUP BY ALL""")
 def req_numbered(spark, sf_dir):
     x = cues.batches(lines(spark, sf_dir), 20).withColumnRenamed("batch", "chunk_id")
     return film.requests(x, "translate").select("video_id", "chunk_id", "body")
@@ -88,14 +89,16 @@ def fold_long_chunks(spark, sf_dir):
     return cues.chunks(lines(spark, sf_dir), 300, 6, long_film=10, block=8).select("video_id", "index", "chunk_id")
 
 
-@query("join_lyrics", f"""WITH {LINES} SELECT l.video_id, l.index, bool_or(r.index IS NOT NULL) AS is_lyric FROM lines l LEFT JOIN lines r ON r.video_id = l.video_id AND r.index % 7 = 1 AND l.index BETWEEN r.index AND r.index + r.video_id % 9 GROUP BY ALL""")
+@query("join_lyrics", f"""WITH {LINES} SELECT l.video_id, l.index, bool_or(r.index IS NOT NULL) AS is_lyric FROM lines l LEFT JOIN lines r
+  ON r.video_id = l.video_id AND r.index % 7 = 1 AND l.index BETWEEN r.index AND r.index + r.video_id % 9 GROUP BY ALL""")
 def join_lyrics(spark, sf_dir):
     x = lines(spark, sf_dir).select("video_id", "index", "text")
     accepted = x.where("index % 7 = 1").select("video_id", F.col("index").alias("first"), (F.col("index") + F.col("video_id") % 9).alias("last"))
     return verify.mark_lyrics(x, accepted).select("video_id", "index", "is_lyric")
 
 
-@query("ver_times", """WITH t AS (SELECT l_orderkey AS video_id, l_linenumber, CASE l_partkey % 5 WHEN 0 THEN l_linenumber || ':' || l_partkey % 70 WHEN 1 THEN '1:2:3:4' WHEN 2 THEN '-' || l_linenumber WHEN 3 THEN 'soon' ELSE l_partkey % 900 || '.5' END AS time,
+@query("ver_times", """WITH t AS (SELECT l_orderkey AS video_id, l_linenumber, CASE l_partkey % 5 WHEN 0 THEN l_linenumber || ':' || l_partkey % 70
+  WHEN 1 THEN '1:2:3:4' WHEN 2 THEN '-' || l_linenumber WHEN 3 THEN 'soon' ELSE l_partkey % 900 || '.5' END AS time,
   CASE l_partkey % 5 WHEN 0 THEN l_linenumber * 60.0 + l_partkey % 70 WHEN 4 THEN l_partkey % 900 + 0.5 END AS seconds FROM lineitem)
 SELECT video_id, time, seconds::DOUBLE AS seconds, coalesce(seconds <= o_orderkey % 700, false) AS valid FROM t JOIN orders ON o_orderkey = video_id""")
 def ver_times(spark, sf_dir):
@@ -107,8 +110,10 @@ def ver_times(spark, sf_dir):
     return verify.time_valid(tasks, durations).select("video_id", "time", "seconds", "valid")
 
 
-@query("trk_describe", """SELECT l_orderkey, l_linenumber, '音轨 #' || l_linenumber || ' ' || CASE l_partkey % 4 WHEN 0 THEN '日语' WHEN 1 THEN '未标注语言' WHEN 2 THEN 'xyz' ELSE '德语' END
-  || CASE WHEN l_suppkey % 2 = 0 THEN ' 「cut ' || l_suppkey || '」' ELSE '' END || ' aac' || CASE l_linenumber WHEN 1 THEN ' 单声道' WHEN 2 THEN ' 立体声' WHEN 6 THEN ' 5.1 声道' ELSE ' ' || l_linenumber || ' 声道' END || CASE WHEN l_linenumber = 1 THEN ' (默认)' ELSE '' END AS description FROM lineitem""")
+@query("trk_describe", """SELECT l_orderkey, l_linenumber, '音轨 #' || l_linenumber || ' ' || CASE l_partkey % 4 WHEN 0 THEN '日语' WHEN 1 THEN '未标注语言'
+  WHEN 2 THEN 'xyz' ELSE '德语' END
+  || CASE WHEN l_suppkey % 2 = 0 THEN ' 「cut ' || l_suppkey || '」' ELSE '' END || ' aac' || CASE l_linenumber WHEN 1 THEN ' 单声道' WHEN 2 THEN ' 立体声'
+    WHEN 6 THEN ' 5.1 声道' ELSE ' ' || l_linenumber || ' 声道' END || CASE WHEN l_linenumber = 1 THEN ' (默认)' ELSE '' END AS description FROM lineitem""")
 def trk_describe(spark, sf_dir):
     k = F.col("l_partkey") % 4
     tracks = read_table(spark, sf_dir, "lineitem").select(

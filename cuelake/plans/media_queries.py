@@ -24,9 +24,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-@query("mux_merge", """WITH p AS (SELECT user_id AS video_id, event_id AS seq, event_id * 40 + event_id * 7919 % 5 * 40 + 500 AS pts0, event_id * 40 + 100 AS dts0, value AS size FROM events WHERE event_type <> 'purchase'),
+@query("mux_merge", """WITH p AS (SELECT user_id AS video_id, event_id AS seq, event_id * 40 + event_id * 7919 % 5 * 40 + 500 AS pts0,
+  event_id * 40 + 100 AS dts0, value AS size FROM events WHERE event_type <> 'purchase'),
 z AS (SELECT video_id, least(7.5, arg_min(dts0, seq) / 1000) AS zero FROM p GROUP BY video_id),
-q AS (SELECT video_id, seq, pts0 - round_even(zero / 0.001, 0)::BIGINT AS pts, dts0 - round_even(zero / 0.001, 0)::BIGINT AS dts FROM p JOIN z USING (video_id) WHERE size > 5),
+q AS (SELECT video_id, seq, pts0 - round_even(zero / 0.001, 0)::BIGINT AS pts, dts0 - round_even(zero / 0.001, 0)::BIGINT AS dts FROM p
+  JOIN z USING (video_id) WHERE size > 5),
 r AS (SELECT *, pts * 0.001 AS "at", max(pts * 0.001) OVER (PARTITION BY video_id ORDER BY seq) AS reach FROM q),
 c AS (SELECT user_id AS video_id, event_id AS cue_no, (event_id * 40 - 3000) / 1000 AS "at" FROM events WHERE event_type = 'purchase'),
 m AS (SELECT video_id, 'packet' AS kind, seq AS item, "at", pts, dts, reach, 1 AS src FROM r UNION ALL SELECT video_id, 'cue', cue_no, "at", NULL, NULL, "at", 0 FROM c)

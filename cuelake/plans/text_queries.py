@@ -114,7 +114,8 @@ def fmt_ass_color(spark, sf_dir):
     return read_table(spark, sf_dir, "customer").select("c_custkey", T.ass_color(rgb).alias("color"))
 
 
-@query("txt_cap_duration", _lines_sql("""video_id, index, CASE WHEN ("end" + index) - start > 2 * greatest(length(text) / 3.0, 0.5) THEN round(start + greatest(length(text) / 3.0, 0.5), 6) ELSE round("end" + index, 6) END AS capped"""))
+@query("txt_cap_duration", _lines_sql("""video_id, index, CASE WHEN ("end" + index) - start > 2 * greatest(length(text) / 3.0,
+  0.5) THEN round(start + greatest(length(text) / 3.0, 0.5), 6) ELSE round("end" + index, 6) END AS capped"""))
 def txt_cap_duration(spark, sf_dir):
     x = lines(spark, sf_dir)
     return x.select("video_id", "index", F.round(T.plausible_end(F.col("text"), F.col("start"), F.col("end") + F.col("index")), 6).alias("capped"))
@@ -125,7 +126,8 @@ def txt_marks(spark, sf_dir):
     return lines(spark, sf_dir).select("video_id", "index", T.apply_marks(F.concat(F.lit("♪ "), "text"), F.col("index") % 3 == 0).alias("marked"))
 
 
-@query("agg_open_ended", f"""WITH {LINES} SELECT lang, round(avg(CASE WHEN {D.ends_sentence('text')} THEN 0.0 ELSE 1.0 END), 9) AS ratio, avg(CASE WHEN {D.ends_sentence('text')} THEN 0.0 ELSE 1.0 END) > 0.5 AS unpunctuated,
+@query("agg_open_ended", f"""WITH {LINES} SELECT lang, round(avg(CASE WHEN {D.ends_sentence('text')} THEN 0.0 ELSE 1.0 END), 9) AS ratio, avg(CASE
+  WHEN {D.ends_sentence('text')} THEN 0.0 ELSE 1.0 END) > 0.5 AS unpunctuated,
   bool_or({D.ends_sentence('text')}) AS any_end FROM lines GROUP BY lang""")
 def agg_open_ended(spark, sf_dir):
     r = metrics.open_ended_ratio("text")
@@ -139,7 +141,8 @@ def agg_percentiles(spark, sf_dir):
     return metrics.percentiles(x, "lang", "v", (5, 25, 50, 75, 95))
 
 
-@query("agg_length_corr", f"""WITH {TURNS}, g AS (SELECT index, count(*) AS n, covar_pop(length(text), length(translation)) AS c, stddev_pop(length(text)) * stddev_pop(length(translation)) AS s FROM turns WHERE translation <> '' GROUP BY index)
+@query("agg_length_corr", f"""WITH {TURNS}, g AS (SELECT index, count(*) AS n, covar_pop(length(text), length(translation)) AS c,
+  stddev_pop(length(text)) * stddev_pop(length(translation)) AS s FROM turns WHERE translation <> '' GROUP BY index)
 SELECT index, n, CASE WHEN n >= 20 AND s > 0 THEN round(c / s, 6) END AS r FROM g""")
 def agg_length_corr(spark, sf_dir):
     return metrics.length_correlation(turns(spark, sf_dir), "index").select("index", "n", F.round("r", 6).alias("r"))
@@ -152,10 +155,12 @@ def agg_token_tally(spark, sf_dir):
 
 
 @query("ver_bag_overlap", f"""WITH {TURNS}, w AS (SELECT video_id, index, {D.words('translation')} AS a, {D.words('text')} AS b FROM turns),
-a AS (SELECT video_id, index, w, count(*) AS n FROM (SELECT video_id, index, unnest(a) AS w FROM w) GROUP BY ALL), b AS (SELECT video_id, index, w, count(*) AS n FROM (SELECT video_id, index, unnest(b) AS w FROM w) GROUP BY ALL),
+a AS (SELECT video_id, index, w, count(*) AS n FROM (SELECT video_id, index, unnest(a) AS w FROM w) GROUP BY ALL), b AS (SELECT video_id, index, w,
+  count(*) AS n FROM (SELECT video_id, index, unnest(b) AS w FROM w) GROUP BY ALL),
 k AS (SELECT video_id, index, sum(least(a.n, b.n))::BIGINT AS kept FROM a JOIN b USING (video_id, index, w) GROUP BY ALL)
 SELECT video_id, index, coalesce(kept, 0) AS kept, len(w.b) AS total, len(w.a) - coalesce(kept, 0) AS added,
-  len(w.b) = 0 OR (coalesce(kept, 0) >= 0.6 * len(w.b) AND len(w.a) - coalesce(kept, 0) <= greatest(2, 0.25 * len(w.a))) AS faithful FROM w LEFT JOIN k USING (video_id, index)""")
+  len(w.b) = 0 OR (coalesce(kept, 0) >= 0.6 * len(w.b) AND len(w.a) - coalesce(kept, 0) <= greatest(2, 0.25 * len(w.a))) AS faithful FROM w LEFT
+    JOIN k USING (video_id, index)""")
 def ver_bag_overlap(spark, sf_dir):
     from cuelake.operators import verify
 

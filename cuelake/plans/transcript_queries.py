@@ -37,7 +37,8 @@ class _Decoder:
 
 
 _HEARD = rf"""{LINES}, h AS (SELECT video_id, index, regexp_matches(text, '[\p{{L}}\p{{N}}]') AS c FROM lines),
-p AS (SELECT video_id, index, c AND video_id % 7 <> 0 AND index % 4 <> 0 AS ok FROM h), u AS (SELECT video_id, index, c AND video_id % 14 = 0 AND index % 2 = 1 AS ok FROM h),
+p AS (SELECT video_id, index, c AND video_id % 7 <> 0 AND index % 4 <> 0 AS ok FROM h), u AS (SELECT video_id, index, c AND video_id % 14 = 0
+  AND index % 2 = 1 AS ok FROM h),
 looped AS (SELECT video_id FROM p GROUP BY video_id HAVING NOT bool_or(ok)),
 said AS (SELECT * FROM p WHERE video_id NOT IN (FROM looped) UNION ALL SELECT * FROM u WHERE video_id IN (FROM looped))"""
 
@@ -70,9 +71,11 @@ def _fits_sql(snippet, line):
 
 
 @query("ver_snippets", f"""WITH {LINES}, n AS (SELECT video_id, count(*) AS total FROM lines GROUP BY ALL),
-r AS (SELECT a.video_id, a.index AS first, b.index AS last, a.text AS ta, b.text AS tb, total, {_part_sql('a.index % 4', 'a.text', 'b.text')} AS head, {_part_sql('(a.index + a.video_id) % 4', 'b.text', 'a.text')} AS tail
+r AS (SELECT a.video_id, a.index AS first, b.index AS last, a.text AS ta, b.text AS tb, total,
+  {_part_sql('a.index % 4', 'a.text', 'b.text')} AS head, {_part_sql('(a.index + a.video_id) % 4', 'b.text', 'a.text')} AS tail
   FROM lines a JOIN lines b ON b.video_id = a.video_id AND b.index = a.index + 2 JOIN n ON n.video_id = a.video_id)
-SELECT video_id, first::INT AS first, last::INT AS last, CASE WHEN NOT {_fits_sql('head', 'ta')} THEN 'head' WHEN NOT {_fits_sql('tail', 'tb')} THEN 'tail' ELSE '' END AS reason FROM r""")
+SELECT video_id, first::INT AS first, last::INT AS last, CASE WHEN NOT {_fits_sql('head', 'ta')} THEN 'head'
+  WHEN NOT {_fits_sql('tail', 'tb')} THEN 'tail' ELSE '' END AS reason FROM r""")
 def ver_snippets(spark, sf_dir):
     """Ranges of three lines whose snippets are empty, whole, half or of another line."""
     x = lines(spark, sf_dir).select("video_id", "index", "text")
@@ -87,7 +90,8 @@ def ver_snippets(spark, sf_dir):
 _RULE = logs.RULE
 
 
-@query("log_debug", f"""WITH e AS (SELECT user_id AS job_id, event_id AS seq, CASE event_type WHEN 'click' THEN 'kv' WHEN 'view' THEN 'block' WHEN 'purchase' THEN 'section' ELSE 'line' END AS kind,
+@query("log_debug", f"""WITH e AS (SELECT user_id AS job_id, event_id AS seq, CASE event_type WHEN 'click' THEN 'kv' WHEN 'view' THEN 'block'
+  WHEN 'purchase' THEN 'section' ELSE 'line' END AS kind,
   event_type || event_id AS title, repeat(event_type, (event_id % 7)::INT) AS body, event_id * 6.0 AS elapsed FROM events),
 t AS (SELECT job_id, seq, CASE kind WHEN 'section' THEN chr(10) || chr(10) || '{_RULE}' || chr(10) || '== ' || title || '    [任务开始后 ' || printf('%.1f', elapsed / 60) || ' 分钟]' || chr(10) || '{_RULE}' || chr(10)
   WHEN 'kv' THEN CASE WHEN length(title) < 28 THEN rpad(title, 28, ' ') ELSE title END || ': ' || body || chr(10)
