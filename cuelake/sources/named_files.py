@@ -14,9 +14,12 @@ from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyarrow.fs import FileSystem, FileType
 from pyspark.sql import DataFrame, Row
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
+from cuelake.session import ship
+
 #: Renames that are under way at once in the commit.
 RENAMES = 16
 
@@ -32,9 +35,7 @@ class NamedFilesWriter(DataSourceWriter):
     def __init__(self, path: str):
         self.path, self.job = path, f".writing-{uuid.uuid4().hex}"
 
-    def _store(self):
-        from pyarrow.fs import FileSystem
-
+    def _store(self) -> tuple[FileSystem, str]:
         return FileSystem.from_uri(self.path)
 
     def write(self, rows: Iterator[Row]) -> Written:
@@ -68,7 +69,9 @@ class NamedFilesWriter(DataSourceWriter):
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
         """Only the job's own folder goes."""
         fs, root = self._store()
-        fs.delete_dir(posixpath.join(root, self.job)) if fs.get_file_info(posixpath.join(root, self.job)).type.name == "Directory" else None
+        own = posixpath.join(root, self.job)
+        if fs.get_file_info(own).type == FileType.Directory:
+            fs.delete_dir(own)
 
 
 class NamedFiles(DataSource):
@@ -87,8 +90,6 @@ class NamedFiles(DataSource):
 
 def write_named(files: DataFrame, path: str) -> None:
     """SNK-6: files (name, text) below path, each replaced as a whole when all are written."""
-    from cuelake.session import ship
-
     ship(files.sparkSession)
     files.sparkSession.dataSource.register(NamedFiles)
     files.select("name", "text").write.format("named_files").mode("append").save(path)
