@@ -498,7 +498,7 @@ def test_pipeline(spark, docs, texts, sf_dir):
     """run() against its stages worked out by hand from each operator's own results."""
     import corpus_pipeline
 
-    assert set(queries.QUERIES) == {f"op{n}_" + q.split("_", 1)[1] for q in queries.QUERIES for n in [q[2:].split("_")[0]]} and len(queries.QUERIES) == 10
+    assert set(queries.QUERIES) == {f"op{n}_" + q.split("_", 1)[1] for q in queries.QUERIES for n in [q[2:].split("_")[0]]} and len(queries.QUERIES) == 13
     kept = {r["doc_id"] for r in quality_rules.quality(docs).collect() if r["kept"]}
     parts = brute_components({i: brute_fingerprint(texts[i]) for i in kept})
     left = {i for i, c in parts.items() if i == c}
