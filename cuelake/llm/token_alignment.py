@@ -35,7 +35,7 @@ SIDE_A, SIDE_B = "byte_bpe_50k", "piece_bpe_32k"
 #: B ids in one stripe; a block has so many rows, and as many columns as A has ids.
 STRIPE = 250
 #: Characters and documents of a chunk; a longer document is one of its own.
-CHUNK_CHARS, CHUNK_DOCS = 4_000_000, 8_192
+CHUNK_CHARS, CHUNK_DOCS = 2_000_000, 4_096
 #: Chunks whose sums one task adds to a stripe's block, and chunks whose links of a stripe one task scores.
 FAN, SCORED = 2_000, 100
 #: White space of this many characters in a row is left to the tokenizers library.
@@ -106,9 +106,10 @@ def _chunks(batches: Iterator[pa.RecordBatch], chars: int, docs: int) -> Iterato
 def link_chunk(own: Sides, texts: list[str], with_groups: bool):
     """Of a chunk of documents: n_a, n_b, n_groups, n_links, groups_sha256 and groups of each; and all links as
     sorted keys B id, A id, document with how often each comes."""
-    ids = [own.encode(t) for t in texts]
+    ids = [tuple(np.array(x, dtype=np.int32) for x in own.encode(t)) for t in texts]
     n_a, n_b = (np.array([len(x[k]) for x in ids], dtype=np.int64) for k in (0, 1))
-    a, b = (np.concatenate([np.zeros(0, np.int64), *(np.array(x[k], dtype=np.int64) for x in ids)]) for k in (0, 1))
+    a, b = (np.concatenate([np.zeros(0, np.int32), *(x[k] for x in ids)]).astype(np.int64) for k in (0, 1))
+    del ids
     end_a, end_b = np.cumsum(own.length_a[a]), np.cumsum(own.length_b[b])
     cut = np.zeros(int(end_a[-1]) + 1 if len(end_a) else 1, dtype=np.uint8)
     cut[end_a] |= 1
