@@ -32,8 +32,27 @@ def same_keys(got: DataFrame, expected: DataFrame, key: str = "n") -> DataFrame:
 
 
 def bag_kept(a: Column, b: Column) -> Column:
-    """Size of the bag intersection of two word arrays of one row: both are sorted together, and each word of b
-    takes one of a's that is still left."""
+    """Size of the bag intersection of two word arrays of one row: each word of b takes one of a's that is still left.
+    Repeats are numbered, so that it is the intersection of two sets."""
+
+    def tagged(words: Column) -> Column:  # a word and how many like it come before: no two are equal
+        return let(F.sort_array(words), lambda s: F.transform(s, lambda w, k: F.concat(w, F.lit(" "), (k + 1 - F.array_position(s, w)).cast("string"))))
+
+    def kept(p: Column) -> Column:
+        x, y = p["a"], p["b"]
+        short = F.greatest(F.size(x), F.size(y)) <= TAGGED
+        bags = F.when(short, F.size(F.array_intersect(tagged(x), tagged(y)))).otherwise(_kept_sorted(x, y))
+        return F.when(x == y, F.size(x)).otherwise(bags)
+
+    return let(F.struct(a.alias("a"), b.alias("b")), kept)
+
+
+#: Words up to which a text's repeats are numbered by looking for the first of each.
+TAGGED = 500
+
+
+def _kept_sorted(a: Column, b: Column) -> Column:
+    """bag_kept for long texts: both are sorted together and counted in one go."""
     side = lambda words, k: F.transform(words, lambda w: F.struct(w.alias("w"), F.lit(k).alias("side")))
 
     def step(acc: Column, x: Column) -> Column:
@@ -69,9 +88,8 @@ def faithful(pairs: DataFrame, *keys: str) -> DataFrame:
 
 def snippet_matches(snippet: Column, line: Column) -> Column:
     """FLT-10: at least 60 % of the snippet's words, and one, are in the line."""
-    own = T.words(snippet)
-    need = F.greatest(F.lit(1), F.bround(F.size(own) * C.MIN_SNIPPET_OVERLAP).cast("int"))
-    return (F.size(own) > 0) & (bag_kept(own, T.words(line)) >= need)
+    need = lambda own: F.greatest(F.lit(1), F.bround(F.size(own) * C.MIN_SNIPPET_OVERLAP).cast("int"))
+    return let(T.words(snippet), lambda own: (F.size(own) > 0) & (bag_kept(own, T.words(line)) >= need(own)))
 
 
 def apply_units(units: DataFrame, lines: DataFrame, limits: DataFrame, max_chars: int = C.MAX_CHARS_PER_LINE, max_duration: float = C.MAX_DURATION) -> DataFrame:
@@ -113,7 +131,8 @@ def judge_units(units: DataFrame, lines: DataFrame, limits: DataFrame, max_chars
     joined = F.aggregate(src, F.lit(""), lambda s, x: T.join_text(s, x["line_text"]))
     checked = by.select(*by.columns, F.explode(F.array(joined)).alias("source"))
     reason = (
-        F.when(~_fidelity(F.col("text"), F.col("source"))["faithful"], "fidelity")
+        # What equals its source is faithful, whatever its words are.
+        F.when((F.col("text") != F.col("source")) & ~_fidelity(F.col("text"), F.col("source"))["faithful"], "fidelity")
         .when(many & F.when(many, let(limit, far)).otherwise(False), "pause")
         .when(many & (F.length("text") > width), "width")
         .when(many & over & ~head["fragment"] & ~tail["fragment"], "span")

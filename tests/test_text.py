@@ -1,5 +1,7 @@
 """Scalar functions on scripts that the driver's tables do not have."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,3 +85,18 @@ def test_rejects_thinking(spark):
     hints = ["unknown parameter", "not supported"]
     assert one(spark, "Error: UNKNOWN parameter 'x'", lambda c: T.rejects_thinking(c, hints)) is True
     assert one(spark, "timeout", lambda c: T.rejects_thinking(c, hints)) is False
+
+
+def test_long_texts_are_cut_at_the_nearest_break(spark):
+    """Against a search over every place; texts of over twice the limit."""
+    import random
+
+    rnd = random.Random(4)
+    texts = ["a" + "".join(rnd.choice("abc ,.。é😀") if rnd.random() < 0.3 else "x" for _ in range(rnd.randrange(20, 60))) + "b" for _ in range(300)]
+    texts = [t for t in texts if len(re.sub(" {2,}", " ", t)) - 1 > 10]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.wrap(F.col("t"), 5).alias("w")).collect()
+    for r in got:
+        t = r["t"]
+        places = [i if t[i] == " " else i + 1 for i in range(1, len(t) - 1) if t[i] in T.BREAKS]
+        k = min(places, key=lambda k: (abs(k - len(t) / 2), k), default=None)
+        assert r["w"] == ([t] if k is None else [t[:k].strip(), t[k:].strip()])
