@@ -110,23 +110,32 @@ def yield_ok(produced: Column, duration: Column) -> Column:
     return produced >= duration * C.MIN_YIELD_RATIO
 
 
+#: Names and files of one part of output_name.
+PART = 500_000
+
+
 def output_name(names: DataFrame, existing: DataFrame) -> DataFrame:
     """SNK-5/STR-17: stem, suffix, path: the first free of stem.suffix.mkv, stem.suffix.2.mkv, ...
 
-    Numbers are read off the existing names; the first one that is missing is one more than how many of the
-    sorted ones stand at their own place, however many there are.
+    Numbers are read off the existing names; the first one that is missing follows the last of the sorted ones that
+    stands at its own place, however many there are. Names and files meet in one shuffle by base, in as many parts as
+    their number asks for, so that a part does not grow with the input.
     """
     base = F.regexp_extract("path", r"(?s)^(.*)\.mkv\z", 1)
     numbered = r"(?s)^(.*)\.([2-9]|[1-9][0-9]+)\z"
     files = existing.select(base.alias("b")).where("b <> ''")
-    first = files.select(F.col("b").alias("_base"), F.lit(1).cast("long").alias("n"))
-    later = files.where(F.col("b").rlike(numbered)).select(F.regexp_extract("b", numbered, 1).alias("_base"), F.regexp_extract("b", numbered, 2).try_cast("long").alias("n"))
-    wanted = names.select("stem", "suffix").distinct().withColumn("_base", F.concat_ws(".", "stem", "suffix"))
-    taken = first.unionByName(later).where("n is not null").join(wanted.select("_base").distinct(), "_base", "left_semi").distinct()
-    placed = taken.withColumn("r", F.row_number().over(Window.partitionBy("_base").orderBy("n")))
-    free = placed.groupBy("_base").agg((F.count_if(F.col("n") == F.col("r")) + 1).alias("n"))
-    number = F.when(F.coalesce("n", F.lit(1)) > 1, F.col("n").cast("string"))
-    return wanted.join(free, "_base", "left").select("stem", "suffix", F.concat_ws(".", "_base", number, F.lit("mkv")).alias("path"))
+    first = F.struct(F.col("b").alias("_base"), F.lit(1).cast("long").alias("n"))
+    later = F.struct(F.regexp_extract("b", numbered, 1).alias("_base"), F.regexp_extract("b", numbered, 2).try_cast("long").alias("n"))
+    taken = files.select(F.inline(F.array(first, later))).where("n is not null")
+    wanted = names.select("stem", "suffix", F.concat_ws(".", "stem", "suffix").alias("_base"), F.lit(None).cast("long").alias("n"), F.lit(True).alias("_own"))
+    parts = max(int(names.sparkSession.conf.get("spark.sql.shuffle.partitions")), (names.count() + existing.count()) // PART + 1)
+    both = wanted.unionByName(taken, allowMissingColumns=True).repartition(parts, "_base")
+    order = Window.partitionBy("_base").orderBy(F.asc_nulls_last("n"))
+    placed = both.withColumn("_r", F.dense_rank().over(order))
+    last = F.max(F.when(F.col("n") == F.col("_r"), F.col("n"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    free = placed.withColumn("_free", F.coalesce(last, F.lit(0)) + 1).where("_own").groupBy("_base", "stem", "suffix").agg(F.max("_free").alias("n"))
+    number = F.when(F.col("n") > 1, F.col("n").cast("string"))
+    return free.select("stem", "suffix", F.concat_ws(".", "_base", number, F.lit("mkv")).alias("path"))
 
 
 def newest(logs: DataFrame, keep: int = C.KEEP_LOGS) -> DataFrame:
