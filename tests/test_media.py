@@ -53,6 +53,18 @@ def test_files_under_free_names(spark, tmp_path):
     assert contents(str(tmp_path)) == {"a.zh.2.mkv": "one", "b.zh.mkv": "two"}
 
 
+def test_names_in_parts_of_bounded_size(spark, monkeypatch):
+    """More names make more parts, not larger ones; the first free number, whatever is taken twice or beyond a gap."""
+    monkeypatch.setattr(media, "PART", 10)
+    taken = {f"f{k}": [1, 1, *range(2, k % 5 + 2), 9] for k in range(40) if k % 3}
+    paths = [(f"{stem}.zh.mkv" if n == 1 else f"{stem}.zh.{n}.mkv",) for stem, ns in taken.items() for n in ns]
+    names = spark.createDataFrame([(f"f{k}", "zh") for k in (*range(40), 1)], "stem string, suffix string")
+    got = media.output_name(names, spark.createDataFrame(paths, "path string"))
+    free = {f"f{k}": next(n for n in range(1, 99) if n not in taken.get(f"f{k}", ())) for k in range(40)}
+    assert sorted(r["path"] for r in got.collect()) == sorted(f"{s}.zh.mkv" if n == 1 else f"{s}.zh.{n}.mkv" for s, n in free.items())
+    assert got.rdd.getNumPartitions() > 10
+
+
 # --- merge
 
 PACKET = "video_id long, seq long, pts long, dts long, tick double, size long, start_time double"
