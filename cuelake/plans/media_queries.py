@@ -51,13 +51,15 @@ def mux_merge(spark, sf_dir):
 
 @query("sink_named", TIMELINE["sink_srt"])
 def sink_named(spark, sf_dir):
-    """SRT files written under their names, and what a reader finds there."""
+    """SRT files written under their names, a thousand ids to a folder, and what a reader finds there."""
     files = subtitles.files_of(subtitles.srt_blocks(film_lines(spark, sf_dir)))
+    name = F.concat(F.floor(F.col("video_id") / 1000).cast("string"), F.lit("/"), F.col("video_id").cast("string"), F.lit(".zh.srt"))
     path = f"{shared_folder(spark)}/named-{uuid.uuid4().hex}"
     try:
-        named_files.write_named(files.select(F.concat("video_id", F.lit(".zh.srt")).alias("name"), "text"), path)
-        back = subtitles.read_files(spark, path)
-        number = F.regexp_extract("path", r"/([0-9]+)\.zh\.srt$", 1).cast("long")
-        return cut(back.select(number.alias("video_id"), F.md5("text").alias("digest")))
+        names = named_files.write_named(files.select(name.alias("name"), "text"), path)
+        number = F.regexp_extract("name", r"([0-9-]+)\.zh\.srt$", 1).cast("long")
+        out = cut(named_files.read_named(names, path).select(number.alias("video_id"), F.md5("text").alias("digest")))
+        named_files.remove_named(names, path)
+        return out
     finally:
         remove_folder(spark, path)

@@ -44,6 +44,17 @@ def test_a_failed_job_leaves_old_files(spark, tmp_path, broken):
     assert len(os.listdir(to)) == 8  # nor a folder of the job
 
 
+def test_many_files_need_few_tasks(spark, tmp_path):
+    """Neither moving nor reading has a task for each file, nor does the driver move them."""
+    files = spark.range(300).repartition(3).select(F.concat_ws("/", F.col("id") % 7, F.concat("id", F.lit(".srt"))).alias("name"), F.concat(F.lit("t"), "id").alias("text"))
+    names = named_files.write_named(files, str(tmp_path))
+    back = named_files.read_named(names, str(tmp_path))
+    assert back.rdd.getNumPartitions() == 3
+    assert {(r["name"], r["text"]) for r in back.collect()} == {(f"{k % 7}/{k}.srt", f"t{k}") for k in range(300)}
+    named_files.remove_named(names.where("name <> '0/0.srt'"), str(tmp_path))
+    assert contents(str(tmp_path)) == {"0/0.srt": "t0"}
+
+
 def test_files_under_free_names(spark, tmp_path):
     """Names of SNK-5 for texts of films."""
     names = media.output_name(spark.createDataFrame([("a", "zh"), ("b", "zh")], "stem string, suffix string"), spark.createDataFrame([("a.zh.mkv",)], "path string"))
