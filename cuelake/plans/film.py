@@ -21,7 +21,7 @@ from cuelake import constants as C
 from cuelake.functions import text as T
 from cuelake.operators import cues, metrics, replies, verify
 from cuelake.plans.runs import write_whole
-from cuelake.session import cut
+from cuelake.session import broadcast_if_small, cut
 from cuelake.sources import subtitles
 
 
@@ -153,16 +153,20 @@ def marked(lines: DataFrame, model: Completer) -> DataFrame:
 
 def aligned(lines: DataFrame, model: Completer) -> DataFrame:
     """VER-8: lines (with chunk_id, translation): a batch whose translations do not go along with its texts in length
-    is asked for once more, and what comes is taken only if it goes along better."""
+    is asked for once more, and what comes is taken only if it goes along better. Lines of other batches are not moved."""
     first = metrics.length_correlation(lines, "video_id", "chunk_id").withColumn("attempt", F.lit(1))
     odd = cut(metrics.better_attempt(first, "video_id", "chunk_id").where(~F.col("aligned")))
-    again = lines.join(odd, ["video_id", "chunk_id"], "left_semi")
+    if odd.isEmpty():
+        return lines
+    few = broadcast_if_small(odd)
+    again = lines.join(few, ["video_id", "chunk_id"], "left_semi")
     got = replies.parse_translations(model.complete(requests(again, "align"))).select("video_id", "index", F.col("translation").alias("_new"))
     tried = cut(again.join(got, ["video_id", "index"], "left").withColumn("translation", F.coalesce("_new", "translation")).drop("_new"))
     second = metrics.length_correlation(tried, "video_id", "chunk_id").withColumn("attempt", F.lit(2))
     better = metrics.better_attempt(first.unionByName(second), "video_id", "chunk_id").where("attempt = 2")
     taken = tried.join(better, ["video_id", "chunk_id"], "left_semi").select("video_id", "index", F.col("translation").alias("_new"))
-    return lines.join(taken, ["video_id", "index"], "left").withColumn("translation", F.coalesce("_new", "translation")).drop("_new")
+    renewed = again.join(taken, ["video_id", "index"], "left").withColumn("translation", F.coalesce("_new", "translation"))
+    return cut(lines.join(few, ["video_id", "chunk_id"], "left_anti").unionByName(renewed.select(*lines.columns)).select(*lines.columns))
 
 
 def own_terms(lines: DataFrame, model: Completer, glossary: DataFrame | None = None, context_limit: int = C.CONTEXT_LIMIT) -> DataFrame:
@@ -175,27 +179,27 @@ def translated_batch(batch: DataFrame, model: Completer, attempts: int = 3, glos
     """One batch of each film (with chunk_id): lines left out are asked for again, then batches that look shifted."""
     out = batch.withColumn("translation", F.lit(""))
     for attempt in range(1, attempts + 1):
-        out = cut(out)
         open_ = out.where("translation = ''")
-        if attempt > 1 and not open_.limit(1).count():
+        if attempt > 1 and open_.isEmpty():
             break
         asked = requests(open_, "translate", attempt, glossary=glossary, context=context)
         got = replies.parse_translations(model.complete(asked)).select("video_id", "index", "translation")
-        out = replies.apply_translations(out, got, first=attempt == 1)
-    return cut(aligned(cut(out), model))
+        out = cut(replies.apply_translations(out, got, first=attempt == 1))
+    return aligned(out, model)
 
 
 def translated(lines: DataFrame, model: Completer, attempts: int = 3, glossary: DataFrame | None = None, size: int = C.BATCH_SIZE) -> DataFrame:
     """Translations in rounds: the k-th batches of all films together, each with the end of its film's batch before
     as context (WIN-11). There are as many rounds as the longest film has batches; a film takes part in its own."""
-    batches = cut(cues.batches(lines, size).withColumnRenamed("batch", "chunk_id"))
+    numbered = cues.batches(lines, size).withColumnRenamed("batch", "chunk_id")
+    batches = cut(numbered.withColumn("_last", F.max("chunk_id").over(Window.partitionBy("video_id"))))
     last = batches.agg(F.max("chunk_id")).first()[0] or 0
     done, context = [], None
     for k in range(last + 1):
         done.append(translated_batch(batches.where(F.col("chunk_id") == k), model, attempts, glossary, context))
-        context = batch_tail(done[-1])
+        context = batch_tail(done[-1].where(F.col("chunk_id") < F.col("_last")))  # nothing comes after a film's last batch
     out = reduce(DataFrame.unionByName, done)
-    return out.drop("chunk_id").withColumn("translation", T.apply_marks(F.col("translation"), F.col("is_lyric")))
+    return out.drop("chunk_id", "_last").withColumn("translation", T.apply_marks(F.col("translation"), F.col("is_lyric")))
 
 
 def batch_tail(lines: DataFrame, n: int = C.TAIL_LINES) -> DataFrame:

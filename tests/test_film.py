@@ -89,6 +89,17 @@ def test_realigned(spark):
         assert {r["index"]: r["translation"] for r in film.translated(lines, model).collect()} == want
 
 
+def test_batches_that_go_along_are_not_moved(spark):
+    """Without an odd batch the lines stay the table they are; with one, the lines of all others are kept and none is lost."""
+    model = film.TableCompleter(spark.createDataFrame([(2, "align", 0, 1, "\n".join(f"[{k}] {'x' * k}" for k in range(1, 31)))], REPLY))
+    rows = [(v, k, "t" * k, False, 0, "x" * (k if v == 1 else 31 - k)) for v in (1, 2) for k in range(1, 31)]
+    lines = spark.createDataFrame(rows, "video_id long, index int, text string, is_lyric boolean, chunk_id int, translation string")
+    even = lines.where("video_id = 1")
+    assert film.aligned(even, model) is even
+    got = film.aligned(lines, model)
+    assert got.columns == lines.columns and sorted((r["video_id"], r["index"], r["translation"]) for r in got.collect()) == [(v, k, "x" * k) for v in (1, 2) for k in range(1, 31)]
+
+
 def test_whole_film(spark, tmp_path):
     bare = spark.createDataFrame([(1, 1, 1, 0.0, 2.0, "The tide came in.", False), (1, 2, 2, 3.0, 5.0, "static noise", True), (1, 3, 3, 6.0, 8.0, "We went home", False), (1, 4, 4, 8.5, 10.0, "before dark.", False)], SEGS)
     table = [(1, "vet", 0, 1, "[R1] drop"), (1, "refine", 0, 1, "[1] The tide came in.\n[2] We went home before dark."), (1, "translate", 0, 1, "[1] A\n[2] B")]
