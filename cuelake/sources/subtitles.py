@@ -63,9 +63,9 @@ def parse_ass(files: DataFrame, key: str = "path") -> DataFrame:
 
 def _shown(lines: DataFrame, max_chars: int, joint: str, escape: bool) -> DataFrame:
     part = (lambda c: F.transform(T.wrap(c, max_chars), T.ass_escape)) if escape else (lambda c: T.wrap(c, max_chars))
-    given = T.strip(F.coalesce("translation", F.lit("")))
-    own = F.when(given != "", given).otherwise(F.col("text"))
-    return lines.withColumns({"_t": F.array_join(part(own), joint), "_o": F.array_join(part(F.col("text")), joint)})
+    given = F.ltrim(F.coalesce("translation", F.lit("")), F.lit(T.SPACES)) != ""
+    shown = lines.withColumn("_o", F.array_join(part(F.col("text")), joint))
+    return shown.withColumn("_t", F.when(given, F.array_join(part(F.col("translation")), joint)).otherwise(F.col("_o")))
 
 
 def _flag(lines: DataFrame) -> Column:

@@ -100,3 +100,25 @@ def test_long_texts_are_cut_at_the_nearest_break(spark):
         places = [i if t[i] == " " else i + 1 for i in range(1, len(t) - 1) if t[i] in T.BREAKS]
         k = min(places, key=lambda k: (abs(k - len(t) / 2), k), default=None)
         assert r["w"] == ([t] if k is None else [t[:k].strip(), t[k:].strip()])
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_wrap_does_not_go_over_every_place(spark):
+    """Neither an array of characters nor one of places, each trimmed twice; and the same places as a search over all of them,
+    with runs of blanks that decide what fits."""
+    import random
+
+    rnd = random.Random(9)
+    texts = ["".join(rnd.choice("ab ,.。é😀") if rnd.random() < 0.4 else "x" for _ in range(rnd.randrange(1, 40))) for _ in range(200)]
+    texts += [t[: len(t) // 2] + rnd.choice([" ", "\t ", "　"]) * rnd.randrange(1, 20) + t[len(t) // 2 :] for t in texts]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.wrap(F.col("t"), 9).alias("w"))
+    assert "sequence(" not in plan(df) and "split(" not in plan(df)
+    for r in df.collect():
+        t = r["t"].strip()
+        halves = lambda k: [t[:k].strip(), t[k:].strip()]
+        places = [i if t[i] == " " else i + 1 for i in range(1, len(t) - 1) if t[i] in T.BREAKS]
+        k = min(places, key=lambda k: (max(map(len, halves(k))) > 9, abs(k - len(t) / 2), k), default=None)
+        assert r["w"] == ([t] if len(t) <= 9 or k is None else halves(k))
