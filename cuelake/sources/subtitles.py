@@ -8,6 +8,7 @@ from pyspark.sql import Window
 
 from cuelake import constants as C
 from cuelake.functions import text as T
+from cuelake.functions.columns import let
 from cuelake.sources.named_files import write_named
 
 # The timing line of an SRT block, and the start of an ASS dialogue.
@@ -46,13 +47,19 @@ def _seconds(line: Column, pattern: str, first: int, unit: int) -> Column:
 def parse_srt(files: DataFrame, key: str = "path") -> DataFrame:
     """SRC-7: key, pos, start, end, timing, body of the blocks; a block without timing in its first two
     lines is dropped."""
-    body = T.strip(F.col("text"))
-    blocks = files.where(body != "").select(key, F.posexplode(F.split(body, r"\n\s*\n")).alias("pos", "block"))
-    rows = F.split("block", r"\r\n|[\n\r]")
-    at = F.when(F.trim(rows[0]).rlike(TIMING), 0).when(F.trim(F.coalesce(F.get(rows, F.lit(1)), F.lit(""))).rlike(TIMING), 1)
-    cut = blocks.withColumns({"rows": rows, "at": at}).where("at is not null").withColumn("timing", F.trim(F.get("rows", F.col("at"))))
+    def read(rows: Column) -> Column:
+        timed = lambda k: F.trim(F.get(rows, F.lit(k))).rlike(TIMING)
+        at = F.when(timed(0), 0).when(timed(1), 1)
+        return let(at, lambda k: F.struct(rows.alias("rows"), k.alias("at"), F.regexp_extract_all(F.get(rows, k), F.lit(r"\d+"), F.lit(0)).alias("t")))
+
+    # Rows and times of a block are worked out once, where the text is cut.
+    given = files.where(F.ltrim("text", F.lit(T.SPACES)) != "")
+    blocks = F.transform(F.split(T.strip(F.col("text")), r"\n\s*\n"), lambda x: let(F.split(x, r"[\n\r](?:(?<=\r)\n)?"), read))
+    cut = given.select(key, F.posexplode(blocks).alias("pos", "b")).where("b.at is not null").select(key, "pos", "b.*")
+    g = lambda k: F.get("t", F.lit(k)).cast("double")
+    seconds = lambda k: g(k) * 3600 + g(k + 1) * 60 + g(k + 2) + g(k + 3) / 1000
     rest = F.array_join(F.slice("rows", F.col("at") + 2, F.greatest(F.size("rows") - F.col("at") - 1, F.lit(0))), "\n")
-    return cut.select(key, "pos", _seconds(F.col("timing"), TIMING, 1, 1000).alias("start"), _seconds(F.col("timing"), TIMING, 5, 1000).alias("end"), F.get("rows", F.col("at")).alias("timing"), rest.alias("body"))
+    return cut.select(key, "pos", seconds(0).alias("start"), seconds(4).alias("end"), F.get("rows", F.col("at")).alias("timing"), rest.alias("body"))
 
 
 def parse_ass(files: DataFrame, key: str = "path") -> DataFrame:

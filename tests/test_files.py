@@ -17,6 +17,17 @@ def test_srt_round_trip(spark):
     assert [(r["start"], r["end"], r["body"]) for r in back] == [(0.0, 1.5, "good day\n日安"), (2.0, 3.0, "so long\nso long")]
 
 
+def test_blocks_are_read_once(spark):
+    """Each block is cut into rows once and its timing taken apart once, whatever its line ends are."""
+    t1, t2 = "00:00:01,000 --> 00:00:02,500", " 01:02:03.004-->\t01:02:04,005 \t"
+    text = f" \n1\r\n{t1}\r\na\r\rb\n\n{t2}\rc\n \t\n2\nno time\n{t1}\n\n\n3\n{t1}\n\n4\r{t1}\r \r\nd \n\u3000\n"
+    got = subtitles.parse_srt(spark.createDataFrame([("a", text), ("b", " \n\u3000"), ("c", None)], "path string, text string"))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") + plan.count("regexp_extract(") == 2 and plan.count(", split(") + plan.count("(split(") == 2
+    rows = [tuple(r) for r in got.orderBy("pos").collect()]
+    assert rows == [("a", 0, 1.0, 2.5, t1, "a\n\nb"), ("a", 1, 3723.004, 3724.005, t2, "c"), ("a", 3, 1.0, 2.5, t1, ""), ("a", 4, 1.0, 2.5, t1, " \nd")]
+
+
 def test_layouts(spark):
     ls = spark.createDataFrame([(1, 1, 0.0, 1.5, "good day", "日安")], CUE)
     shown = lambda **k: subtitles.srt_blocks(ls, **k).first()["block"].split("\n")[2:-1]
