@@ -100,3 +100,15 @@ def test_no_episodes(spark):
     none = spark.createDataFrame([], EPISODE)
     got = season.produce(none, spark.createDataFrame([], WORD), spark.createDataFrame([], SEG), film.ColumnCompleter(F.lit(None).cast("string")))
     assert got.terms.count() == got.clashes.count() == got.film.lines.count() == got.film.files.count() == 0
+
+
+def test_sampling_counts_a_line_once(spark):
+    """The characters of a line are counted by one pattern; episodes are told without cutting documents into lines."""
+    from cuelake.operators import cues
+
+    lines = spark.createDataFrame([(1, k, "海 abc" * (k % 7)) for k in range(1, 200)], "video_id long, index int, text string")
+    assert cues.sample(lines)._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == 1
+    docs = spark.createDataFrame([(5, " \n\u3000\n"), (6, "\n a"), (7, None), (8, ""), (9, "\u00a0\u6d77")], "doc_id long, text string")
+    episodes = season_queries._episodes(docs)
+    assert sorted(r["video_id"] for r in episodes.collect()) == [6, 9]
+    assert "explode" not in episodes._jdf.queryExecution().optimizedPlan().toString()
