@@ -110,13 +110,12 @@ def judge_units(units: DataFrame, lines: DataFrame, limits: DataFrame, max_chars
     """video_id, chunk_id, unit_no, first, last, text, start, end, src, corrected, reason, accepted of each unit.
 
     src: its lines. reason: the first rule that it breaks (fidelity, pause, width, span), '' if it is accepted.
-    The lines are joined once by index; every rule is then worked out on the unit's own row.
+    The lines are joined once, in blocks by video; every rule is then worked out on the unit's own row.
     """
     longest, budget = max(max_duration, C.MERGE_MAX_DURATION), max(max_chars * C.CUE_CHAR_BUDGET_RATIO, 1)
     key = ["video_id", "chunk_id", "unit_no", "first", "last", "text"]
-    own = lines.select("video_id", "index", "start", "end", "text").withColumn("fragment", T.is_fragment(F.col("text")))
-    line = F.struct("index", "start", "end", "line_text", "fragment")
-    by = replies.lines_of(units, own).groupBy(*key).agg(F.sort_array(F.collect_list(line)).alias("src")).join(limits, "video_id")
+    own = lines.select("video_id", "index", "start", "end", F.col("text").alias("line_text"), T.is_fragment(F.col("text")).alias("fragment"))
+    by = replies.with_lines(units.select(*key).join(limits, "video_id"), own)
     src = F.col("src")
     head, tail = src[0], F.element_at(src, -1)
     limit = F.when(T.is_single_sentence(F.col("text")), F.greatest("gap_limit", F.lit(max_duration))).otherwise(F.col("gap_limit"))
@@ -125,6 +124,8 @@ def judge_units(units: DataFrame, lines: DataFrame, limits: DataFrame, max_chars
         apart = lambda a, b: (b["start"] - a["end"] > m) & ~a["fragment"] & ~b["fragment"]
         return F.exists(F.sequence(F.lit(0), F.size(src) - 2), lambda k: apart(F.get(src, k), F.get(src, k + 1)))
 
+    # No limit is below gap_limit: only where that is passed is the text looked at for the other one.
+    pause = F.when(far(F.col("gap_limit")), let(limit, far)).otherwise(False)
     many = F.size(src) > 1
     over = tail["end"] - head["start"] > longest
     width = F.when(F.exists(src, lambda x: x["fragment"]), int(budget * C.FRAGMENT_BUDGET_RATIO)).otherwise(budget)
@@ -133,7 +134,7 @@ def judge_units(units: DataFrame, lines: DataFrame, limits: DataFrame, max_chars
     reason = (
         # What equals its source is faithful, whatever its words are.
         F.when((F.col("text") != F.col("source")) & ~_fidelity(F.col("text"), F.col("source"))["faithful"], "fidelity")
-        .when(many & F.when(many, let(limit, far)).otherwise(False), "pause")
+        .when(many & F.when(many, pause).otherwise(False), "pause")
         .when(many & (F.length("text") > width), "width")
         .when(many & over & ~head["fragment"] & ~tail["fragment"], "span")
         .otherwise("")

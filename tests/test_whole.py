@@ -1,5 +1,7 @@
 """Queries over whole inputs: what a bound or a filter on their rows would lose."""
 
+import re
+
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
@@ -44,3 +46,11 @@ def test_last_lines_are_there(name, spark, long_dir):
 @pytest.mark.parametrize("name", ["agg_median_level", "agg_speech_level"])
 def test_all_intervals(name, spark, sf_dir):
     assert differences(registry.QUERIES[name](spark, sf_dir), connect(sf_dir), registry.ORACLES[name]) == ""
+
+
+@pytest.mark.parametrize("name", ["ver_apply_units"])
+def test_units_move_by_video_only(name, spark, sf_dir):
+    """Lines, units and limits are dealt out by video once each, and nothing is written in between."""
+    plan = registry.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    moved = re.findall(r"(?<!Broadcast)Exchange ([^,]+)", plan)  # limits are broadcast while they are few
+    assert {re.sub(r"#\d+L?", "", m) for m in moved} == {"hashpartitioning(video_id"} and len(moved) <= 3 and "ExistingRDD" not in plan
