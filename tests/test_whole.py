@@ -48,7 +48,7 @@ def test_all_intervals(name, spark, sf_dir):
     assert differences(registry.QUERIES[name](spark, sf_dir), connect(sf_dir), registry.ORACLES[name]) == ""
 
 
-@pytest.mark.parametrize("name", ["ver_apply_units"])
+@pytest.mark.parametrize("name", ["ver_apply_units", "ver_rejections", "agg_refine_counters"])
 def test_units_move_by_video_only(name, spark, sf_dir):
     """Lines, units and limits are dealt out by video once each, and nothing is written in between."""
     plan = registry.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
